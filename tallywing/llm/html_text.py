@@ -45,15 +45,22 @@ LABELLED = np.array([
     (60, 0.0, 10, 0.0, 50, 0.05, 0, 0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1), (9, 0.0, 3, 1.0, 55, 0.0, 0, 0, 0, 0, 1, 1), (120, 0.1, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
     (16, 0.0, 45, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (4, 0.0, 90, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 1), (35, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
     (50, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (28, 0.0, 70, 0.1, 2, 1.0, 0, 0, 0, 0, 0, 1), (75, 0.05, 30, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 1), (40, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 10, 0.0, 0, 0.0, 1, 1, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 70, 0.0, 1, 1, 0, 0, 1, 1), (7, 0.0, 20, 0.0, 3, 0.0, 1, 1, 0, 0, 0, 1), (1, 0.0, 8, 0.3, 5, 0.0, 1, 1, 0, 0, 0, 1),
+    (4, 0.0, 6, 0.0, 1, 1.0, 1, 1, 0, 0, 0, 1), (2, 0.0, 3, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1), (1, 0.0, 12, 0.0, 6, 0.0, 0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 8, 0.0, 0, 0, 0, 0, 1, 1),
+    (2, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (6, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1),
     # menus, headers, footers, sidebars, forms
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 14, 0.0, 0, 1, 1, 0, 0, 0), (22, 0.0, 60, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 0),
     (90, 0.0, 80, 0.0, 5, 0.0, 0, 1, 1, 0, 0, 0), (6, 0.0, 0, 0.0, 8, 1.0, 0, 1, 1, 0, 1, 0), (3, 0.4, 2, 1.0, 40, 0.0, 1, 1, 1, 0, 0, 0), (60, 0.1, 9, 0.0, 30, 0.0, 1, 1, 1, 0, 0, 0),
     (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 1, 0, 0, 0), (40, 0.0, 20, 0.0, 30, 0.0, 0, 0, 1, 0, 0, 0), (4, 0.0, 3, 0.0, 20, 0.0, 0, 0, 1, 0, 1, 0), (12, 0.3, 9, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
+    (35, 0.0, 30, 0.0, 40, 0.0, 0, 1, 1, 0, 0, 0), (120, 0.05, 60, 0.0, 20, 0.0, 0, 0, 1, 0, 0, 0), (65, 0.0, 25, 0.0, 15, 0.0, 0, 0, 1, 0, 0, 0), (28, 0.1, 0, 0.0, 90, 0.0, 1, 1, 1, 0, 0, 0),
+    (200, 0.0, 10, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 0), (50, 0.0, 70, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0),
     # notices, adverts, comments, teasers by name of class or id
     (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0, 1, 0, 0), (70, 0.0, 5, 0.0, 80, 0.0, 0, 1, 0, 1, 0, 0), (30, 0.1, 80, 0.0, 25, 0.0, 1, 1, 0, 1, 0, 0), (4, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 1, 1, 0),
     (18, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), (55, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 0), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0), (110, 0.0, 30, 0.0, 90, 0.0, 1, 1, 0, 1, 0, 0),
+    (150, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1, 0, 0), (33, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0), (26, 0.0, 15, 0.0, 60, 0.0, 1, 1, 0, 1, 0, 0), (80, 0.0, 20, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0),
     # outside the article of a page that marks it
     (7, 0.0, 2, 1.0, 12, 0.0, 0, 1, 0, 0, 0, 0), (45, 0.0, 60, 0.0, 10, 0.0, 0, 1, 0, 0, 0, 0), (3, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0, 0, 0), (10, 0.0, 0, 0.0, 6, 0.0, 0, 1, 0, 0, 1, 0),
+    (60, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 0, 0), (25, 0.05, 10, 0.0, 80, 0.0, 0, 1, 0, 0, 0, 0), (110, 0.0, 50, 0.0, 3, 0.0, 0, 1, 0, 0, 0, 0), (2, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0),
     # links without any mark
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (8, 0.9, 7, 0.9, 9, 1.0, 0, 0, 0, 0, 0, 0), (5, 0.8, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0, 0),
     (12, 0.7, 50, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0), (1, 1.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
