@@ -33,6 +33,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .graph_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
