@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw, slices
@@ -112,11 +112,15 @@ def dual_coordinate_descent(x: list[np.ndarray], scale: np.ndarray, sign: np.nda
     return w, bias
 
 
-def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "label", most: int = TRAIN_ROWS) -> Model:
-    """Fits the model on at most `most` rows that have a text and a label of 0 or 1; with one class only it answers with that."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), key.alias("key"))
-    chosen = even_sample(rows.select("label", "key"), "label", F.col("key"), most).select("key").distinct()
-    found = rows.join(chosen, "key", "left_semi").select("text", "label").mapInArrow(_training_rows, "label int, found binary").collect()
+def train(documents: DataFrame, labels: DataFrame, text: str = "text", most: int = TRAIN_ROWS) -> Model:
+    """Fits the model on the texts of at most `most` rows of labels (key, label 0 or 1); with one class only it answers with that.
+
+    The chosen keys are few enough to be sent to every task, so no text is moved but theirs.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("key").isNotNull()).select("key", F.col("label").cast("int").alias("label"))
+    chosen = even_sample(known, "label", F.col("key"), most).dropDuplicates(["key"])
+    rows = documents.select("key", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
+    found = rows.select("text", "label").mapInArrow(_training_rows, "label int, found binary").collect()
     found.sort(key=lambda r: (r["label"], r["found"]))
     x, y = [np.frombuffer(r["found"], np.uint16) for r in found], np.array([r["label"] for r in found], int)
     if len(set(y.tolist())) < 2:
@@ -159,6 +163,6 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def grade(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted, learnt from the labelled documents that aren't held out."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out(3, 1) & F.col("label").isNotNull())
-    model = train(documents.select("doc_id", "text").join(known, "doc_id"), F.col("doc_id"))
+    known = labels.where(~held_out(3, 1)).select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    model = train(documents.select(F.col("doc_id").alias("key"), "text"), known)
     return predict(documents, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
