@@ -1,8 +1,78 @@
-"""The corpus pipeline: language ID, near duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: language ID, near duplicates, personal data, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), docs having the columns of `documents`, and works on every
+row that the stage before it has kept. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywing.llm import langid, mixing, ngram_join, packing, pii
+from tallywing.llm.common import new_path, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with enough confidence, lang being the predicted one.
+
+    The model learns from the labelled rows of docs. A null text or one without a letter is
+    rejected; without any labelled row, everything is.
+    """
+    docs = _documents(docs)
+    model = langid.train(docs, F.col("doc_id"))
+    found = langid.label_rows(docs, model).where(~F.col("rejected"))
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.{c}").alias(c) for c in COLUMNS])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows that share a doc_id become one; rows without a doc_id stay.
+    """
+    docs = _documents(docs)
+    groups = ngram_join.shingle_components(docs)
+    dropped = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return _documents(kept.unionByName(docs.where(F.col("doc_id").isNull())))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind; n_chars counts the new text."""
+    docs = _documents(docs).withColumn("text", pii.redacted(F.col("text")))
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, repeated as often as it takes them; those without a word go."""
+    docs = _documents(docs)
+    taken = mixing.mix(docs).where(F.col("taken") > 0).groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = taken.select(F.col("doc_id").alias("taken_id"), "times")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return _documents(joined.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("times")))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in packed sequences."""
+    return packing.pack_documents(_documents(docs))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("pack", pack)]
+#: Language, shingle and packing stages can't be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        to = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(to)
+        docs = spark.read.parquet(to)
+    return STAGES[-1][1](spark, docs, sf_dir)

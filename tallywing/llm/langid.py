@@ -88,7 +88,7 @@ def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "la
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key"))
     chosen = even_sample(rows.select("label", "key"), "label", F.col("key"), most)
-    found = rows.join(chosen.select("key").distinct(), "key", "left_semi").select("text", "label").mapInArrow(_count_grams, "label string, bucket binary, share binary").collect()
+    found = rows.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").select("text", "label").mapInArrow(_count_grams, "label string, bucket binary, share binary").collect()
     found.sort(key=lambda r: (r["label"], r["bucket"], r["share"]))
     languages = sorted({r["label"] for r in found})
     if not languages:
@@ -151,6 +151,22 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(_predictor(model), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
 
 
+def label_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Every row of df as a struct `row`, with lang_pred, score and rejected beside it; no name of df can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(row.alias("row"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+
+    at, labelled = df.columns.index(text), _predictor(model)
+
+    def with_text(batches):
+        for batch in batches:
+            texts = batch.column("row").field(at)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts, batch.column("letters")], ["key", "text", "letters"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: labelled(with_text(batches)), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", "row")
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import new_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read, write
+
+    to = new_path(spark, "token-files")
+    write(table(spark, sf_dir, "documents"), to)
+    return read(spark, to).withColumnRenamed("key", "doc_id")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import shingle_components
 
