@@ -102,7 +102,7 @@ def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "la
     temperature, least = 1.0, 0.0
     if held.any():
         z = np.stack([(scores[x[i][0]] * x[i][1][:, None]).sum(axis=0) + bias for i in np.flatnonzero(held)])
-        loss = {t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-9).mean() for t in np.geomspace(0.05, 5, 41)}
+        loss = {t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-9).mean() for t in np.geomspace(0.01, 5, 61)}
         temperature = min(loss, key=loss.get)
         p = _softmax(z / temperature)
         right = p.argmax(axis=1) == y[held]

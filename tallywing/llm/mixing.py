@@ -47,7 +47,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: in
         .withColumn("spent_", F.coalesce(F.sum("cap_").over(before), F.lit(0.0)))
         .withColumn("used_", F.coalesce(F.sum("w_").over(before), F.lit(0.0)))
         .withColumn("share_", (F.col("all_") - F.col("spent_")) / (F.col("weights_") - F.col("used_")))
-        .withColumn("common_", F.min(F.when(F.col("share_") <= F.col("level_"), F.col("share_"))).over(whole))
+        .withColumn("common_", F.min(F.when(F.col("share_") <= F.col("level_"), F.struct("level_", "n_", "share_"))).over(whole)["share_"])
     )
     target = F.when(F.col("common_").isNull(), F.col("cap_")).otherwise(F.least(F.col("cap_"), F.col("w_") * F.col("common_")))
     return ranked.select("source", "rows_n", "source_size", target.alias("target"))

@@ -86,7 +86,8 @@ r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS level FROM r),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY level, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY level, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS share FROM c),
-t AS (SELECT source, source_size, CASE WHEN min(CASE WHEN share <= level THEN share END) OVER () IS NULL THEN cap ELSE least(cap, w * min(CASE WHEN share <= level THEN share END) OVER ()) END AS target FROM l),
+k AS (SELECT (SELECT share FROM l WHERE share <= level ORDER BY level, n LIMIT 1) AS common),
+t AS (SELECT source, source_size, CASE WHEN common IS NULL THEN cap ELSE least(cap, w * common) END AS target FROM l, k),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size, d.doc_id ROWS UNBOUNDED PRECEDING) AS sent
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
