@@ -1,7 +1,7 @@
 """Near duplicates among embeddings, by a robust-pruned flat graph over overlapping cluster shards.
 
 Vectors of a label are clustered around centres found on a bounded sample, and each goes to its
-`OVERLAP` nearest centres. A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of
+`OVERLAP` nearest centres, so many that shards are half full on average. A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of
 blocks becomes a task, so that every pair of a shard's vectors meets and no task holds more than a
 bounded number. Tasks link each vector to a robust-pruned choice of its nearest ones; the lists of
 all tasks are united by vector. Then every task searches for each of its vectors: greedily from the
@@ -23,85 +23,97 @@ from .ann import _matrix, usable
 from .common import cut
 from .components import components
 
-SHARD_ROWS, OVERLAP = 4096, 2
+SHARD_ROWS, OVERLAP = 2048, 2
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 2048
-DEGREE, CANDIDATES, ALPHA, BEAM = 32, 64, 1.2, 8
+DEGREE, CANDIDATES, ALPHA = 32, 64, 1.2
 AUDITED = 32
 
 
-def robust_prune(order: np.ndarray, near: np.ndarray, among: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Of candidates, nearest first, those not much nearer to one already chosen: indices into order."""
-    alive, chosen = np.ones(len(order), bool), []
-    for i in range(len(order)):
-        if alive[i]:
-            chosen.append(i)
-            if len(chosen) == degree:
-                break
-            alive &= alpha * among[i] > near
+def robust_prune(near: np.ndarray, among: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Which of each row's candidates, nearest first, are chosen: those not much nearer to one already chosen.
+
+    near: distances (rows, candidates); among: distances between the candidates of each row.
+    """
+    alive, chosen, count = np.ones(near.shape, bool), np.zeros(near.shape, bool), np.zeros(len(near), np.int64)
+    for i in range(near.shape[1]):
+        pick = alive[:, i] & (count < degree)
+        chosen[:, i] = pick
+        count += pick
+        alive &= ~pick[:, None] | (alpha * among[:, i, :] > near)
     return chosen
 
 
-def build(unit: np.ndarray) -> list[np.ndarray]:
-    """For each unit vector the neighbours chosen for it, and those that have chosen it."""
+def _distance(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * cosine))
+
+
+def build(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector the neighbours chosen for it and those that have chosen it: offsets, and indices."""
     n = len(unit)
-    lists: list[list[int]] = [[] for _ in range(n)]
     most = min(CANDIDATES, n - 1)
     if most < 1:
-        return [np.zeros(0, np.int64) for _ in lists]
-    for a in range(0, n, 512):
-        sims = unit[a : a + 512] @ unit.T
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
+    own, other = [], []
+    for a in range(0, n, 256):
+        sims = unit[a : a + 256] @ unit.T
         sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
         part = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-        for i in range(len(sims)):
-            order = part[i][np.argsort(-sims[i, part[i]], kind="stable")]
-            near = np.sqrt(np.maximum(0, 2 - 2 * sims[i, order]))
-            among = np.sqrt(np.maximum(0, 2 - 2 * (unit[order] @ unit[order].T)))
-            lists[a + i] = order[robust_prune(order, near, among)].tolist()
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, own in enumerate(lists):
-        for j in own:
-            if len(back[j]) < DEGREE:
-                back[j].append(i)
-    return [np.unique(np.array(x + y, np.int64)) for x, y in zip(lists, back, strict=True)]
-
-
-def range_search(unit: np.ndarray, lists: list[np.ndarray], least: float, at: np.ndarray):
-    """For each vector in `at`, the others in range: greedily from the medoid, then on through all that are in range."""
-    centre = unit.mean(axis=0)
-    medoid = int(np.argmax(unit @ centre))
-    seen = np.full(len(unit), -1)
-    for query in at.tolist():
-        q = unit[query]
-        # greedy walk with a short beam
-        seen[medoid] = query
-        beam, best = np.array([medoid]), np.array([unit[medoid] @ q])
-        opened: set[int] = set()
-        while True:
-            todo = [int(b) for b in beam if int(b) not in opened][:2]
-            if not todo:
-                break
-            opened.update(todo)
-            new = np.unique(np.concatenate([lists[b] for b in todo]))
-            new = new[seen[new] != query]
-            if len(new):
-                seen[new] = query
-                beam, best = np.r_[beam, new], np.r_[best, unit[new] @ q]
-                keep = np.argsort(-best, kind="stable")[:BEAM]
-                beam, best = beam[keep], best[keep]
-        seen[seen == query] = -1
-        # range expansion from the beam and from the vector's own list
-        front = np.unique(np.r_[beam, lists[query], query])
-        seen[front] = query
-        found = []
-        while len(front):
-            front = front[unit[front] @ q >= least]
-            found.append(front)
-            if not len(front):
-                break
-            new = np.unique(np.concatenate([lists[f] for f in front]))
-            front = new[seen[new] != query]
-            seen[front] = query
-        yield np.setdiff1d(np.concatenate(found), [query]) if found else np.zeros(0, np.int64)
+        cosine = np.take_along_axis(sims, part, axis=1)
+        rank = np.argsort(-cosine, axis=1, kind="stable")
+        order, cosine = np.take_along_axis(part, rank, axis=1), np.take_along_axis(cosine, rank, axis=1)
+        vectors = unit[order]
+        row, at = np.nonzero(robust_prune(_distance(cosine), _distance(vectors @ vectors.transpose(0, 2, 1))))
+        own.append(row + a)
+        other.append(order[row, at])
+    own, other = np.concatenate(own), np.concatenate(other)
+    back = np.argsort(other, kind="stable")
+    first = np.searchsorted(other[back], other[back])
+    back = back[np.arange(len(back)) - first < DEGREE]
+    pairs = np.unique(np.r_[own * n + other, other[back] * n + own[back]])
+    return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
+
+
+def range_search(unit: np.ndarray, off: np.ndarray, flat: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each vector the others in range: greedily from the medoid, then on through all that are in range.
+
+    All walks take their steps together; only vectors with something in range go on one by one.
+    """
+    n = len(unit)
+    width = int(np.diff(off).max(initial=0))
+    padded = np.repeat(np.arange(n)[:, None], max(width, 1), axis=1)
+    place = np.arange(len(flat)) - np.repeat(off[:-1], np.diff(off))
+    padded[np.repeat(np.arange(n), np.diff(off)), place] = flat
+    medoid = int(np.argmax(unit @ unit.mean(axis=0)))
+    seen = np.full(n, -1)
+    out = []
+    for a in range(0, n, 128):
+        q = unit[a : a + 128]
+        me = np.arange(a, a + len(q))
+        at, best = np.full(len(q), medoid), q @ unit[medoid]
+        walking = np.arange(len(q))
+        while len(walking):
+            near = padded[at[walking]]
+            sims = np.einsum("qd,qkd->qk", q[walking], unit[near])
+            top = sims.argmax(axis=1)
+            better = sims[np.arange(len(walking)), top] > best[walking] + 1e-12
+            walking, near, sims, top = walking[better], near[better], sims[better], top[better]
+            at[walking], best[walking] = near[np.arange(len(walking)), top], sims[np.arange(len(walking)), top]
+        front = np.concatenate([at[:, None], padded[at], padded[me]], axis=1)
+        near = (np.einsum("qd,qkd->qk", q, unit[front]) >= least) & (front != me[:, None])
+        for i in range(len(q)):
+            if not near[i].any():
+                out.append(np.zeros(0, np.int64))
+                continue
+            todo, found = np.unique(front[i, near[i]]), []
+            seen[front[i]] = seen[me[i]] = me[i]
+            while len(todo):
+                found.append(todo)
+                new = np.unique(padded[todo])
+                new = new[seen[new] != me[i]]
+                seen[new] = me[i]
+                todo = new[unit[new] @ q[i] >= least]
+            out.append(np.concatenate(found))
+    return out
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -118,7 +130,7 @@ def _centres(rows: DataFrame, seed: int = 11) -> dict[int, np.ndarray]:
     rng, out, total = np.random.default_rng(seed), {}, sum(sizes.values())
     for label, n in sizes.items():
         own = points[labels == label]
-        k = min(-(-n * OVERLAP // SHARD_ROWS), max(2, MOST_CENTRES * n // total), len(own))
+        k = min(-(-2 * n * OVERLAP // SHARD_ROWS), max(2, MOST_CENTRES * n // total), len(own))
         if k < 2:
             continue
         centres = own[rng.choice(len(own), k, replace=False)]
@@ -174,8 +186,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     def linked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id").combine_chunks()
         ids = np.asarray(table.column("id"))
-        lists = build(_unit(_matrix(table.column("vector").chunk(0), np.float64))) if len(ids) else []
-        return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.array([ids[x] for x in lists], pa.list_(pa.int64()))})
+        off, flat = build(_unit(_matrix(table.column("vector").chunk(0), np.float64)))
+        return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids[flat], pa.int64()))})
 
     graph = placed.groupBy(*task).applyInArrow(linked, "id long, near array<long>")
     graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -192,12 +204,13 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         flat, off = np.asarray(near.flatten(), np.int64), np.r_[0, np.cumsum(np.asarray(near.value_lengths().fill_null(0)))].astype(np.int64)
         at = np.searchsorted(ids, flat)
         known = (at < n) & (ids[np.minimum(at, n - 1)] == flat)
-        lists = [at[a:b][known[a:b]] for a, b in zip(off[:-1], off[1:], strict=True)]
+        kept = np.r_[0, np.cumsum(known)]
+        off, flat = kept[off], at[known]
         norms = np.linalg.norm(vectors, axis=1)
         slack = least - 1e-9
         audited = np.argsort((ids * 2654435761) % (1 << 32), kind="stable")[:AUDITED]
         truth = {int(i): np.setdiff1d(np.flatnonzero(unit @ unit[i] >= slack), [i]) for i in audited}
-        found = list(range_search(unit, lists, slack, np.arange(n)))
+        found = range_search(unit, off, flat, slack)
         hit = {i: len(np.intersect1d(found[i], t)) for i, t in truth.items()}
         if any(hit[i] < len(t) for i, t in truth.items()):
             found = [np.setdiff1d(np.flatnonzero(unit @ unit[i] >= slack), [i]) for i in range(n)]
