@@ -182,7 +182,7 @@ def decode(data: bytes) -> np.ndarray:
         c, w = value - w * start, w * part
         short = w < _TOP
         who = lanes[short]
-        c[short] = (c[short] << _U(16)) | words[who, place[who]].astype(_U)
+        c[short] = (c[short] << _U(16)) | words[who, np.minimum(place[who], words.shape[1] - 1)].astype(_U)  # spoilt data may ask for more
         place[who] += 1
         code[lanes] = c
         width[lanes] = np.where(short, w << _U(16), w)
