@@ -41,7 +41,7 @@ s3 AS (SELECT *, asin(sin(radians(23.4397)) * sin(l)) AS dec, radians(280.16 + 3
 sun AS (SELECT *, asin(sin(radians({lat})) * sin(dec) + cos(radians({lat})) * cos(dec) * cos(h)) AS altitude, atan2(sin(h), cos(h) * sin(radians({lat})) - tan(dec) * cos(radians({lat}))) AS azimuth FROM s3)"""
 
 
-_LAT, _LON = LOCATIONS["Defile"]
+_LAT, _LON = LOCATIONS["Gorge"]
 
 
 @query(f"WITH {a.STATION}, base AS (SELECT *, epoch(date + to_hours(hour))::DOUBLE AS t FROM wx), {_sun_sql('t', _LAT, _LON)} SELECT {_KEY}, hour::BIGINT AS hour, round(altitude, 5) AS altitude, round(azimuth, 5) AS azimuth FROM sun")
@@ -51,7 +51,7 @@ def wx_sun(spark, sf_dir):
     return a.written(a.rounded(w.select("location", "date", "hour", altitude.alias("altitude"), azimuth.alias("azimuth")), "altitude", "azimuth", digits=5))
 
 
-def night_mask(spark, threshold: float = -6.0, station: str = "Defile", year: int = 2001):
+def night_mask(spark, threshold: float = -6.0, station: str = "Gorge", year: int = 2001):
     """doy, hour and night: whether the sun is lower than the threshold at that hour (UTC) of that day."""
     lat, lon = LOCATIONS[station]
     grid = spark.range(1, 367).select(F.col("id").cast("int").alias("doy"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))

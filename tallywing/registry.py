@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions.weather import wind_components
 
-# Station coordinates (latitude, longitude in degrees).
+# Station coordinates (latitude, longitude in degrees); add stations of your own by name.
 LOCATIONS = {
-    "Defile": (46.117215, 5.914877), "Basel": (47.561227, 7.603047), "MontTendre": (46.594542, 6.309533), "Chasseral": (47.132963, 7.058849), "ColGrandSaintBernard": (45.868846, 7.165453),
+    "Gorge": (46.117215, 5.914877), "Basel": (47.561227, 7.603047), "MontTendre": (46.594542, 6.309533), "Chasseral": (47.132963, 7.058849), "ColGrandSaintBernard": (45.868846, 7.165453),
     "Schaffhausen": (47.697376, 8.634737), "Munich": (48.144714, 11.572036), "Dijon": (47.323463, 5.033933), "Frankfurt": (50.118894, 8.670885), "Stuttgart": (48.775951, 9.181457),
     "Berlin": (52.522825, 13.404231), "Prague": (50.072197, 14.436136), "Warsaw": (52.21639, 21.014928),
 }

@@ -234,17 +234,17 @@ def test_cache_round_trip_and_pushdown(spark, tmp_path):
 
 def test_weather_from_stored_answers(spark, tmp_path):
     n = 24 * 5
-    for place in ("Defile", "Basel"):
+    for place in ("Gorge", "Basel"):
         hourly = {"start": 1717200000, "end": 1717200000 + 3600 * n, "interval": 3600, "temperature_2m": [float(i % 24) for i in range(n)], "precipitation": [1.0] * n}
         (tmp_path / f"{place}.json").write_text(json.dumps({"hourly": hourly}))
     args = {"source": "archive", "start": "2024-06-01", "end": "2024-06-05", "responses": str(tmp_path)}
-    hours = forecasts.weather(spark, ["Defile", "Basel"], ["temperature_2m", "total_precipitation", "sun_altitude"], **args)
+    hours = forecasts.weather(spark, ["Gorge", "Basel"], ["temperature_2m", "total_precipitation", "sun_altitude"], **args)
     assert hours.count() == 2 * n and hours.agg(F.min("temperature_2m")).first()[0] == pytest.approx(273.15) and "sun_azimuth" in hours.columns
-    days = forecasts.weather(spark, ["Defile", "Basel"], ["temperature_2m", "total_precipitation"], resolution="daily", lag_days=2, **args)
+    days = forecasts.weather(spark, ["Gorge", "Basel"], ["temperature_2m", "total_precipitation"], resolution="daily", lag_days=2, **args)
     assert days.count() == 4 * 2 * 2 and days.agg(F.max("total_precipitation")).first()[0] == pytest.approx(0.024)
     for bad in ({"source": "crystal ball"}, {"resolution": "yearly"}, {"source": "cache"}, {"source": "archive"}, {"source": "forecast", "resolution": "daily"}):
         with pytest.raises(ValueError):
-            forecasts.weather(spark, "Defile", "temperature_2m", **bad)
+            forecasts.weather(spark, "Gorge", "temperature_2m", **bad)
 
 
 def test_retries():
