@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,8 +47,12 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Consecutive slices of a batch whose texts hold at most `most` bytes, or one row."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Consecutive slices of a batch whose texts hold at most `most` bytes, or one row.
+
+    Work arrays are several times a slice's size. What Arrow has freed by the end goes back to the
+    system, since Python workers live on and share the executor's memory.
+    """
     _, off = raw(batch.column(column))
     at, n = 0, batch.num_rows
     while at < n:
@@ -49,6 +60,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         to = min(to, n)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, the batches that Python gets of it being bounded by bytes: rows of text differ in length a thousandfold."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if now and now.rstrip("b").isdigit() and int(now.rstrip("b")) > most:
+        conf.set(key, f"{most}b")
+    return df
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

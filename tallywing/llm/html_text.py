@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from .common import bounded_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
@@ -217,5 +217,5 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html has the empty text. Repeated rows get a row each; ids and urls may be null.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html")
+    rows = bounded_batches(pages).select("page_id", "url", "html")
     return rows.mapInArrow(_extractor(grow(LABELLED)), f"page_id {kind}, url string, text string, n_chars long, blocks_dropped long")

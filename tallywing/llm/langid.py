@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_doc, raw, slices
+from .common import bounded_batches, per_doc, raw, slices
 from .linear_features import even_sample, folded, inside_text, ngram_buckets
 
 BITS, WIDTHS, DIM = 15, (3, 4), 16
@@ -57,7 +57,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, epochs: int = 8, rate: float = 4.0, seed: int = 7):
+def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, epochs: int = 6, rate: float = 40.0, seed: int = 7):
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     weights, bias = np.zeros((n_classes, DIM), np.float32), np.zeros(n_classes, np.float32)
@@ -86,7 +86,7 @@ def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "la
 
     Without any such row the model knows no language, and everything is rejected.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key"))
+    rows = bounded_batches(labelled).where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key"))
     chosen = even_sample(rows.select("label", "key"), "label", F.col("key"), most)
     found = rows.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").select("text", "label").mapInArrow(_count_grams, "label string, bucket binary, share binary").collect()
     found.sort(key=lambda r: (r["label"], r["bucket"], r["share"]))
@@ -148,7 +148,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = df.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_predictor(model), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
+    return bounded_batches(rows).mapInArrow(_predictor(model), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
 
 
 def label_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def label_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), texts, batch.column("letters")], ["key", "text", "letters"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: labelled(with_text(batches)), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", "row")
+    return bounded_batches(rows).mapInArrow(lambda batches: labelled(with_text(batches)), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", "row")
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:

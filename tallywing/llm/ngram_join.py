@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, raw, slices
+from .common import bounded_batches, cut, raw, slices
 from .components import components
 from .signature_tree import linked, similar
 from .words import sequence_prints, shingle_sets, word_hashes
@@ -86,7 +86,7 @@ def shingle_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     component of null. Other columns are not read.
     """
     spark = documents.sparkSession
-    documents = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    documents = bounded_batches(documents).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     heavy = spark.sparkContext.broadcast(_heavy(documents.where(F.col("key").isNotNull())))
 
     def described(batches):

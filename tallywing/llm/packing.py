@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 from .tokens import default_path, encoder
 
 WINDOW, SMALLEST, STEP_TOKENS = 4096, 256, 1 << 16
 END = 2
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def pack(lengths: np.ndarray, window: int = WINDOW, smallest: int = SMALLEST) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -161,7 +161,7 @@ def pack_documents(documents: DataFrame, path: str | None = None, key: str = "do
     """
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = documents.schema[key].dataType.simpleString()
-    out = rows.mapInArrow(
+    out = bounded_batches(rows).mapInArrow(
         _packer(path or default_path(), None),
         f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long",
     )

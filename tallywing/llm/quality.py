@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import bounded_batches, raw, slices
 from .langid import held_out
 from .linear_features import even_sample, folded, inside_text, ngram_buckets
 from .words import LOWER, mix, word_bounds, word_hashes
@@ -119,7 +119,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", most: int
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("key").isNotNull()).select("key", F.col("label").cast("int").alias("label"))
     chosen = even_sample(known, "label", F.col("key"), most).dropDuplicates(["key"])
-    rows = documents.select("key", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
+    rows = bounded_batches(documents).select("key", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
     found = rows.select("text", "label").mapInArrow(_training_rows, "label int, found binary").collect()
     found.sort(key=lambda r: (r["label"], r["found"]))
     x, y = [np.frombuffer(r["found"], np.uint16) for r in found], np.array([r["label"] for r in found], int)
@@ -158,7 +158,7 @@ def _scorer(model: Model):
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of every row; a null text counts as empty, and an empty text gets the score of no indicator."""
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(_scorer(model), f"key {df.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    return bounded_batches(rows).mapInArrow(_scorer(model), f"key {df.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def grade(documents: DataFrame, labels: DataFrame) -> DataFrame:

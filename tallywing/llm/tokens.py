@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_KEPT = 400_000
-MOST_PIECES = 1_000_000
+MOST_KEPT = 200_000
+MOST_PIECES = 250_000
 LONGEST_KEPT = 64
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")

@@ -16,6 +16,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C13)  # 3 mod 8, so that 1 - base loses one bit
 _BYTE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(20240301).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
+MOST_POWERS = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,12 +26,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _power_tables(size: int) -> list[np.ndarray]:
+    inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+    return [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, inverse)]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0 to n - 1 and their inverses, modulo 2**64."""
+    """The base's powers 0 to n - 1 and their inverses, modulo 2**64; tables for very long texts are not kept."""
+    if n > MOST_POWERS:
+        power, inverse = _power_tables(n)
+        return power, inverse
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, inverse)]
+        _powers[:] = _power_tables(1 << max(16, (n - 1).bit_length()))
     return _powers[0][:n], _powers[1][:n]
 
 
