@@ -183,16 +183,20 @@ def _checked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     if not large.limit(1).count():
         return links
     state = large.select("cid", "grp", "tokens", "m", F.col("cid").alias("label"))
+    # a group is dealt out in even parts, and its hub sent to each of them
+    parts = F.ceil(F.col("m") / (TREE_ROWS // 2)).cast("int")
     hub_links = None
     for _ in range(HUB_ROUNDS):
-        hub = state.where(F.col("label") == F.col("cid")).groupBy("grp").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "tokens")).alias("hub"))
+        hub = state.where(F.col("label") == F.col("cid")).groupBy("grp").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "tokens")).alias("hub"), F.first("m").alias("m"))
+        hub = hub.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
         def against(batches):
             for batch in batches:
                 hit = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) if x is not None and y is not None else False for x, y in zip(batch.column("tokens").to_pylist(), batch.column("hub_tokens").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("grp"), batch.column("tokens"), batch.column("m"), batch.column("label"), batch.column("hub"), pa.array(hit)], ["cid", "grp", "tokens", "m", "label", "hub", "hit"])
 
-        met = state.join(hub.select("grp", F.col("hub.cid").alias("hub"), F.col("hub.tokens").alias("hub_tokens")), "grp", "left")
+        dealt = state.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), parts).cast("int"))
+        met = dealt.join(hub.select("grp", "part", F.col("hub.cid").alias("hub"), F.col("hub.tokens").alias("hub_tokens")), ["grp", "part"], "left")
         met = cut(met.select("cid", "grp", "tokens", "m", "label", "hub", "hub_tokens").mapInArrow(against, f"cid {kind}, grp {kind}, tokens binary, m long, label {kind}, hub {kind}, hit boolean"))
         new = met.where("hit").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
         hub_links = new if hub_links is None else hub_links.unionByName(new)
