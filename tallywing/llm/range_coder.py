@@ -16,14 +16,16 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
-_SLOTS = 11  # bits of a block's prediction tables
+BLOCK_IDS, LANES = 1024, 512
+_SLOTS = 9  # bits of a block's prediction tables
 _U = np.uint64
 _TOP, _LOW48 = _U(1 << 32), _U((1 << 48) - 1)
 _ODDS = 15  # bits of all odds
 #: Id ranges: 16 ids each below 2048, 256 ids each above, up to 2**16.
 _EDGE = np.concatenate([np.arange(0, 2048, 16), np.arange(2048, 1 << 16, 256)]).astype(np.int64)
 _RANGES = len(_EDGE)
+_BITS = np.where(np.arange(_RANGES) < 128, 4, 8).astype(_U)
+_SPAN = (_U(1) << _BITS) - _U(1)
 _MAGIC = b"TWR1"
 
 
@@ -51,6 +53,30 @@ class _Model:
         self.cum = np.zeros((self.n, _RANGES + 1), np.int64)
         np.cumsum(part, axis=1, out=self.cum[:, 1:])
         self.cum[:, -1] = 1 << _ODDS
+        self.starts = None
+
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The range of each lane whose odds hold the value."""
+        if self.starts is None:  # for each 1/256 of the odds the last range that begins at or before it
+            step = (self.cum[:, :-1] + 127) >> 7
+            flat = np.bincount((self.lane[:, None] * 258 + step).ravel(), minlength=self.n * 258)
+            self.starts = np.cumsum(flat.reshape(self.n, 258), axis=1) - 1
+        cell = lanes * 258 + (value >> 7)
+        starts = self.starts.ravel()
+        low, high = starts[cell], starts[cell + 1]
+        todo = np.flatnonzero(low < high)
+        lane, v, x, y = lanes[todo] * (_RANGES + 1), value[todo], low[todo], high[todo]
+        cum = self.cum.ravel()
+        while len(todo):
+            middle = (x + y + 1) >> 1
+            right = cum[lane + middle] <= v
+            x, y = np.where(right, middle, x), np.where(right, y, middle - 1)
+            open_ = x < y
+            if not open_.all():
+                done = ~open_
+                low[todo[done]] = x[done]
+                todo, lane, v, x, y = todo[open_], lane[open_], v[open_], x[open_], y[open_]
+        return low
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """The predicted ids and where their odds end: order 2 in [0, x), order 1 in [x, y), escape above."""
@@ -64,9 +90,9 @@ class _Model:
         ctx = self.lane * 16 + self.same * 8
         self.i2, self.i1 = ctx + self.c2, ctx + self.c1
         self.x2, self.x1 = self.hit2[self.i2], self.hit2_by1[self.i1]
-        x = np.clip((self.x2 * self.weight + self.x1 * (256 - self.weight)) >> 8, 32, (1 << _ODDS) - 1024)
+        x = np.minimum(np.maximum((self.x2 * self.weight + self.x1 * (256 - self.weight)) >> 8, 32), (1 << _ODDS) - 1024)
         rest = (1 << _ODDS) - x
-        y = np.where(self.same, 0, np.clip((rest * (self.hit1[self.i1] >> 3)) >> 12, 16, rest - 512))
+        y = np.where(self.same, 0, np.minimum(np.maximum((rest * (self.hit1[self.i1] >> 3)) >> 12, 16), rest - 512))
         return x.astype(np.int64), (x + y).astype(np.int64)
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, live: int) -> None:
@@ -75,14 +101,16 @@ class _Model:
         goal = hit2[s].astype(np.int32) << _ODDS
         i2, i1 = self.i2[s], self.i1[s]
         better = np.abs(goal - self.x2[s]) < np.abs(goal - self.x1[s])
-        self.weight[s] = np.clip(self.weight[s] + np.where(better, 2, -2), 16, 240)
-        self.hit2[i2] += (goal - self.x2[s]) >> 5
-        self.hit2_by1[i1] += (goal - self.x1[s]) >> 5
-        miss = i1[~hit2[s]]
-        self.hit1[miss] += ((hit1[s][~hit2[s]].astype(np.int32) << _ODDS) - self.hit1[miss]) >> 5
+        self.weight[s] = np.minimum(np.maximum(self.weight[s] + (better * np.int32(4) - np.int32(2)), 16), 240)
+        self.hit2[i2] = self.x2[s] + ((goal - self.x2[s]) >> 5)
+        self.hit2_by1[i1] = self.x1[s] + ((goal - self.x1[s]) >> 5)
+        missed = np.flatnonzero(~hit2)
+        miss = i1[missed]
+        odds = self.hit1[miss]
+        self.hit1[miss] = odds + (((hit1[missed].astype(np.int32) << _ODDS) - odds) >> 5)
         new = ids.astype(np.uint32) << 8
-        self.two[self.at2[s]] = new | np.where(self.p2[s] == ids, np.minimum(self.c2[s] + 1, 7), 0).astype(np.uint32)
-        self.one[self.at1[s]] = new | np.where(self.p1[s] == ids, np.minimum(self.c1[s] + 1, 7), 0).astype(np.uint32)
+        self.two[self.at2[s]] = new | (np.minimum(self.c2[s] + 1, 7) * (self.p2[s] == ids)).astype(np.uint32)
+        self.one[self.at1[s]] = new | (np.minimum(self.c1[s] + 1, 7) * (self.p1[s] == ids)).astype(np.uint32)
         self.b[s], self.a[s] = self.a[s], ids
         self.step += 1
         if self.step % 256 == 0 or self.step in (16, 32, 64, 128):
@@ -96,8 +124,14 @@ def _range_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < 2048, ids >> 4, 128 + ((ids - 2048) >> 8))
 
 
-def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
+def block_size(n: int) -> int:
+    """Ids of a block for n ids: a power of two that gives some hundreds of blocks to code in step, BLOCK_IDS at most."""
+    return min(BLOCK_IDS, max(256, 1 << max(0, n // LANES - 1).bit_length()))
+
+
+def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     """All ids (each below 2**16) in blocks of `block` ids, the last one shorter."""
+    block = block or block_size(len(ids))
     n = -(-len(ids) // block)
     lengths = np.full(n, block, np.int64)
     if n:
@@ -110,10 +144,7 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     low, width = np.zeros(n, _U), np.full(n, _LOW48, _U)
     out, size = np.zeros((n, block * 4 + 8), np.uint16), np.zeros(n, np.int64)
 
-    def code(lanes, start, part, bits):
-        lo, w = low[lanes], width[lanes] >> bits
-        lo = lo + w * start
-        w = w * part
+    def carry(lo, lanes):
         over = lo > _LOW48
         if over.any():
             who = lanes[over]
@@ -123,30 +154,48 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
                 more = out[who, at] == 0
                 who, at = who[more], at[more] - 1
             lo &= _LOW48
-        short = w < _TOP
+
+    def shift(lo, w, lanes):
+        """Writes the top word of the lanes whose width has become short."""
+        short = np.flatnonzero(w < _TOP)
         who = lanes[short]
-        out[who, size[who]] = (lo[short] >> _U(32)).astype(np.uint16)
-        size[who] += 1
-        low[lanes] = np.where(short, (lo << _U(16)) & _LOW48, lo)
-        width[lanes] = np.where(short, w << _U(16), w)
+        at = size[who]
+        out[who, at] = lo[short] >> _U(32)
+        size[who] = at + 1
+        lo[short] = (lo[short] << _U(16)) & _LOW48
+        w[short] <<= _U(16)
 
     every = np.arange(n)
-    full = _U(1 << _ODDS)
+    full = 1 << _ODDS
     for t in range(int(lengths.max(initial=0))):
         live = n if t < lengths[-1] else n - 1
         now, lanes = table[t, :live], every[:live]
         x, y = model.predict()
+        x, y = x[:live], y[:live]
         hit2 = model.p2[:live] == now
         hit1 = (model.p1[:live] == now) & ~hit2
-        xl, yl = x[:live].astype(_U), y[:live].astype(_U)
-        start = np.where(hit2, _U(0), np.where(hit1, xl, yl))
-        code(lanes, start, np.where(hit2, xl, np.where(hit1, yl - xl, full - yl)), _U(_ODDS))
+        begin = np.where(hit2, 0, np.where(hit1, x, y))
+        end = np.where(hit2, x, np.where(hit1, y, full))
+        lo, w = low[:live], width[:live]
+        w >>= _U(_ODDS)
+        lo += w * begin.astype(_U)
+        w *= (end - begin).astype(_U)
+        carry(lo, lanes)
+        shift(lo, w, lanes)
         esc = np.flatnonzero(~(hit2 | hit1))
         if len(esc):
-            r = _range_of(now[esc])
+            new = now[esc]
+            r = _range_of(new)
             begin = model.cum[esc, r]
-            code(esc, begin.astype(_U), (model.cum[esc, r + 1] - begin).astype(_U), _U(_ODDS))
-            code(esc, (now[esc] - _EDGE[r]).astype(_U), _U(1), np.where(r < 128, _U(4), _U(8)))
+            lo, w = low[esc], width[esc] >> _U(_ODDS)
+            lo += w * begin.astype(_U)
+            w *= (model.cum[esc, r + 1] - begin).astype(_U)
+            w >>= _BITS[r]
+            lo += w * (new - _EDGE[r]).astype(_U)
+            carry(lo, esc)
+            shift(lo, w, esc)
+            shift(lo, w, esc)
+            low[esc], width[esc] = lo, w
             model.count(esc, r)
         model.learn(now, hit2, hit1, live)
     last = np.stack([(low >> _U(s)) & _U(0xFFFF) for s in (32, 16, 0)], axis=1).astype(np.uint16)
@@ -178,43 +227,47 @@ def decode(data: bytes) -> np.ndarray:
     place, width = np.full(n, 3, np.int64), np.full(n, _LOW48, _U)
     table = np.zeros((block, n), np.int64)
 
-    def take(lanes, value, start, part, w):
-        c, w = value - w * start, w * part
-        short = w < _TOP
+    last = words.shape[1] - 1
+
+    def shift(c, w, lanes):
+        short = np.flatnonzero(w < _TOP)
         who = lanes[short]
-        c[short] = (c[short] << _U(16)) | words[who, np.minimum(place[who], words.shape[1] - 1)].astype(_U)  # spoilt data may ask for more
-        place[who] += 1
-        code[lanes] = c
-        width[lanes] = np.where(short, w << _U(16), w)
+        at = place[who]
+        c[short] = (c[short] << _U(16)) | words[who, np.minimum(at, last)]  # spoilt data may ask for more
+        place[who] = at + 1
+        w[short] <<= _U(16)
 
-    full = _U(1 << _ODDS)
+    full = 1 << _ODDS
     for t in range(int(lengths.max(initial=0))):
         live = n if t < lengths[-1] else n - 1
         lanes = every[:live]
         x, y = model.predict()
-        xl, yl = x[:live].astype(_U), y[:live].astype(_U)
-        value, w = code[:live], width[:live] >> _U(_ODDS)
-        v = value // w
-        hit2 = v < xl
-        hit1 = ~hit2 & (v < yl)
-        take(lanes, value, np.where(hit2, _U(0), np.where(hit1, xl, yl)), np.where(hit2, xl, np.where(hit1, yl - xl, full - yl)), w)
+        x, y = x[:live], y[:live]
+        c, w = code[:live], width[:live]
+        w >>= _U(_ODDS)
+        v = (c // w).astype(np.int64)
+        hit2 = v < x
+        hit1 = ~hit2 & (v < y)
+        begin = np.where(hit2, 0, np.where(hit1, x, y))
+        end = np.where(hit2, x, np.where(hit1, y, full))
+        c -= w * begin.astype(_U)
+        w *= (end - begin).astype(_U)
+        shift(c, w, lanes)
         now = np.where(hit2, model.p2[:live], model.p1[:live])
         esc = np.flatnonzero(~(hit2 | hit1))
         if len(esc):
-            value, w = code[esc], width[esc] >> _U(_ODDS)
-            v = np.minimum(value // w, full - _U(1)).astype(np.int64)
-            cum, lo, hi = model.cum, np.zeros(len(esc), np.int64), np.full(len(esc), _RANGES, np.int64)
-            for _ in range(_RANGES.bit_length()):
-                mid = (lo + hi) >> 1
-                right = cum[esc, mid] <= v
-                lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
-            r = lo
-            begin = cum[esc, r]
-            take(esc, value, begin.astype(_U), (cum[esc, r + 1] - begin).astype(_U), w)
-            bits = np.where(r < 128, _U(4), _U(8))
-            value, w = code[esc], width[esc] >> bits
-            off = np.minimum(value // w, (_U(1) << bits) - _U(1))
-            take(esc, value, off, _U(1), w)
+            c, w = code[esc], width[esc] >> _U(_ODDS)
+            v = np.minimum(c // w, _U(full - 1)).astype(np.int64)
+            r = model.find(esc, v)
+            begin = model.cum[esc, r]
+            c -= w * begin.astype(_U)
+            w *= (model.cum[esc, r + 1] - begin).astype(_U)
+            w >>= _BITS[r]
+            off = np.minimum(c // w, _SPAN[r])
+            c -= w * off
+            shift(c, w, esc)
+            shift(c, w, esc)
+            code[esc], width[esc] = c, w
             now[esc] = _EDGE[r] + off.astype(np.int64)
             model.count(esc, r)
         table[t, :live] = now

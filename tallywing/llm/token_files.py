@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 from .range_coder import decode, encode
 from .tokens import default_path, encoder
 
 END = 1
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def _coder(path: str):
@@ -47,7 +47,7 @@ def _coder(path: str):
 def write(documents: DataFrame, to: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of all texts, each with END after it, to the folder `to`; null texts count as empty, null ids come first."""
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    ordered = bounded_batches(rows).repartitionByRange("key").sortWithinPartitions("key", "text")
     ordered.mapInArrow(_coder(path or default_path()), "part int, chunk int, n_ids long, keys array<long>, lengths array<long>, coded binary").write.parquet(to)
 
 

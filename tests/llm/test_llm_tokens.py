@@ -25,7 +25,7 @@ def test_ids_equal_the_library():
             assert ids[off[i] : off[i + 1]].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], t
 
 
-@pytest.mark.parametrize("block", [7, 256, 4096])
+@pytest.mark.parametrize("block", [7, 256, 4096, None])
 def test_coder_round_trip(block):
     rng = np.random.default_rng(1)
     for ids in ([], [5], [65535] * 50, rng.integers(0, 65536, 3000), np.minimum(rng.zipf(1.3, 5000), 60000), [7, 8, 9] * 700):
