@@ -13,28 +13,24 @@ def _by_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day_", F.explode(F.sequence(F.to_date("start"), F.to_date(last))))
 
 
-def _joined(left: DataFrame, right: DataFrame, by: tuple[str, ...], how: str, unlike: str | None) -> DataFrame:
-    key = left.columns
-    a = _by_day(left.withColumn("row_", F.struct(*key))).alias("a")
-    b = _by_day(right).alias("b")
+def _overlapping_keys(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], unlike_itself: bool) -> DataFrame:
+    a, b = _by_day(left).alias("a"), _by_day(right).alias("b")
     on = (F.col("a.day_") == F.col("b.day_")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
     for c in by:
         on &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    if unlike:
-        on &= F.col(f"a.{unlike}") != F.col(f"b.{unlike}")
-    return a.join(b, on, "left_semi")
+    if unlike_itself:
+        on &= F.col(f"a.{key}") != F.col(f"b.{key}")
+    return a.join(b, on, "left_semi").select(key).distinct()
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...] = (), unlike_itself: bool = False) -> DataFrame:
     """Rows of left whose interval overlaps one of right; touching ends don't. key names left's rows."""
-    found = _joined(left, right, by, "left_semi", key if unlike_itself else None).select(key).distinct()
-    return left.join(found, key, "left_semi")
+    return left.join(_overlapping_keys(left, right, key, by, unlike_itself), key, "left_semi")
 
 
 def apart(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...] = (), unlike_itself: bool = False) -> DataFrame:
     """Rows of left whose interval overlaps none of right."""
-    found = _joined(left, right, by, "left_semi", key if unlike_itself else None).select(key).distinct()
-    return left.join(found, key, "left_anti")
+    return left.join(_overlapping_keys(left, right, key, by, unlike_itself), key, "left_anti")
 
 
 def neighbours_overlap(df: DataFrame, by: tuple[str, ...], key: str) -> DataFrame:
