@@ -29,6 +29,8 @@ COUNTED = 0.36
 SAMPLE_DOCS, HEAVY_SHARE, MOST_HEAVY = 20_000, 0.001, 400_000
 #: Classes that one tree holds at most, and rounds of hubs for larger groups.
 TREE_ROWS, HUB_ROUNDS = 1024, 3
+#: Rows of three numbers that are sent to every task at most.
+MOST_BROADCAST = 100_000
 _EDGE = np.uint64(int(COUNTED * 2**64))
 
 
@@ -156,6 +158,17 @@ def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
     return classes.join(found, "cid", "left").select("p", "q", F.coalesce("component_id", "cid").alias("class_component"))
 
 
+def _beside(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of `few` beside them, null where it has none.
+
+    A key can have very many rows. `few` goes to every task if its number of rows is within
+    MOST_BROADCAST, and rows are not moved; past that both are dealt by key, and Spark splits what
+    is large.
+    """
+    fits = few.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(few) if fits else few, on, "left")
+
+
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
@@ -163,8 +176,9 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 def _checked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     """Links (a, b) that join all classes of each group (cid, grp, tokens) that are connected."""
     sizes = cut(sets.groupBy("grp").agg(F.count("*").alias("m")))
-    sized = sets.join(sizes, "grp")
-    small, large = sized.where(F.col("m") <= TREE_ROWS // 2), sized.where(F.col("m") > TREE_ROWS // 2)
+    # a large group's rows stay where they are: its size comes to them
+    sized = _beside(sets, sizes.where(F.col("m") > TREE_ROWS // 2), ["grp"])
+    small, large = sized.where(F.col("m").isNull()), sized.where(F.col("m").isNotNull())
     total = sizes.where(F.col("m") <= TREE_ROWS // 2).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     bins = max(1, -(-2 * total // TREE_ROWS))
 
@@ -206,13 +220,12 @@ def _checked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     together = components(hub_links).select(F.col("id").alias("cid"), F.col("component_id").alias("comp"))
     state = state.join(together, "cid", "left").select("cid", "grp", "tokens", "m", F.coalesce("comp", "cid").alias("label"))
     half = TREE_ROWS // 2
-    per_label = state.groupBy("grp", "label").agg(F.count("*").alias("k"))
+    per_label = state.groupBy("grp", "label").agg(F.count("*").alias("k")).where(F.col("k") >= half)
     # a label of its own for each block's worth of rows; the labels of fewer rows share blocks
-    blocks = F.when(F.col("k") >= half, F.ceil(F.col("k") / half)).otherwise(F.lit(0)).cast("int")
-    per_label = per_label.select("grp", "label", blocks.alias("own"))
+    own = cut(per_label.select("grp", "label", F.ceil(F.col("k") / half).cast("int").alias("own")))
     rest = F.ceil(F.col("m") / half).cast("int")
-    state = state.join(per_label, ["grp", "label"]).withColumn("pure", F.col("own") > 0)
-    place = F.when(F.col("pure"), F.pmod(F.xxhash64("cid"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("cid", F.lit(9)), rest))
+    state = _beside(state, own, ["grp", "label"]).withColumn("pure", F.col("own").isNotNull())
+    place = F.when(F.col("pure"), F.pmod(F.xxhash64("cid"), F.col("own"))).otherwise(F.pmod(F.xxhash64("cid", F.lit(9)), rest))
     state = state.withColumn("block", F.concat_ws(":", F.when(F.col("pure"), F.col("label").cast("string")).otherwise(F.lit("")), place.cast("string")))
     state = cut(state.select("cid", "grp", "tokens", "label", "pure", "block"))
     names = cut(state.groupBy("grp", "block").agg(F.first("label").alias("label"), F.first("pure").alias("pure")))
