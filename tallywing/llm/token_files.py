@@ -21,7 +21,8 @@ from .range_coder import decode, encode
 from .tokens import default_path, encoder
 
 END = 1
-CHUNK_BYTES = 4 << 20
+#: Bytes of text in a chunk, and of those tokenized at once: the tokenizer's work arrays are far larger than the ids.
+CHUNK_BYTES, TOKENIZED_BYTES = 4 << 20, 1 << 20
 
 
 def _coder(path: str):
@@ -31,11 +32,13 @@ def _coder(path: str):
         part, chunk = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, "text", CHUNK_BYTES):
-                ids, off = encoder(path).encode(piece.column("text"), END)
+                coded = [encoder(path).encode(some.column("text"), END) for some in slices(piece, "text", TOKENIZED_BYTES)]
+                ids, lengths = np.concatenate([i for i, _ in coded]), np.concatenate([np.diff(off) for _, off in coded])
+                del coded
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int64()),
-                        pa.array([piece.column("key").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(off)], pa.list_(pa.int64())), pa.array([encode(ids)], pa.binary()),
+                        pa.array([piece.column("key").to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(ids)], pa.binary()),
                     ],
                     ["part", "chunk", "n_ids", "keys", "lengths", "coded"],
                 )
