@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def spread_of_days(frame: DataFrame, n: int) -> DataFrame:
@@ -61,23 +62,27 @@ def top_rates(df: DataFrame, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc("rate"), *ties).limit(n)
 
 
-def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n draws with replacement, each row as often as its weight asks for.
+def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """n draws with replacement from each group of `by`, each row as often as its weight asks for.
 
     Draws are points on the running sum of weights; each range of it finds its own, so that only
     the sums of ranges are ordered together.
     """
     parts = df.withColumn("part_", F.pmod(F.xxhash64(key), F.lit(256)))
-    sums = parts.groupBy("part_").agg(F.sum(weight).alias("w_"))
-    before = sums.withColumn("before_", F.coalesce(F.sum("w_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    total = before.agg(F.sum("w_")).first()[0]
-    if not total:
+    sums = parts.groupBy(*by, "part_").agg(F.sum(weight).alias("w_"))
+    before = sums.withColumn("before_", F.coalesce(F.sum("w_").over(W.partitionBy(*by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    totals = sorted(before.groupBy(*by).agg(F.sum("w_").alias("w_")).where("w_ > 0").collect(), key=lambda r: [str(r[c]) for c in by])
+    if not totals:
         return df.limit(0).withColumn("draw", F.lit(0))
-    points = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(np.random.default_rng(seed).random(n) * total)], "draw int, at double")
-    inner = F.sum(weight).over(W.partitionBy("part_").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    placed = parts.withColumn("to_", inner).join(before, "part_").withColumn("to_", F.col("to_") + F.col("before_"))
-    home = points.join(F.broadcast(before), (points["at"] >= before["before_"]) & (points["at"] < before["before_"] + before["w_"])).select("draw", "at", "part_")
-    hit = placed.join(F.broadcast(home), "part_").where((F.col("at") < F.col("to_")) & (F.col("at") >= F.col("to_") - F.col(weight)))
+    rng, kind = np.random.default_rng(seed), StructType([df.schema[c] for c in by]).add("draw", "integer").add("at", "double")
+    points = df.sparkSession.createDataFrame([(*r[:-1], i, float(x)) for r in totals for i, x in enumerate(rng.random(n) * r["w_"])], kind)
+    inner = F.sum(weight).over(W.partitionBy(*by, "part_").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
+    placed = parts.withColumn("to_", inner).join(before, [*by, "part_"]).withColumn("to_", F.col("to_") + F.col("before_"))
+    inside = (points["at"] >= before["before_"]) & (points["at"] < before["before_"] + before["w_"])
+    for c in by:
+        inside &= points[c] == before[c]
+    home = points.join(F.broadcast(before), inside).select(*[points[c] for c in by], "draw", "at", "part_")
+    hit = placed.join(F.broadcast(home), [*by, "part_"]).where((F.col("at") < F.col("to_")) & (F.col("at") >= F.col("to_") - F.col(weight)))
     return hit.select(*df.columns, "draw")
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FEATURES = ("sin_doy", "cos_doy", "sin_hour", "cos_hour")
 DOY_SPLINES, HOUR_SPLINES = 4, 12
@@ -37,9 +38,31 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(seasonal(df)).drop("features", *FEATURES)
 
 
-def tweedie_coefficients(df: DataFrame, power: float) -> DataFrame:
-    glm = fit_tweedie(df, power).stages[-1]
-    return df.sparkSession.createDataFrame([("intercept", float(glm.intercept)), *zip(FEATURES, map(float, glm.coefficients), strict=True)], "term string, coefficient double")
+def fit_tweedie_each(df: DataFrame, power: float, by: str = "species") -> DataFrame:
+    """by, intercept and FEATURES: the coefficients of a regression of each group of `by`, of which there are few."""
+    kind, rows = StructType([df.schema[by]]).add("intercept", "double"), []
+    for f in FEATURES:
+        kind = kind.add(f, "double")
+    df = df.select(by, "rate", "doy", "hour").persist()
+    try:
+        for key in sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect()):
+            glm = fit_tweedie(df.where(F.col(by) == key), power).stages[-1]
+            rows.append((key, float(glm.intercept), *map(float, glm.coefficients)))
+    finally:
+        df.unpersist()
+    return df.sparkSession.createDataFrame(rows, kind)
+
+
+def predict_each(models: DataFrame, df: DataFrame, by: str = "species") -> DataFrame:
+    """df with expected, by the regression of each row's group; models as of fit_tweedie_each."""
+    models = models.select(by, F.col("intercept").alias("sum_"), *[F.col(f).alias(f"{f}_") for f in FEATURES])
+    out = seasonal(df).join(F.broadcast(models), by)
+    return out.withColumn("expected", F.exp(sum((F.col(f) * F.col(f"{f}_") for f in FEATURES), F.col("sum_")))).select(*df.columns, "expected")
+
+
+def tweedie_coefficients(df: DataFrame, power: float, by: str = "species") -> DataFrame:
+    """by, term and coefficient of the regression of each group of `by`."""
+    return fit_tweedie_each(df, power, by).unpivot(by, ["intercept", *FEATURES], "term", "coefficient")
 
 
 def search_tweedie(df: DataFrame, powers: tuple[float, ...], penalties: tuple[float, ...], seed: int = 0):

@@ -138,27 +138,28 @@ def attribution_means(spark, sf_dir):
 
 @query()
 def weighted_days(spark, sf_dir):
-    days = a.daily(spark, sf_dir).where(F.col("species") == 1).select("date", F.log1p("rate").alias("weight"))
-    return explore.weighted_sample(days, "weight", "date", 50)
+    """50 draws of days of every species, by the logarithm of the day's rate."""
+    days = a.daily(spark, sf_dir).select("species", "date", F.log1p("rate").alias("weight"))
+    return explore.weighted_sample(days, "weight", "date", 50, by=("species",))
 
 
 @query()
 def ratio_gam(spark, sf_dir):
-    """species, doy, hour and ratio of a penalised spline surface fitted to the hourly ratios."""
+    """species, doy, hour and ratio of a penalised spline surface fitted to the hourly ratios of every species."""
     from ..operators.climatology import hourly_ratio
 
-    samples = hourly_ratio(a.hour_surveys(spark, sf_dir), a.daily(spark, sf_dir)).where(F.col("species") < 2)
+    samples = hourly_ratio(a.hour_surveys(spark, sf_dir), a.daily(spark, sf_dir))
     return fitting.ratio_surfaces(samples)
 
 
 @query()
 def tweedie_fit(spark, sf_dir):
-    """Coefficients of a Tweedie regression of the survey rate on season and hour."""
-    return fitting.tweedie_coefficients(a.hour_surveys(spark, sf_dir).where(F.col("species") == 3), power=1.5)
+    """Coefficients of a Tweedie regression of the survey rate on season and hour, for every species."""
+    return fitting.tweedie_coefficients(a.hour_surveys(spark, sf_dir), power=1.5)
 
 
 @query()
 def batch_prediction(spark, sf_dir):
-    """Expected counts of each day and hour from a fitted regression, applied without leaving the JVM."""
-    hs = a.hour_surveys(spark, sf_dir).where(F.col("species") == 3)
-    return a.written(fitting.predict(fitting.fit_tweedie(hs, 1.5), hs).select("date", "hour", "expected"))
+    """Expected counts of each species, day and hour from the species' fitted regression, applied without leaving the JVM."""
+    hs = a.hour_surveys(spark, sf_dir)
+    return a.written(fitting.predict_each(fitting.fit_tweedie_each(hs, 1.5), hs).select("species", "date", "hour", "expected"))
