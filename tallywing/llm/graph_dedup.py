@@ -1,13 +1,14 @@
 """Near duplicates among embeddings, by a robust-pruned flat graph over overlapping cluster shards.
 
-Vectors of a label are clustered around centres found on a bounded sample, and each goes to its
-`OVERLAP` nearest centres, so many that shards are half full on average. A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of
+Vectors of a label are clustered around centres found on a bounded sample, and each goes to every
+centre that could be the nearest one of a vector in range of it, so that two vectors in range always
+share a shard; a label for which that would take more comparisons than all its pairs is one shard. A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of
 blocks becomes a task, so that every pair of a shard's vectors meets and no task holds more than a
 bounded number. Tasks link each vector to a robust-pruned choice of its nearest ones; the lists of
 all tasks are united by vector. Then every task searches for each of its vectors: greedily from the
-medoid, and on from everything in range until nothing new is in range. An audit compares a few
-searches of each task with all rows of the task; where one has missed a link, the task compares all
-its rows. Links are confirmed by the exact cosine in double precision.
+medoid, and on from everything in range until nothing new is in range. Each search is compared with
+all rows of the task, and takes what it has missed from there; the audit's columns tell for `AUDITED`
+rows of each task what the search alone had found. Links are confirmed by the exact cosine in double precision.
 
 Equal vectors of a label are one vector with a weight throughout.
 """
@@ -116,11 +117,22 @@ def range_search(unit: np.ndarray, off: np.ndarray, flat: np.ndarray, least: flo
     return out
 
 
+def homes(unit: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """For each unit vector (rows) the centres (columns) that are the nearest of some vector at a cosine of `least` or more to it.
+
+    That vector lies past the plane between the own nearest centre and the other one, which is no farther than the angle allows.
+    """
+    sims = unit @ centres.T
+    best = sims.argmax(axis=1)
+    apart = _distance(np.minimum(centres @ centres.T, 1))
+    return sims.max(axis=1)[:, None] - sims <= np.sqrt(max(0.0, 1 - least * least)) * apart[best] + 1e-6
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _centres(rows: DataFrame, seed: int = 11) -> dict[int, np.ndarray]:
+def _centres(rows: DataFrame, least: float, seed: int = 11) -> dict[int, np.ndarray]:
     """For each label with more vectors than a shard, unit centres from a few rounds of k-means on a bounded sample."""
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).orderBy(F.desc("n"), "label").limit(MOST_CENTRES).collect()}
     if not sizes:
@@ -140,7 +152,9 @@ def _centres(rows: DataFrame, seed: int = 11) -> dict[int, np.ndarray]:
             np.add.at(sums, nearest, own)
             full = np.linalg.norm(sums, axis=1) > 0
             centres[full] = _unit(sums[full])
-        out[label] = centres
+        # pairs to compare, as a share of all pairs of the label
+        if (homes(own, centres, least).mean(axis=0) ** 2).sum() < 1:
+            out[label] = centres
     return out
 
 
@@ -157,7 +171,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     rows = rows.where(F.size("vector") == (length[0]["n"] if length else 1))
     classes = cut(rows.groupBy("label", "vector").agg(F.min("id").alias("cid"), F.count("*").alias("copies")))
     members = rows.join(classes, ["label", "vector"]).select("id", "cid", "copies")
-    centres = _centres(classes.select(F.col("cid").alias("id"), "label", "vector"))
+    centres = _centres(classes.select(F.col("cid").alias("id"), "label", "vector"), least)
 
     def sharded(batches):
         for batch in batches:
@@ -166,9 +180,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
             shards = [[0] for _ in ids]
             for label in set(labels.tolist()) & set(centres):
                 own = np.flatnonzero(labels == label)
-                sims = unit[own] @ centres[label].T
-                for i, best in zip(own, np.sort(np.argsort(-sims, axis=1)[:, :OVERLAP], axis=1), strict=True):
-                    shards[i] = best.tolist()
+                for a in range(0, len(own), 1024):
+                    some = own[a : a + 1024]
+                    for i, at in zip(some, homes(unit[some], centres[label], least), strict=True):
+                        shards[i] = np.flatnonzero(at).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], ["id", "label", "vector", "copies", "shards"])
 
     placed = classes.select(F.col("cid").alias("id"), "label", "vector", "copies").mapInArrow(sharded, "id long, label long, vector array<float>, copies long, shards array<int>")
@@ -199,7 +214,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         shard = table.column("shard")[0].as_py()
         vectors = _matrix(table.column("vector").chunk(0), np.float64)
         unit, n = _unit(vectors), len(ids)
-        shards = np.asarray(table.column("shards").chunk(0).flatten()).reshape(n, -1)
+        lists = table.column("shards").chunk(0)
+        long = np.asarray(lists.value_lengths(), np.int64)
+        row = np.repeat(np.arange(n), long)
+        shards = np.full((n, long.max()), -1, np.int32)
+        shards[row, np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)] = np.asarray(lists.flatten())
         near = table.column("near").chunk(0)
         flat, off = np.asarray(near.flatten(), np.int64), np.r_[0, np.cumsum(np.asarray(near.value_lengths().fill_null(0)))].astype(np.int64)
         at = np.searchsorted(ids, flat)
@@ -209,11 +228,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         norms = np.linalg.norm(vectors, axis=1)
         slack = least - 1e-9
         audited = np.argsort((ids * 2654435761) % (1 << 32), kind="stable")[:AUDITED]
-        truth = {int(i): np.setdiff1d(np.flatnonzero(unit @ unit[i] >= slack), [i]) for i in audited}
         found = range_search(unit, off, flat, slack)
-        hit = {i: len(np.intersect1d(found[i], t)) for i, t in truth.items()}
-        if any(hit[i] < len(t) for i, t in truth.items()):
-            found = [np.setdiff1d(np.flatnonzero(unit @ unit[i] >= slack), [i]) for i in range(n)]
+        truth, hit = {}, {}
+        for a in range(0, n, 256):
+            inside = unit[a : a + 256] @ unit.T >= slack
+            inside[np.arange(len(inside)), np.arange(a, a + len(inside))] = False
+            for i, others in enumerate(inside, a):
+                every = np.flatnonzero(others)
+                hit[i], truth[i] = len(np.intersect1d(found[i], every)), every
+                found[i] = every if hit[i] < len(every) else found[i]
+        truth = {int(i): truth[i] for i in audited}
         links, root = np.zeros(n, np.int64), np.arange(n)
 
         def top(x: int) -> int:
@@ -228,7 +252,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
                 continue
             # a pair counts in one task: that of its first common shard, and of its two blocks
             if shards.shape[1] > 1:
-                both = (shards[others][:, :, None] == shards[i][None, None, :]).any(axis=2)
+                both = np.isin(shards[others], shards[i][: long[i]])
                 first = np.where(both, shards[others], np.iinfo(np.int32).max).min(axis=1) == shard
             else:
                 first = np.ones(len(others), bool)
@@ -242,7 +266,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
                 if a != b:
                     root[max(a, b)] = min(a, b)
         tops = np.array([top(i) for i in range(n)], np.int64)
-        audit = [(hit.get(i), len(truth[i])) if i in truth else (None, None) for i in range(n)]
+        audit = [(hit[i], len(truth[i])) if i in truth else (None, None) for i in range(n)]
         return pa.table({
             "id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(ids[tops], pa.int64()),
             "audit_found": pa.array([a[0] for a in audit], pa.int64()), "audit_true": pa.array([a[1] for a in audit], pa.int64()),
