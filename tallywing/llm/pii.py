@@ -24,9 +24,24 @@ ACCEPT = 0.5
 NEAR = 48
 
 EMAIL_CHAR = "[A-Za-z0-9._%+-]"
+#: Account numbers by length, with the country codes of that length.
+IBAN_CODES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
+def _iban() -> str:
+    """An account number of the length of its country; of 15 to 34 characters, up to the start of the next one, if the country is not in the table."""
+    known = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in IBAN_CODES.items())
+    every = f"(?:{'|'.join(IBAN_CODES.values()).replace(' ', '|')})[0-9]{{2}}"
+    other = f"(?!{every})[A-Z]{{2}}[0-9]{{2}}(?:(?!\\x20{every})\\x20?[A-Z0-9]){{11,30}}+"
+    return f"(?<![A-Za-z0-9])(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of value, which is computed once however often f uses it."""
     return F.transform(F.array(value), f)[0]
@@ -74,7 +89,7 @@ KINDS = (
     Kind("card", r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++", lambda m: _let(_digits(m), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15)),
     Kind(
-        "iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        "iban", r"[A-Z]{2}[0-9]{2}", _iban(),
         lambda m: mod97(F.regexp_replace(m, r"\x20", "")), base=False, score=0.8, context="iban|account|konto|compte|cuenta", gain=0.2,
     ),
     Kind(
