@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ TOKEN = re.compile(
 )
 # Element and attribute names of the HTML standard and of common page templates.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "button", "title", "canvas", "math", "audio", "video"}
+#: Of these, what is inside is no markup up to the own closing tag.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ASIDE = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "fieldset"}
@@ -67,6 +70,18 @@ LABELLED = np.array([
 ])
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """The page's tags and comments in order; those inside of RAW elements are not looked at."""
+    at = 0
+    while m := TOKEN.search(page, at):
+        yield m
+        at = m.end()
+        raw = RAW.get((m[2] or m[5] or "").lower())
+        if raw and not (m[1] or m[4]) and not (m[3] or m[6] or "").rstrip().endswith("/"):
+            end = raw.search(page, at)
+            at = end.start() if end else len(page)
+
+
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """The page's blocks in order: the text, and its FEATURES."""
     found: list[list] = []  # text, linked words, in_main, in_aside, hinted, heading
@@ -93,9 +108,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             if state[4]:
                 linked += len(piece.split())
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    for m in tokens(page):
         add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
