@@ -3,7 +3,8 @@
 The word tokenizer drops white space and never joins pieces across it, so each run between ASCII
 white space is encoded once and kept: texts repeat their words. A run of plain Latin letters, digits
 and signs is lower-cased and split here by the tokenizer's own pattern, and only pieces not met
-before reach its model; any other run goes through the whole tokenizer. What is kept is bounded by
+before reach its model; any other run, and one that holds an added token as text, goes through the
+whole tokenizer. What is kept is bounded by
 `MOST_KEPT` and `MOST_PIECES`; past that it is forgotten and encoded anew.
 """
 
@@ -35,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I)
         self.pieces: dict[str, tuple] = {}
         self._forget()
 
@@ -45,7 +47,7 @@ class Encoder:
         if len(pieces) > MOST_PIECES:
             pieces.clear()
         for i, w in enumerate(words):
-            if not PLAIN.fullmatch(w):
+            if not PLAIN.fullmatch(w) or self.added.search(w):
                 other.append(i)
                 continue
             ids: list[int] = []
