@@ -1,13 +1,16 @@
 """An adaptive context-mixing range coder for token ids, over many blocks at once.
 
-Each block of ids is coded by a model of its own that starts from nothing: the id seen last after
-the same two ids (order 2) and after the same id (order 1) are predicted, and how often such
-predictions of like confidence have come true, mixed over both orders by weights that follow their
-success, gives the odds of the two predictions and of an escape. An escaped id is coded by the
-block's own counts of id ranges (order 0) and its place in the range.
+Each block of ids is coded by a model of its own that starts from nothing but the segment's list of
+ids by falling frequency. Order 2 predicts the id seen last after the same two ids, order 1 the one
+seen last after the same id. How often predictions of like confidence have come true is counted for
+both orders, and both views are mixed by a weight that follows their success; this gives the odds of
+the first prediction, of the second and of neither. In that case order 0 codes the id: adaptive
+counts of frequency ranks, exact for the first ranks and by runs of ranks after them, whose last
+bits, all equally likely, are written as they are.
 
-Blocks are independent, so all blocks of a chunk are coded in step, one numpy operation serving one
-id of every block. A block is written with its number of ids, length and CRC-32.
+Blocks are independent, so all blocks of a segment are coded in step, one numpy operation serving
+one id of every block. Low ends and widths are whole numbers below 2**49, kept exactly in doubles. A
+segment starts with its checksummed list of ids; each block has its lengths and the CRC-32 of its ids.
 """
 
 from __future__ import annotations
@@ -16,112 +19,100 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS, LANES = 1024, 512
-_SLOTS = 9  # bits of a block's prediction tables
-_U = np.uint64
-_TOP, _LOW48 = _U(1 << 32), _U((1 << 48) - 1)
-_ODDS = 15  # bits of all odds
-#: Id ranges: 16 ids each below 2048, 256 ids each above, up to 2**16.
-_EDGE = np.concatenate([np.arange(0, 2048, 16), np.arange(2048, 1 << 16, 256)]).astype(np.int64)
-_RANGES = len(_EDGE)
-_BITS = np.where(np.arange(_RANGES) < 128, 4, 8).astype(_U)
-_SPAN = (_U(1) << _BITS) - _U(1)
-_MAGIC = b"TWR1"
+BLOCK_IDS, LANES, MOST_LANES = 1024, 512, 3072
+SLOTS = 8  # bits of a block's prediction tables
+_MAGIC = b"TWR2"
+_TOP, _FULL, _TOTAL = float(1 << 32), float(1 << 48), 1 << 16
+#: Order 0's share of all odds at least, and the sum of its own counts.
+_LEAST_ESCAPE, _ZERO = 2048, 1024
+#: Runs of ranks: 16 of one rank, then two to each doubling up to 2**16, and one that stands for a prediction.
+_BITS = np.array([0] * 16 + [b for b in range(3, 15) for _ in range(2)] + [0], np.int64)
+_FIRST = np.concatenate([np.cumsum(1 << _BITS[:-1]) - (1 << _BITS[:-1]), [0]]).astype(np.int32)
+_RUNS = len(_BITS) - 1
+_RUN_OF = np.repeat(np.arange(_RUNS), 1 << _BITS[:-1]).astype(np.int32)
+_BITS8 = _BITS.astype(np.uint8)
+_MASK = ((1 << _BITS) - 1).astype(np.int32)
+#: Ids after which the counts of order 0 are summed up anew, beside every 32nd.
+_EARLY = {4, 8, 16, 24}
+
+
+def _by_frequency(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """How often each id occurs, as the bits of its count, and these packed."""
+    counts = np.bincount(ids)
+    bits = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
+    return bits, zlib.compress(bits.tobytes(), 1)
+
+
+def _ranks(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids by falling bits of their counts, padded to 2**16, and order 0's first counts of runs."""
+    order = np.argsort(-bits.astype(np.int64), kind="stable")
+    weight = np.exp2(bits[order].astype(np.float64)) * (bits[order] > 0)
+    mass = np.bincount(_RUN_OF[: len(order)], weights=weight, minlength=_RUNS)
+    ids = np.zeros(_TOTAL, np.uint32)
+    ids[: len(order)] = order
+    return ids, 24 * mass / max(mass.sum(), 1)
 
 
 class _Model:
     """The adaptive state of `n` blocks."""
 
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.two = np.zeros(n << _SLOTS, np.uint32)  # id << 8 | confidence
-        self.one = np.zeros(n << _SLOTS, np.uint32)
-        self.lane_at = (self.lane << _SLOTS).astype(np.int64)
-        self.hit2 = np.full(n * 16, 1 << 13, np.int32)  # odds of 2**15 by confidence of order 2 and agreement
-        self.hit2_by1 = np.full(n * 16, 1 << 13, np.int32)  # the same, by confidence of order 1
-        self.hit1 = np.full(n * 16, 1 << 12, np.int32)
-        self.weight = np.full(n, 128, np.int32)
-        self.counts = np.zeros(n * _RANGES, np.int64)
-        self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    def __init__(self, n: int, prior: np.ndarray):
+        self.n, self.lane = n, np.arange(n, dtype=np.int32)
+        self.slot0, self.odds0 = self.lane << SLOTS, self.lane << 3
+        self.two, self.one = np.zeros(n << SLOTS, np.int32), np.zeros(n << SLOTS, np.int32)  # rank << 4 | confidence
+        # by confidence, and by whether both predictions agree: odds of 2**16 that the first one is right, by order 2's view and by order 1's, and odds of 2**15 of the second one
+        first = np.array([2000, 20000, 36000, 50000, 3000, 30000, 46000, 56000], np.int32)
+        self.by2, self.by1 = np.tile(first, n), np.tile(first << 15 | np.array([1000, 7000, 12000, 16000] * 2, np.int32), n)
+        self.weight = np.full(n, 160, np.int32)
+        self.counts = np.repeat(np.append(prior, 0.0), n)
+        self.at1 = self.at2 = self.slot0
+        self.before = np.zeros(n, np.int32)
         self.step = 0
-        self.rebuild()
+        self.cum = np.zeros((_RUNS + 1, n), np.uint16)
+        self.sum_up()
 
-    def rebuild(self) -> None:
-        counts = self.counts.reshape(self.n, _RANGES)
-        total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        part = 1 + counts * ((1 << _ODDS) - _RANGES - 1) // total
-        self.cum = np.zeros((self.n, _RANGES + 1), np.int64)
-        np.cumsum(part, axis=1, out=self.cum[:, 1:])
-        self.cum[:, -1] = 1 << _ODDS
-        self.starts = None
+    def sum_up(self) -> None:
+        sums = np.cumsum(self.counts.reshape(_RUNS + 1, self.n)[:_RUNS], axis=0)
+        sums *= (_ZERO - _RUNS) / np.maximum(sums[-1], 1e-9)
+        self.cum[1:] = np.floor(sums) + np.arange(1, _RUNS + 1)[:, None]
+        self.cum[-1] = _ZERO
 
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The range of each lane whose odds hold the value."""
-        if self.starts is None:  # for each 1/256 of the odds the last range that begins at or before it
-            step = (self.cum[:, :-1] + 127) >> 7
-            flat = np.bincount((self.lane[:, None] * 258 + step).ravel(), minlength=self.n * 258)
-            self.starts = np.cumsum(flat.reshape(self.n, 258), axis=1) - 1
-        cell = lanes * 258 + (value >> 7)
-        starts = self.starts.ravel()
-        low, high = starts[cell], starts[cell + 1]
-        todo = np.flatnonzero(low < high)
-        lane, v, x, y = lanes[todo] * (_RANGES + 1), value[todo], low[todo], high[todo]
-        cum = self.cum.ravel()
-        while len(todo):
-            middle = (x + y + 1) >> 1
-            right = cum[lane + middle] <= v
-            x, y = np.where(right, middle, x), np.where(right, y, middle - 1)
-            open_ = x < y
-            if not open_.all():
-                done = ~open_
-                low[todo[done]] = x[done]
-                todo, lane, v, x, y = todo[open_], lane[open_], v[open_], x[open_], y[open_]
-        return low
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """The predicted ids and where their odds end: order 2 in [0, x), order 1 in [x, y), escape above."""
-        mask = (1 << _SLOTS) - 1
-        self.at1 = self.lane_at + (((self.a * 0x9E3B) >> 3) & mask)
-        self.at2 = self.lane_at + (((self.a * 0x9E3B + self.b * 0x85EB) >> 4) & mask)
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the odds of the first prediction and of the second one end; what is above is order 0's."""
         e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.p1, self.p2 = (e1 >> 8).astype(np.int64), (e2 >> 8).astype(np.int64)
-        self.c1, self.c2 = (e1 & 7).astype(np.int64), (e2 & 7).astype(np.int64)
-        self.same = self.p1 == self.p2
-        ctx = self.lane * 16 + self.same * 8
-        self.i2, self.i1 = ctx + self.c2, ctx + self.c1
-        self.x2, self.x1 = self.hit2[self.i2], self.hit2_by1[self.i1]
-        x = np.minimum(np.maximum((self.x2 * self.weight + self.x1 * (256 - self.weight)) >> 8, 32), (1 << _ODDS) - 1024)
-        rest = (1 << _ODDS) - x
-        y = np.where(self.same, 0, np.minimum(np.maximum((rest * (self.hit1[self.i1] >> 3)) >> 12, 16), rest - 512))
-        return x.astype(np.int64), (x + y).astype(np.int64)
+        self.p1, self.p2, self.c1, self.c2 = e1 >> 4, e2 >> 4, e1 & 3, e2 & 3
+        same = self.p1 == self.p2
+        agree = (same.astype(np.int32) << 2) + self.odds0
+        self.k1, self.k2 = agree + self.c1, agree + self.c2
+        self.x2, self.g1 = self.by2[self.k2], self.by1[self.k1]
+        self.x1 = self.g1 >> 15
+        x = (self.x1 << 8) + (self.x2 - self.x1) * self.weight >> 8
+        x = np.minimum(np.maximum(x, 64), _TOTAL - 2 * _LEAST_ESCAPE)
+        y = (_TOTAL - x >> 2) * (self.g1 & 32767) >> 13
+        y = np.minimum(np.maximum(y, 32) + x, _TOTAL - _LEAST_ESCAPE)
+        return x, np.where(same, x, y)
 
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, live: int) -> None:
-        """Takes the next id of each of the first `live` blocks, and whether each order had it."""
-        s = slice(0, live)
-        goal = hit2[s].astype(np.int32) << _ODDS
-        i2, i1 = self.i2[s], self.i1[s]
-        better = np.abs(goal - self.x2[s]) < np.abs(goal - self.x1[s])
-        self.weight[s] = np.minimum(np.maximum(self.weight[s] + (better * np.int32(4) - np.int32(2)), 16), 240)
-        self.hit2[i2] = self.x2[s] + ((goal - self.x2[s]) >> 5)
-        self.hit2_by1[i1] = self.x1[s] + ((goal - self.x1[s]) >> 5)
-        missed = np.flatnonzero(~hit2)
-        miss = i1[missed]
-        odds = self.hit1[miss]
-        self.hit1[miss] = odds + (((hit1[missed].astype(np.int32) << _ODDS) - odds) >> 5)
-        new = ids.astype(np.uint32) << 8
-        self.two[self.at2[s]] = new | (np.minimum(self.c2[s] + 1, 7) * (self.p2[s] == ids)).astype(np.uint32)
-        self.one[self.at1[s]] = new | (np.minimum(self.c1[s] + 1, 7) * (self.p1[s] == ids)).astype(np.uint32)
-        self.b[s], self.a[s] = self.a[s], ids
+    def learn(self, ranks: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, place: np.ndarray) -> None:
+        """Takes the next rank of each block, whether each prediction had it, and the place of its count in order 0. Odds learn from every second id."""
+        if self.step & 1:
+            goal = hit2.astype(np.int32) * 65535
+            d2, d1 = goal - self.x2, goal - self.x1
+            self.weight = np.minimum(np.maximum((np.abs(d1) - np.abs(d2) >> 11) + self.weight, 16), 240)
+            self.by2[self.k2] = (d2 >> 4) + self.x2
+            x0 = self.g1 & 32767
+            x0 = np.where(hit2, x0, ((hit1.astype(np.int32) * 32767 - x0) >> 4) + x0)
+            self.by1[self.k1] = (d1 >> 4) + self.x1 << 15 | x0
+        new = ranks << 4
+        self.two[self.at2] = np.where(hit2, np.minimum(self.c2 + 1, 3), 0) + new
+        self.one[self.at1] = np.where(self.p1 == ranks, np.minimum(self.c1 + 1, 3), 0) + new
+        self.counts[place] = self.counts[place] + 1.0
+        mask = (1 << SLOTS) - 1
+        self.at1 = (ranks & mask) + self.slot0
+        self.at2 = (ranks * 0x2F35 + self.before & mask) + self.slot0
+        self.before = ranks * 0x51ED
         self.step += 1
-        if self.step % 256 == 0 or self.step in (16, 32, 64, 128):
-            self.rebuild()
-
-    def count(self, lanes: np.ndarray, ranges: np.ndarray) -> None:
-        self.counts[lanes * _RANGES + ranges] += 1
-
-
-def _range_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < 2048, ids >> 4, 128 + ((ids - 2048) >> 8))
+        if self.step % 32 == 0 or self.step in _EARLY:
+            self.sum_up()
 
 
 def block_size(n: int) -> int:
@@ -129,151 +120,168 @@ def block_size(n: int) -> int:
     return min(BLOCK_IDS, max(256, 1 << max(0, n // LANES - 1).bit_length()))
 
 
-def encode(ids: np.ndarray, block: int | None = None) -> bytes:
-    """All ids (each below 2**16) in blocks of `block` ids, the last one shorter."""
-    block = block or block_size(len(ids))
-    n = -(-len(ids) // block)
-    lengths = np.full(n, block, np.int64)
-    if n:
-        lengths[-1] = len(ids) - (n - 1) * block
-    table = np.zeros((block, n), np.int64)
-    padded = np.zeros(n * block, np.int64)
-    padded[: len(ids)] = ids
-    table = np.ascontiguousarray(padded.reshape(n, block).T)
-    model = _Model(n)
-    low, width = np.zeros(n, _U), np.full(n, _LOW48, _U)
-    out, size = np.zeros((n, block * 4 + 8), np.uint16), np.zeros(n, np.int64)
+def _packed_bits(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of values its numbers, each in as many bits as lengths says, one after the other: all bytes, and the n + 1 offsets in them.
 
-    def carry(lo, lanes):
-        over = lo > _LOW48
-        if over.any():
-            who = lanes[over]
-            at = size[who] - 1
-            while len(who):
-                out[who, at] += np.uint16(1)
-                more = out[who, at] == 0
-                who, at = who[more], at[more] - 1
-            lo &= _LOW48
+    Each row fills whole words of 32 bits; no number has more than 32 bits.
+    """
+    row, _ = used = np.nonzero(lengths)
+    value, length = values[used].astype(np.int64), lengths[used].astype(np.int64)
+    ends = np.cumsum(length)
+    last = np.searchsorted(row, np.arange(len(values)), "right")
+    total = np.diff(np.r_[0, np.r_[0, ends][last]])
+    words = np.r_[0, np.cumsum((total + 31) >> 5)]
+    at = ends - length + ((words[:-1] << 5) - (np.cumsum(total) - total))[row]
+    out = np.zeros(words[-1] + 1, np.int64)
+    if len(at):
+        word = at >> 5
+        value <<= at & 31
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[first]] = np.add.reduceat(value & 0xFFFFFFFF, first)
+        over = np.flatnonzero(value >> 32)  # one number at most runs into the next word
+        out[word[over] + 1] |= value[over] >> 32
+    return out[:-1].astype("<u4").view(np.uint8), words << 2
 
-    def shift(lo, w, lanes):
-        """Writes the top word of the lanes whose width has become short."""
-        short = np.flatnonzero(w < _TOP)
-        who = lanes[short]
-        at = size[who]
-        out[who, at] = lo[short] >> _U(32)
-        size[who] = at + 1
-        lo[short] = (lo[short] << _U(16)) & _LOW48
-        w[short] <<= _U(16)
 
-    every = np.arange(n)
-    full = 1 << _ODDS
-    for t in range(int(lengths.max(initial=0))):
-        live = n if t < lengths[-1] else n - 1
-        now, lanes = table[t, :live], every[:live]
+def _encode_segment(ids: np.ndarray, block: int) -> bytes:
+    n = -(-len(ids) // block)
+    bits, listed = _by_frequency(ids)
+    by_rank, prior = _ranks(bits)
+    rank_of = np.zeros(len(bits), np.int32)
+    rank_of[by_rank[: len(bits)]] = np.arange(len(bits))
+    table = np.zeros(n * block, np.int32)
+    table[: len(ids)] = rank_of[ids]
+    table = np.ascontiguousarray(table.reshape(n, block).T)
+    runs = _RUN_OF[table]
+    escaped = np.zeros((block, n), bool)
+    model = _Model(n, prior)
+    low, width = np.zeros(n), np.full(n, _FULL - 1)
+    stride = block + 8
+    out, at = np.zeros(n * stride, np.uint16), np.arange(n) * stride
+    for t in range(block):
+        now, run = table[t], runs[t]
         x, y = model.predict()
-        x, y = x[:live], y[:live]
-        hit2 = model.p2[:live] == now
-        hit1 = (model.p1[:live] == now) & ~hit2
-        begin = np.where(hit2, 0, np.where(hit1, x, y))
-        end = np.where(hit2, x, np.where(hit1, y, full))
-        lo, w = low[:live], width[:live]
-        w >>= _U(_ODDS)
-        lo += w * begin.astype(_U)
-        w *= (end - begin).astype(_U)
-        carry(lo, lanes)
-        shift(lo, w, lanes)
-        esc = np.flatnonzero(~(hit2 | hit1))
-        if len(esc):
-            new = now[esc]
-            r = _range_of(new)
-            begin = model.cum[esc, r]
-            lo, w = low[esc], width[esc] >> _U(_ODDS)
-            lo += w * begin.astype(_U)
-            w *= (model.cum[esc, r + 1] - begin).astype(_U)
-            w >>= _BITS[r]
-            lo += w * (new - _EDGE[r]).astype(_U)
-            carry(lo, esc)
-            shift(lo, w, esc)
-            shift(lo, w, esc)
-            low[esc], width[esc] = lo, w
-            model.count(esc, r)
-        model.learn(now, hit2, hit1, live)
-    last = np.stack([(low >> _U(s)) & _U(0xFFFF) for s in (32, 16, 0)], axis=1).astype(np.uint16)
-    parts = [_MAGIC, np.array([n, block], "<u4").tobytes()]
+        hit2 = model.p2 == now
+        hit1 = (model.p1 == now) & ~hit2
+        esc = ~(hit2 | hit1)
+        escaped[t] = esc
+        cell = run * n + model.lane
+        rest = _TOTAL - y
+        flat = model.cum.ravel()
+        begin = np.where(esc, y + (rest * flat[cell] >> 10), np.where(hit1, x, 0))
+        end = np.where(esc, y + (rest * flat[cell + n] >> 10), np.where(hit1, y, x))
+        width = np.floor(width * (1 / _TOTAL))
+        low += width * begin
+        width *= end - begin
+        over = low >= _FULL
+        if over.any():
+            who = np.flatnonzero(over)
+            low[who] -= _FULL
+            back = at[who] - 1
+            while len(back):
+                out[back] += np.uint16(1)
+                back = back[out[back] == 0] - 1
+        short = width < _TOP
+        word = np.floor(low * (1 / _TOP))
+        out[at] = word
+        at += short
+        scale = short * 65535.0 + 1.0
+        low = (low - word * (short * _TOP)) * scale
+        width *= scale
+        model.learn(now, hit2, hit1, np.where(esc, cell, _RUNS * n + model.lane))
+    at -= np.arange(n) * stride
+    out = np.concatenate([out.reshape(n, stride)[:, : block + 4], np.zeros((n, 4), np.uint16)], axis=1)
+    for k, shift in enumerate((1 / _TOP, 1 / _TOTAL, 1.0)):
+        out[np.arange(n), at + k] = np.fmod(np.floor(low * shift), _TOTAL)
+    runs, escaped = np.ascontiguousarray(runs.T), np.ascontiguousarray(escaped.T)
+    tail, tail_at = _packed_bits(table.T - _FIRST.take(runs), _BITS8.take(runs) * escaped)
+    parts = [_MAGIC, np.array([len(ids), block, len(bits), len(listed), zlib.crc32(listed)], "<u4").tobytes(), listed]
+    sizes = np.stack([at + 3, np.diff(tail_at), [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(n)]], axis=1)
+    parts.append(sizes.astype("<u4").tobytes())
     for i in range(n):
-        own = np.concatenate([out[i, : size[i]], last[i]]).astype("<u2").tobytes()
-        check = zlib.crc32(ids[i * block : i * block + lengths[i]].astype("<u4").tobytes())
-        parts += [np.array([lengths[i], len(own), check], "<u4").tobytes(), own]
+        parts += [out[i, : at[i] + 3].astype("<u2").tobytes(), tail[tail_at[i] : tail_at[i + 1]].tobytes()]
     return b"".join(parts)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids that `encode` wrote; a block that doesn't match its checksum raises ValueError."""
-    if data[:4] != _MAGIC:
-        raise ValueError("not a file of coded ids")
-    n, block = np.frombuffer(data, "<u4", 2, 4).tolist()
-    at, own, lengths, checks = 12, [], np.zeros(n, np.int64), []
-    for i in range(n):
-        lengths[i], size, check = np.frombuffer(data, "<u4", 3, at).tolist()
-        own.append(np.frombuffer(data, "<u2", size // 2, at + 12))
-        checks.append(check)
-        at += 12 + size
-    words = np.zeros((n, max((len(x) for x in own), default=0) + 4), np.uint16)
-    for i, x in enumerate(own):
-        words[i, : len(x)] = x
-    model = _Model(n)
-    every = np.arange(n)
-    code = (words[:, 0].astype(_U) << _U(32)) | (words[:, 1].astype(_U) << _U(16)) | words[:, 2].astype(_U) if n else np.zeros(0, _U)
-    place, width = np.full(n, 3, np.int64), np.full(n, _LOW48, _U)
-    table = np.zeros((block, n), np.int64)
-
-    last = words.shape[1] - 1
+def encode(ids: np.ndarray, block: int | None = None) -> bytes:
+    """All ids (each below 2**16) in blocks of `block` ids, the last one shorter, in even segments of at most MOST_LANES blocks."""
+    block = block or block_size(len(ids))
+    n = -(-len(ids) // block)
+    step = block * max(1, -(-n // max(1, -(-n // MOST_LANES))))
+    return b"".join(_encode_segment(ids[a : a + step], block) for a in range(0, len(ids), step))
 
-    def shift(c, w, lanes):
-        short = np.flatnonzero(w < _TOP)
-        who = lanes[short]
-        at = place[who]
-        c[short] = (c[short] << _U(16)) | words[who, np.minimum(at, last)]  # spoilt data may ask for more
-        place[who] = at + 1
-        w[short] <<= _U(16)
 
-    full = 1 << _ODDS
-    for t in range(int(lengths.max(initial=0))):
-        live = n if t < lengths[-1] else n - 1
-        lanes = every[:live]
+def _decode_segment(data: memoryview) -> tuple[np.ndarray, int]:
+    """The ids of the segment at the start of data, and its length in bytes."""
+    if len(data) < 24 or data[:4] != _MAGIC:
+        raise ValueError("not a segment of coded ids")
+    total, block, kinds, size, check = np.frombuffer(data, "<u4", 5, 4).tolist()
+    listed = bytes(data[24 : 24 + size])
+    if zlib.crc32(listed) != check or not block:
+        raise ValueError("a segment's list of ids doesn't match its checksum")
+    bits = np.frombuffer(zlib.decompress(listed), np.uint8)
+    if len(bits) != kinds:
+        raise ValueError("a segment's list of ids is cut short")
+    by_rank, prior = _ranks(bits)
+    n, at = -(-total // block), 24 + size
+    sizes = np.frombuffer(data, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
+    at += 12 * n
+    ends = np.cumsum(2 * sizes[:, 0] + sizes[:, 1])
+    begins = at + ends - 2 * sizes[:, 0] - sizes[:, 1]
+    if at + ends[-1] > len(data):
+        raise ValueError("a segment is cut short")
+    # reads past the end of spoilt blocks find zeros, and the checksum tells
+    words = np.frombuffer(b"".join([bytes(data[b : b + 2 * w]) for b, w in zip(begins, sizes[:, 0], strict=True)]) + bytes(2 * block + 16), "<u2").astype(np.float64)
+    tail = np.frombuffer(b"".join([bytes(data[b + 2 * w : b + 2 * w + k]) for b, (w, k, _) in zip(begins, sizes, strict=True)]) + bytes(2 * block + 16), np.uint8).astype(np.int32)
+    tail = tail[:-2] | tail[1:-1] << 8 | tail[2:] << 16
+    place = np.cumsum(sizes[:, 0]) - sizes[:, 0]
+    bit = (np.cumsum(sizes[:, 1]) - sizes[:, 1]) << 3
+    code = (words[place] * _TOTAL + words[place + 1]) * _TOTAL + words[place + 2]
+    place += 3
+    width = np.full(n, _FULL - 1)
+    model = _Model(n, prior)
+    table = np.zeros((block, n), np.int32)
+    for t in range(block):
         x, y = model.predict()
-        x, y = x[:live], y[:live]
-        c, w = code[:live], width[:live]
-        w >>= _U(_ODDS)
-        v = (c // w).astype(np.int64)
+        width = np.floor(width * (1 / _TOTAL))
+        v = np.minimum(np.floor(code / width), _TOTAL - 1).astype(np.int32)
         hit2 = v < x
-        hit1 = ~hit2 & (v < y)
-        begin = np.where(hit2, 0, np.where(hit1, x, y))
-        end = np.where(hit2, x, np.where(hit1, y, full))
-        c -= w * begin.astype(_U)
-        w *= (end - begin).astype(_U)
-        shift(c, w, lanes)
-        now = np.where(hit2, model.p2[:live], model.p1[:live])
-        esc = np.flatnonzero(~(hit2 | hit1))
-        if len(esc):
-            c, w = code[esc], width[esc] >> _U(_ODDS)
-            v = np.minimum(c // w, _U(full - 1)).astype(np.int64)
-            r = model.find(esc, v)
-            begin = model.cum[esc, r]
-            c -= w * begin.astype(_U)
-            w *= (model.cum[esc, r + 1] - begin).astype(_U)
-            w >>= _BITS[r]
-            off = np.minimum(c // w, _SPAN[r])
-            c -= w * off
-            shift(c, w, esc)
-            shift(c, w, esc)
-            code[esc], width[esc] = c, w
-            now[esc] = _EDGE[r] + off.astype(np.int64)
-            model.count(esc, r)
-        table[t, :live] = now
-        model.learn(now, hit2, hit1, live)
-    ids = np.concatenate([table[: lengths[i], i] for i in range(n)]).astype(np.uint32) if n else np.zeros(0, np.uint32)
-    for i, check in enumerate(checks):
-        if zlib.crc32(ids[i * block : i * block + lengths[i]].astype("<u4").tobytes()) != check:
+        esc = v >= y
+        hit1 = ~(hit2 | esc)
+        rest = _TOTAL - y
+        # order 0: the last run whose share of the rest begins at or before v
+        key = np.floor(((v - y + 1) * float(_ZERO) - 1) / rest).astype(np.uint16)
+        run = np.add.reduce((model.cum <= key).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int32) - 1
+        run = np.where(esc, np.minimum(run, _RUNS - 1), _RUNS)
+        spot = run * n + model.lane
+        cell = np.where(esc, spot, 0)
+        flat = model.cum.ravel()
+        begin = np.where(esc, y + (rest * flat[cell] >> 10), np.where(hit1, x, 0))
+        end = np.where(esc, y + (rest * flat[cell + n] >> 10), np.where(hit1, y, x))
+        code -= width * begin
+        width *= end - begin
+        short = width < _TOP
+        scale = short * 65535.0 + 1.0
+        code = code * scale + np.where(short, words[place], 0.0)
+        width *= scale
+        place += short
+        low = (tail[bit >> 3] >> (bit & 7).astype(np.int32)) & _MASK[run]
+        bit += _BITS[run]
+        now = np.where(esc, _FIRST[run] + low, np.where(hit2, model.p2, model.p1))
+        table[t] = now
+        model.learn(now, hit2, hit1, spot)
+    ids = by_rank[table.T.ravel()[:total]]
+    for i in range(n):
+        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != sizes[i, 2]:
             raise ValueError(f"block {i} doesn't match its checksum")
-    return ids
+    return ids, int(at + ends[-1])
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids that `encode` wrote; a block that doesn't match its checksum raises ValueError."""
+    view, found = memoryview(data), [np.zeros(0, np.uint32)]
+    while len(view):
+        ids, size = _decode_segment(view)
+        found.append(ids)
+        view = view[size:]
+    return np.concatenate(found)

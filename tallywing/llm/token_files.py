@@ -22,7 +22,7 @@ from .tokens import default_path, encoder
 
 END = 1
 #: Bytes of text in a chunk, and of those tokenized at once: the tokenizer's work arrays are far larger than the ids.
-CHUNK_BYTES, TOKENIZED_BYTES = 4 << 20, 1 << 20
+CHUNK_BYTES, TOKENIZED_BYTES = 6 << 20, 1 << 20
 
 
 def _coder(path: str):
@@ -48,9 +48,15 @@ def _coder(path: str):
 
 
 def write(documents: DataFrame, to: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> None:
-    """Writes the ids of all texts, each with END after it, to the folder `to`; null texts count as empty, null ids come first."""
+    """Writes the ids of all texts, each with END after it, to the folder `to`.
+
+    Null texts count as empty, null ids come first, rows that share an id follow each other in the
+    order of a hash of their texts; very long texts are one document all the same. An empty table
+    gives an empty folder. Other columns, whatever their names, are not read.
+    """
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = bounded_batches(rows).repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = bounded_batches(rows).withColumn("place", F.xxhash64("text"))  # rows of one id are dealt out too
+    ordered = rows.repartitionByRange("key", "place").sortWithinPartitions("key", "place").drop("place")
     ordered.mapInArrow(_coder(path or default_path()), "part int, chunk int, n_ids long, keys array<long>, lengths array<long>, coded binary").write.parquet(to)
 
 

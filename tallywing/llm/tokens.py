@@ -1,16 +1,16 @@
 """Whole texts to token ids with a public tokenizer, a batch of texts at a time.
 
-The word tokenizer drops white space and never joins pieces across it, so each run between ASCII
-white space is encoded once and kept: texts repeat their words. A run of plain Latin letters, digits
-and signs is lower-cased and split here by the tokenizer's own pattern, and only pieces not met
-before reach its model; any other run, and one that holds an added token as text, goes through the
-whole tokenizer. What is kept is bounded by
-`MOST_KEPT` and `MOST_PIECES`; past that it is forgotten and encoded anew.
+A tokenizer whose file has the rules of FIXED never joins pieces across white space, so each run
+between ASCII white space is encoded once and kept: texts repeat their words. Short runs of plain
+Latin letters, digits and signs are lower-cased and split here by the file's own pattern, and only
+pieces not met before reach the library's model; every other run, and one that holds an added token
+as text, goes through the whole library, and so do whole texts under a file with other rules. What
+is kept is bounded by `MOST_KEPT` and `MOST_PIECES`; past that it is forgotten and encoded anew.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import re
 from itertools import chain
@@ -19,104 +19,133 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_KEPT = 200_000
+from .common import per_doc, raw
+
+MOST_KEPT = 300_000
 MOST_PIECES = 250_000
 LONGEST_KEPT = 64
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The rules of a tokenizer file under which runs can be encoded one by one.
+FIXED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+#: The file's split pattern over lower-cased plain runs, and the end of a run.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
+#: Bytes of plain runs in UTF-8: visible ASCII, and U+00C0 to U+00FF but for the signs of multiplication and division.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x7F] = _PLAIN[0x80:0xC0] = _PLAIN[0xC3] = True
+_PLAIN[[0x97, 0xB7]] = False
 #: How the byte-level step writes the UTF-8 bytes of plain text: 0x80 to 0xA0 as U+0122 and on, 0xAD as U+0143, the rest as Latin-1.
 BYTES = {c: "".join(chr(0x143 if b == 0xAD else b if b > 0xA0 or b < 0x7F else b - 0x7F + 0x121) for b in chr(c).encode()) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]}
+_GAP = 0xFFFFFFFF
 
 
 class Encoder:
-    """Encodes texts with the tokenizer file at `path`; `own` adds nothing to the ids."""
+    """Encodes texts with the tokenizer file at `path`, as the library does with add_special_tokens=False."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I)
-        self.pieces: dict[str, tuple] = {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        added = rules.get("added_tokens") or []
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added)
+        self.by_runs = plain and all(rules.get(k) == v for k, v in FIXED.items())
+        self.added = "|".join(re.escape(t["content"]) for t in added)
+        self.pieces: dict[str, tuple] = {"\n": (_GAP,)}
         self._forget()
 
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        found: list = [None] * len(words)
-        pieces, tokenize, other = self.pieces, self.tokenizer.model.tokenize, []
-        if len(pieces) > MOST_PIECES:
-            pieces.clear()
-        for i, w in enumerate(words):
-            if not PLAIN.fullmatch(w) or self.added.search(w):
-                other.append(i)
-                continue
-            ids: list[int] = []
-            for piece in PIECE.findall(w.lower()):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = tuple([t.id for t in tokenize(piece.translate(BYTES))])
-                ids += got
-            found[i] = ids
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        return found
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts by the library alone, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _plain(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain runs, split here."""
+        parts, known = PIECE.findall("\n".join(runs).lower() + "\n"), self.pieces
+        if len(known) > MOST_PIECES:
+            known.clear()
+            known["\n"] = (_GAP,)
+        tokenize = self.tokenizer.model.tokenize
+        for p in set(parts).difference(known):
+            known[p] = tuple([t.id for t in tokenize(p if p.isascii() else p.translate(BYTES))])
+        flat = np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.uint32)
+        gap = np.flatnonzero(flat == _GAP)
+        return np.delete(flat, gap), np.diff(np.r_[-1, gap]) - 1
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def _keep(self, words: list[str]) -> None:
-        found = self._encoded(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+    def _keep(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(words) > len(self.start):
+        while self.n + len(lengths) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[self.n : self.n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.n : self.n + len(words)] = lengths
-        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.used, self.n = self.used + len(flat), self.n + len(words)
+        self.start[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : self.n + len(lengths)] = lengths
+        self.used, self.n = self.used + len(flat), self.n + len(lengths)
+
+    def _entries(self, runs: pa.Array) -> np.ndarray:
+        """The place of each of the distinct runs among the entries; those past the known ones last until the next call."""
+        self.used, self.n = int(self.length[: len(self.known)].sum()), len(self.known)
+        if self.n > MOST_KEPT:
+            self._forget()
+        at = pc.index_in(runs, value_set=self.known)
+        new = np.flatnonzero(np.asarray(at.is_null()))
+        at = np.array(at.fill_null(-1), np.int64)
+        if not len(new):
+            return at
+        words = runs.take(pa.array(new))
+        data, off = raw(words)
+        long = np.diff(off) > LONGEST_KEPT
+        other = per_doc((~_PLAIN[data]).astype(np.int64), off) > 0
+        if self.added:
+            other |= np.asarray(pc.match_substring_regex(words, self.added, ignore_case=True))
+        # plain ones first, long ones last: these aren't kept
+        order = np.lexsort((other, long))
+        n_plain, n_short = int((~other & ~long).sum()), int((~long).sum())
+        words, at[new[order]] = words.take(pa.array(order)), self.n + np.arange(len(order))
+        for a, b, encode in ((0, n_plain, self._plain), (n_plain, len(order), self._library)):
+            for i in range(a, b, 20_000):
+                self._keep(*encode(words[i : min(i + 20_000, b)].to_pylist()))
+        self.known = pa.concat_arrays([self.known, words[:n_short]])
+        return at
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by `end`, and the n + 1 offsets in them. Null counts as empty."""
-        gc.disable()  # it would walk the kept runs again and again, and nothing here makes a cycle
-        try:
-            return self._encode(texts, end)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.fill_null("") if texts.null_count else texts
+        n = len(texts)
+        if not self.by_runs:
+            flat, lengths = self._library(texts.to_pylist())
+            return np.insert(flat, np.cumsum(lengths), np.uint32(end)), np.r_[0, np.cumsum(lengths + 1)]
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         count = np.asarray(pc.list_value_length(lists), np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.n > MOST_KEPT:
-            self._forget()
-        new = [w for w in words if w not in self.at]
-        for i in range(0, len(new), 20_000):
-            self._keep(new[i : i + 20_000])
-        entry = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del self.at[w]
-        # the batch's own table of id lists, one for each distinct run and one for the end of a text
-        n, length = len(texts), self.length[entry]
-        step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        values = np.append(self.ids[np.repeat(self.start[entry], length) + step], np.uint32(end))
-        bounds = np.r_[0, np.cumsum(length), len(values)].astype(np.int64)
-        known = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(values, pa.uint32()))
-        ends = np.cumsum(count) + np.arange(n)
-        at = np.full(len(coded) + n, len(entry), np.int64)
-        inner = np.ones(len(at), bool)
-        inner[ends] = False
-        at[inner] = np.asarray(coded.indices, np.int64)
-        taken = known.take(pa.array(at))
-        first = np.asarray(taken.offsets, np.int64)
-        return np.asarray(taken.values, np.uint32)[first[0] : first[-1]], np.r_[0, first[ends + 1] - first[0]]
+        entry = self._entries(coded.dictionary)[np.asarray(coded.indices)]
+        # after each text's runs an entry of its own for the end
+        closes = np.cumsum(count) + np.arange(n)
+        inner = np.ones(len(entry) + n, bool)
+        inner[closes] = False
+        start, length = np.full(len(inner), self.used), np.ones(len(inner), np.int64)
+        start[inner], length[inner] = self.start[entry], self.length[entry]
+        ends = np.cumsum(length)
+        at = np.repeat(start - ends + length, length)
+        at += np.arange(len(at))
+        return np.append(self.ids[: self.used], np.uint32(end))[at], np.r_[0, ends[closes]]
 
 
 _encoders: dict[str, Encoder] = {}

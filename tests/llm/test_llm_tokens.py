@@ -1,5 +1,6 @@
 """Tokens, files, packing and the pipeline."""
 
+import json
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallywing.llm import packing, range_coder, token_files, tokens
@@ -18,17 +20,29 @@ LETTERS = "abcXYZéÈÿßÀñ0123'!?.,-_`~^\"\\<|>&µª²´Σσİŭ\u0301字😀
 def test_ids_equal_the_library():
     rng = random.Random(5)
     texts = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 60))) for _ in range(600)] + ["<|endoftext|> hi", "", None, "don't WE'LL I'd", "a" * 500, "½é"]
-    e = tokens.Encoder(tokens.default_path())
+    texts += [f"{rng.choice(['', 'x', 'É '])}<|endoftext|>{t}<|StartOfText|><|startoftext|>" for t in texts[:60] if t]
+    e, fresh = tokens.Encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
     for part in (texts[:300], texts[300:], texts):
         ids, off = e.encode(pa.array(part, pa.string()), 1)
         for i, t in enumerate(part):
-            assert ids[off[i] : off[i + 1]].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], t
+            assert ids[off[i] : off[i + 1]].tolist() == [*fresh.encode(t or "", add_special_tokens=False).ids, 1], t
+
+
+def test_other_rules_use_the_library(tmp_path):
+    rules = json.load(open(tokens.default_path(), encoding="utf-8"))
+    rules["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    e, fresh = tokens.Encoder(str(path)), Tokenizer.from_file(str(path))
+    assert not e.by_runs
+    ids, off = e.encode(pa.array(["Upper lower", None, "x y"], pa.string()), 9)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[*fresh.encode(t, add_special_tokens=False).ids, 9] for t in ("Upper lower", "", "x y")]
 
 
 @pytest.mark.parametrize("block", [7, 256, 4096, None])
 def test_coder_round_trip(block):
     rng = np.random.default_rng(1)
-    for ids in ([], [5], [65535] * 50, rng.integers(0, 65536, 3000), np.minimum(rng.zipf(1.3, 5000), 60000), [7, 8, 9] * 700):
+    for ids in ([], [5], [0, 49407] * 40, [65535] * 50, rng.integers(0, 65536, 3000), np.minimum(rng.zipf(1.3, 5000), 60000), [7, 8, 9] * 700):
         ids = np.array(ids, np.uint32)
         assert (range_coder.decode(range_coder.encode(ids, block)) == ids).all()
 
@@ -37,6 +51,8 @@ def test_coder_learns_and_checks():
     ids = np.tile(np.arange(100, dtype=np.uint32), 100)
     coded = range_coder.encode(ids)
     assert len(coded) < len(ids)
+    many = np.random.default_rng(2).integers(0, 300, 20_000).astype(np.uint32)  # several segments
+    assert (range_coder.decode(range_coder.encode(many, 4)) == many).all()
     broken = bytearray(coded)
     broken[len(coded) // 2] ^= 0x55
     with pytest.raises(ValueError):
