@@ -8,20 +8,39 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MOST_ROUNDS = 60
+#: Links from which on a node is a hub, and hubs that are sent to every task at most, largest first.
+HUB_LINKS, MOST_HUBS = 256, 10_000
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """u, the smallest v beside it, and how many links it has."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _beside_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """u, v and m for every link (u, v), m being that of u in `least`.
+
+    A hub's links would all be dealt to one task: the largest hubs come to the links instead, a
+    bounded number of rows, and only the links of other nodes are dealt by node.
+    """
+    hubs = least.where(F.col("n") > HUB_LINKS).orderBy(F.desc("n"), "u").limit(MOST_HUBS).select("u", F.col("m").alias("hub_m"))
+    met = links.join(F.broadcast(hubs), "u", "left")
+    others = met.where(F.col("hub_m").isNull()).select("u", "v").join(least.select("u", "m"), "u")
+    return met.where(F.col("hub_m").isNotNull()).select("u", "v", F.col("hub_m").alias("m")).unionByName(others.select("u", "v", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest one of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    return _beside_least(both.where(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(down)
+    moved = _beside_least(down, least).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
