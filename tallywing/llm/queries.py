@@ -80,20 +80,20 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP4 = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('1:' || doc_id::VARCHAR) AS place FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('1:' || doc_id::VARCHAR || ':' || md5(coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
 c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS level FROM r),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY level, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY level, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS share FROM c),
 k AS (SELECT (SELECT share FROM l WHERE share <= level ORDER BY level, n LIMIT 1) AS common),
-t AS (SELECT source, source_size, CASE WHEN common IS NULL THEN cap ELSE least(cap, w * common) END AS target FROM l, k),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, n, source_size, CASE WHEN common IS NULL THEN cap ELSE least(cap, w * common) END AS target FROM l, k),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.n,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size, d.doc_id ROWS UNBOUNDED PRECEDING) AS sent
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN target > 0 AND (sent - size::DOUBLE / 2) / target <= 1 THEN size ELSE 0 END
-   + CASE WHEN target > 0 AND (source_size + sent - size::DOUBLE / 2) / target <= 1 THEN size ELSE 0 END
-   + CASE WHEN target > 0 AND (2 * source_size + sent - size::DOUBLE / 2) / target <= 1 THEN size ELSE 0 END)::BIGINT AS taken
-FROM o
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT doc_id, n, size, (pass * source_size + sent)::DOUBLE / target AS finish FROM o, (VALUES (0), (1), (2)) AS passes(pass) WHERE size > 0 AND target > 0),
+q AS (SELECT *, sum(size) OVER (ORDER BY finish, n ROWS UNBOUNDED PRECEDING) AS reached FROM p),
+g AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM q WHERE reached - size::DOUBLE / 2 <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(g.taken, 0)::BIGINT AS taken
+FROM o LEFT JOIN g ON o.doc_id = g.doc_id
 """
