@@ -3,7 +3,7 @@
 A page is cut at block tags into flat blocks of text. A block is described by its word count and
 link density, those of the blocks before and after it, and where it stands: in an article or main
 element, in a part that pages use for menus, headers, footers, sidebars, forms or comments, under a
-class or id that names such a part, or under a heading tag. A decision tree, grown on the small
+class or id whose name tells, or may tell, of such a part, or under a heading tag. A decision tree, grown on the small
 labelled table below, says whether it belongs to the main text.
 """
 
@@ -29,13 +29,15 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ASIDE = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "fieldset"}
 MAIN = {"article", "main"}
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|respond|replies|reply|disqus|discussion|share|sharing|social|related|recommended|teaser|more|newsletter|subscribe|signup|login|search|form|widget|toolbar|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-]|\d)",
-    re.I,
-)
+# Parts of class and id names that tell of menus, notices, adverts and comments; those that do so only beside nothing but other such parts or places; places.
+STRONG = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "comment", "comments", "disqus", "newsletter", "subscribe", "signup", "login", "pagination", "pager", "copyright", "toolbar"}
+WEAK = {"side", "aside", "foot", "header", "notice", "alert", "respond", "reply", "replies", "discussion", "share", "sharing", "social", "related", "recommended", "teaser", "more", "search", "form", "widget", "legal", "disclaimer", "skip"}
+PLACE = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "right", "section", "site", "stories", "story", "thread", "title", "to", "top", "wrap", "wrapper"}
 ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s/]|$)""", re.I)
+UNSEEN = re.compile(r"""(?:^|\s)style\s*=\s*(?:"[^"]*?display\s*:\s*none|'[^']*?display\s*:\s*none)|(?:^|\s)aria-hidden\s*=\s*["']?true""", re.I)
 CLOSES_P = {"p", "div", "ul", "ol", "table", "section", "article", "aside", "nav", "footer", "header", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "main", "hr", "dl"}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "page_has_main", "in_aside", "hinted", "heading")
@@ -58,18 +60,35 @@ LABELLED = np.array([
     (35, 0.0, 30, 0.0, 40, 0.0, 0, 1, 1, 0, 0, 0), (120, 0.05, 60, 0.0, 20, 0.0, 0, 0, 1, 0, 0, 0), (65, 0.0, 25, 0.0, 15, 0.0, 0, 0, 1, 0, 0, 0), (28, 0.1, 0, 0.0, 90, 0.0, 1, 1, 1, 0, 0, 0),
     (200, 0.0, 10, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 0), (50, 0.0, 70, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0),
     # notices, adverts, comments, teasers by name of class or id
-    (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0, 1, 0, 0), (70, 0.0, 5, 0.0, 80, 0.0, 0, 1, 0, 1, 0, 0), (30, 0.1, 80, 0.0, 25, 0.0, 1, 1, 0, 1, 0, 0), (4, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 1, 1, 0),
-    (18, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), (55, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 0), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0), (110, 0.0, 30, 0.0, 90, 0.0, 1, 1, 0, 1, 0, 0),
-    (150, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1, 0, 0), (33, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0), (26, 0.0, 15, 0.0, 60, 0.0, 1, 1, 0, 1, 0, 0), (80, 0.0, 20, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0),
+    (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0, 2, 0, 0), (70, 0.0, 5, 0.0, 80, 0.0, 0, 1, 0, 2, 0, 0), (30, 0.1, 80, 0.0, 25, 0.0, 1, 1, 0, 2, 0, 0), (4, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 2, 1, 0),
+    (18, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 2, 0, 0), (55, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 2, 0, 0), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 2, 0, 0), (110, 0.0, 30, 0.0, 90, 0.0, 1, 1, 0, 2, 0, 0),
+    (150, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 2, 0, 0), (33, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 2, 0, 0), (26, 0.0, 15, 0.0, 60, 0.0, 1, 1, 0, 2, 0, 0), (80, 0.0, 20, 0.0, 0, 0.0, 0, 1, 0, 2, 0, 0),
     # outside the article of a page that marks it
     (7, 0.0, 2, 1.0, 12, 0.0, 0, 1, 0, 0, 0, 0), (45, 0.0, 60, 0.0, 10, 0.0, 0, 1, 0, 0, 0, 0), (3, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0, 0, 0), (10, 0.0, 0, 0.0, 6, 0.0, 0, 1, 0, 0, 1, 0),
     (60, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 0, 0), (25, 0.05, 10, 0.0, 80, 0.0, 0, 1, 0, 0, 0, 0), (110, 0.0, 50, 0.0, 3, 0.0, 0, 1, 0, 0, 0, 0), (2, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0),
     # links without any mark
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (8, 0.9, 7, 0.9, 9, 1.0, 0, 0, 0, 0, 0, 0), (5, 0.8, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0, 0),
     (12, 0.7, 50, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0), (1, 1.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
+    # weak names: short or linked blocks are parts of the page, long plain ones are text under an odd name
+    (80, 0.0, 5, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (45, 0.0, 30, 0.0, 0, 0.0, 1, 1, 0, 1, 0, 1), (120, 0.05, 9, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 1), (35, 0.1, 80, 0.0, 40, 0.0, 1, 1, 0, 1, 0, 1),
+    (150, 0.0, 12, 0.0, 90, 0.1, 1, 1, 0, 1, 0, 1), (60, 0.0, 0, 0.0, 70, 0.0, 0, 0, 0, 1, 0, 1), (90, 0.1, 70, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 1), (48, 0.0, 6, 0.0, 52, 0.0, 1, 1, 0, 1, 0, 1),
+    (3, 0.0, 40, 0.0, 60, 0.0, 1, 1, 0, 1, 0, 0), (9, 0.3, 70, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), (5, 1.0, 60, 0.0, 4, 1.0, 1, 1, 0, 1, 0, 0), (14, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0),
+    (2, 0.0, 5, 0.0, 20, 0.0, 1, 1, 0, 1, 1, 0), (20, 0.5, 30, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0), (12, 0.0, 90, 0.0, 45, 0.0, 1, 1, 0, 1, 0, 0), (7, 0.0, 8, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 0),
+    (40, 0.8, 30, 0.0, 20, 0.9, 1, 1, 0, 1, 0, 0), (60, 0.7, 5, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), (16, 0.0, 70, 0.0, 60, 0.0, 1, 1, 0, 1, 0, 0), (18, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 1, 0, 0),
 ])
 
 
+def hinted(names: str) -> int:
+    """What a class or id says of its element: 2 for a part that isn't the article's, 1 if that may be so, else 0."""
+    most = 0
+    for name in names.lower().split():
+        parts = [re.sub(r"\d+$", "", x) for x in re.split("[-_]+", name)]
+        parts = [x for x in parts if x]
+        weak = any(x in WEAK for x in parts) and all(x in WEAK or x in PLACE for x in parts)
+        most = max(most, 2 if any(x in STRONG for x in parts) else int(weak))
+    return most
+
+
 def tokens(page: str) -> Iterator[re.Match]:
     """The page's tags and comments in order; those inside of RAW elements are not looked at."""
     at = 0
@@ -159,10 +178,10 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             if attributes and tag not in ("body", "html"):
                 for a in ATTRIBUTE.finditer(attributes):
                     value = a[2] or a[3] or a[4] or ""
-                    if (ROLE if a[1].lower() == "role" else HINT).search(value) and tag not in MAIN:
-                        hint = 1
-                if HIDDEN.search(attributes):
-                    hint = 1
+                    if tag not in MAIN:
+                        hint = max(hint, 2 * bool(ROLE.search(value)) if a[1].lower() == "role" else hinted(value))
+                if HIDDEN.search(QUOTED.sub(" ", attributes)) or UNSEEN.search(attributes):
+                    hint = 2
             open_.append((tag, main, aside, hint, heading, link))
         state = open_[-1][1:] if open_ else (0, 0, 0, 0, 0)
     add(page[at:])
@@ -227,7 +246,9 @@ def _extractor(tree):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and blocks_dropped for every row of pages (page_id, url, html).
 
-    A null or empty html has the empty text. Repeated rows get a row each; ids and urls may be null.
+    A null or empty html has the empty text. Repeated rows get a row each; ids and urls may be null,
+    and an empty table gives an empty result. Very long pages are read whole. Other columns, whatever
+    their names, are not read.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = bounded_batches(pages).select("page_id", "url", "html")
