@@ -21,8 +21,8 @@ from .common import bounded_batches, per_doc, raw, slices
 from .linear_features import even_sample, folded, inside_text, ngram_buckets
 
 BITS, WIDTHS, DIM = 15, (3, 4), 16
-#: Rows that the training reads at most, over all languages, and n-grams kept of each of them.
-TRAIN_ROWS, TRAIN_NGRAMS = 2000, 4096
+#: Rows that the training reads at most, over all languages; each has at most 2**BITS kinds of n-grams.
+TRAIN_ROWS = 2000
 
 
 @dataclass
@@ -45,9 +45,6 @@ def _count_grams(batches):
                 a, b = off[i], off[i + 1]
                 h = np.concatenate([g[a:b][ok[a:b]] for g, ok in grams])
                 bucket, n = np.unique(h, return_counts=True)
-                if len(bucket) > TRAIN_NGRAMS:
-                    keep = np.sort(np.argsort(-n, kind="stable")[:TRAIN_NGRAMS])
-                    bucket, n = bucket[keep], n[keep]
                 rows.append((bucket.astype(np.uint16).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "bucket", "share"])
 
@@ -57,8 +54,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, epochs: int = 6, rate: float = 40.0, seed: int = 7):
-    rng = np.random.default_rng(seed)
+def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, epochs: int = 6, least_steps: int = 300, rate: float = 40.0, seed: int = 7):
+    """Class scores of each bucket and biases; few rows are gone through more often, to `least_steps` steps."""
+    rng, epochs = np.random.default_rng(seed), max(epochs, -(-least_steps // max(1, len(x) // 16)))
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     weights, bias = np.zeros((n_classes, DIM), np.float32), np.zeros(n_classes, np.float32)
     weights += rng.normal(0, 0.1, weights.shape).astype(np.float32)
@@ -88,7 +86,9 @@ def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "la
     """
     rows = bounded_batches(labelled).where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key"))
     chosen = even_sample(rows.select("label", "key"), "label", F.col("key"), most)
-    found = rows.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").select("text", "label").mapInArrow(_count_grams, "label string, bucket binary, share binary").collect()
+    # rows that share an id and a label count once, by the smallest text, so that what is collected keeps its bound
+    some = rows.join(F.broadcast(chosen.distinct()), ["key", "label"], "left_semi").groupBy("key", "label").agg(F.min("text").alias("text"))
+    found = some.select("text", "label").mapInArrow(_count_grams, "label string, bucket binary, share binary").collect()
     found.sort(key=lambda r: (r["label"], r["bucket"], r["share"]))
     languages = sorted({r["label"] for r in found})
     if not languages:
@@ -106,8 +106,10 @@ def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "la
         temperature = min(loss, key=loss.get)
         p = _softmax(z / temperature)
         right = p.argmax(axis=1) == y[held]
-        # a rejected text is one less sure than nearly every text of the held part that was right
-        least = min(0.4, float(np.quantile(p.max(axis=1)[right], 0.002)) if right.any() else 0.0) * 0.9
+        # a rejected text is nearer to chance than to the least sure text of the held part that was right
+        chance = 1 / len(languages)
+        sure = float(p.max(axis=1)[right].min()) if right.any() else chance
+        least = chance + (sure - chance) / 2
     return Model(languages, scores.astype(np.float32), bias.astype(np.float32), float(temperature), least)
 
 
@@ -152,7 +154,10 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def label_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of df as a struct `row`, with lang_pred, score and rejected beside it; no name of df can clash."""
+    """Every row of df as a struct `row`, with lang_pred, score and rejected beside it; no name of df can clash.
+
+    Null and empty texts are rejected, repeated rows get a row each, an empty df gives an empty result.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(row.alias("row"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
@@ -172,6 +177,11 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected, learnt from the documents that aren't held out."""
+    """doc_id, held_out, lang_pred, score and rejected, learnt from the documents that aren't held out.
+
+    A null doc_id is not held out. Null texts, texts without a letter and very long, repeated or
+    clashing rows are as `predict` says; an empty table gives an empty result, and without any
+    labelled row everything is `und`.
+    """
     model = train(documents.where(~held_out(5, 0)).select("doc_id", "text", "lang"), F.col("doc_id"))
     return predict(documents, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")

@@ -44,12 +44,8 @@ def even_sample(df: DataFrame, label: str, key: Column, most: int) -> DataFrame:
     One count of the labels sets a share of the hash range for each; the hard bound is the final
     limit, taken in hash order, so that reruns agree.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).limit(1000).collect()}
-    if not counts:
-        return df.limit(0)
-    each = most / len(counts) * 0.9
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(share)
+    counts = df.groupBy(F.col(label).alias("label_")).agg(F.count("*").alias("n_"))
+    labels = max(1, counts.count())
     place = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30))
-    return df.withColumn("place_", place).where(F.col("place_") < share * (1 << 30)).orderBy("place_", key).limit(most).drop("place_")
+    placed = df.withColumn("place_", place).join(counts, F.col(label) == F.col("label_"))
+    return placed.where(F.col("place_") < F.least(F.lit(1.0), F.lit(most / labels * 0.9) / F.col("n_")) * (1 << 30)).orderBy("place_", key).limit(most).drop("place_", "label_", "n_")
