@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywing.llm import langid, mixing, ngram_join, packing, pii
-from tallywing.llm.common import new_path, table
+from tallywing.llm.common import cut, new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,32 +34,48 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id.
 
-    Rows that share a doc_id become one; rows without a doc_id stay.
+    Rows that share doc_id and text become one; rows that share a doc_id and differ in text are
+    documents of their own, ordered by a hash of their texts. Rows without a doc_id, null or empty
+    texts stay. An empty table gives an empty one.
     """
     docs = _documents(docs)
-    groups = ngram_join.shingle_components(docs)
-    dropped = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return _documents(kept.unionByName(docs.where(F.col("doc_id").isNull())))
+    tagged = docs.where(F.col("doc_id").isNotNull()).withColumn("tag_", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    repeated = tagged.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("tag_").alias("a"), F.max("tag_").alias("b")).where(F.col("n") > 1)
+    repeated = cut(repeated.select("doc_id", (F.col("a") != F.col("b")).alias("differ")))
+    key = F.col("doc_id")
+    if repeated.where("differ").limit(1).count():
+        above_zero = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+        key = F.concat_ws(":", F.lpad(above_zero.cast("string"), 21, "0"), F.lpad(F.hex("tag_"), 16, "0"))
+    tagged = tagged.withColumn("key_", key)
+    groups = ngram_join.shingle_components(tagged.select("key_", "text"), key="key_")
+    dropped = groups.where(F.col("component_id") != F.col("key_")).select("key_").distinct()
+    kept = tagged.join(dropped, "key_", "left_anti")
+    if repeated.limit(1).count():
+        ids = repeated.select("doc_id")
+        kept = kept.join(ids, "doc_id", "left_anti").unionByName(kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "tag_"]))
+    return _documents(kept).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars counts the new text."""
+    """All documents, each span of personal data replaced by its kind; n_chars counts the new text.
+
+    Null texts stay null, with an n_chars of null; repeated rows are changed alike.
+    """
     docs = _documents(docs).withColumn("text", pii.redacted(F.col("text")))
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, repeated as often as it takes them; those without a word go."""
-    docs = _documents(docs)
-    taken = mixing.mix(docs).where(F.col("taken") > 0).groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = taken.select(F.col("doc_id").alias("taken_id"), "times")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return _documents(joined.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("times")))))
+    """The documents that the mix takes, repeated as often as it takes them; those without a word go.
+
+    Every row is taken for itself, whatever its doc_id; a null source is a source of its own. An
+    empty table gives an empty one.
+    """
+    return mixing.mixed_rows(_documents(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences."""
+    """The pieces of all documents in packed sequences; a null or empty text is its end id alone, repeated rows are packed each."""
     return packing.pack_documents(_documents(docs))
 
 
