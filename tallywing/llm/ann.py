@@ -3,8 +3,10 @@
 Each tree splits at the median of a projection on the difference of two random points; the forest
 is grown in numpy on a bounded sample and sent to every task, so its size does not grow with the
 table. A query walks all trees through one shared priority queue, ordered by the smallest margin on
-the way, until the leaves it has reached hold enough of the sample. Rows and queries meet by tree
-and leaf, split into blocks of bounded size, and candidates are ranked by their exact distance.
+the way, until the leaves it has reached hold enough of the sample. How much is enough is measured:
+some rows of the sample are searched among the others, and the least reach that finds TARGET of
+their true neighbours is taken, at every size of the table. Rows and queries meet by tree and leaf,
+split into blocks of bounded size, and candidates are ranked by their exact distance.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows that the forest is grown on at most, its trees, and the sample's rows in a leaf at most.
-SAMPLE_ROWS, TREES, LEAF_ROWS = 20_000, 3, 256
-#: Share of the sample that the leaves a query reaches hold, over all trees.
-REACH = 1.2
+#: Rows that the forest is grown on at most, its trees, the table's rows that a leaf should hold, and the sample's rows that it holds at least.
+SAMPLE_ROWS, TREES, LEAF_ROWS, LEAST_SAMPLE_ROWS = 20_000, 3, 1024, 16
+#: Share of the true neighbours that the reach is set to find, and rows of the sample that are searched for it.
+TARGET, CALIBRATED = 0.96, 200
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -108,22 +110,54 @@ def usable(vector: str) -> F.Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def forest(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 5) -> list[Tree]:
-    """Trees grown on at most `sample_rows` rows (id, vector), taken in hash order."""
+def sampled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> np.ndarray:
+    """The vectors of at most `sample_rows` rows (id, vector), taken in hash order."""
     picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).select("id", "vector").toArrow()
-    if not picked.num_rows:
-        return []
-    picked = picked.sort_by("id").combine_chunks()
-    points, rng = _matrix(picked.column("vector").chunk(0)), np.random.default_rng(seed)
+    return _matrix(picked.sort_by("id").combine_chunks().column("vector").chunk(0)) if picked.num_rows else np.zeros((0, 1), np.float32)
+
+
+def forest(points: np.ndarray, table_rows: int, trees: int = TREES, seed: int = 5) -> list[Tree]:
+    """Trees whose leaves are as small as the table asks for and the sample allows."""
+    leaf_rows = max(LEAST_SAMPLE_ROWS, len(points) * LEAF_ROWS // max(1, table_rows))
+    rng = np.random.default_rng(seed)
     return [Tree(points, rng, leaf_rows) for _ in range(trees)]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = REACH, seed: int = 5) -> DataFrame:
+def _sides(trees: list[Tree], points: np.ndarray) -> list[np.ndarray]:
+    return [points @ t.direction.T - t.threshold if len(t.direction) else np.zeros((len(points), 0)) for t in trees]
+
+
+def calibrated(trees: list[Tree], points: np.ndarray, k: int, seed: int = 5) -> float:
+    """Rows of the sample that the leaves of a query have to hold, over all trees, to find TARGET of its k nearest ones there."""
+    n = len(points)
+    if n <= k + 1:
+        return np.inf
+    asked = np.random.default_rng(seed).choice(n, min(CALIBRATED, n), replace=False)
+    near = (points**2).sum(axis=1) - 2 * points[asked] @ points.T
+    near[np.arange(len(asked)), asked] = np.inf
+    true = np.argpartition(near, k - 1, axis=1)[:, :k]
+    leaves, sides = np.stack([t.route(points) for t in trees]), _sides(trees, points[asked])
+    held = []  # for each true neighbour the rows held by the leaves up to the first one with it
+    for i, own in enumerate(true):
+        sums, first = 0, np.full(k, np.inf)
+        for t, leaf in reach(trees, [s[i] for s in sides], np.inf):
+            sums += trees[t].leaf_size[leaf]
+            hit = (leaves[t, own] == leaf) & np.isinf(first)
+            first[hit] = sums
+            if np.isfinite(first).all():
+                break
+        held.append(first)
+    return float(np.quantile(np.concatenate(held), TARGET))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score: for each query its k nearest rows but itself, as far as they are found.
 
     rows and queries are tables (id long, vector array<float>); only vectors of the most frequent
-    length take part, and of those only usable ones. Ties go to the smaller id. Queries without
-    any other row have no result; with fewer than k other rows, they get all.
+    length take part, and of those only usable ones: null, empty, zero and not finite vectors and null
+    ids have no result. Ties go to the smaller id; rows that share an id are one candidate, the
+    nearest of them. Queries without any other row have no result; with fewer than k other rows,
+    they get all that are found. Empty tables give an empty result. Other columns are not read.
     """
     spark = rows.sparkSession
     rows, queries = (x.where(F.col("id").isNotNull() & usable("vector")) for x in (rows, queries))
@@ -132,10 +166,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = REAC
     if not length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, queries = (x.where(F.size("vector") == length[0]["n"]) for x in (rows, queries))
-    trees = forest(rows, seed=seed)
-    sample = sum(trees[0].leaf_size)
-    # few rows need no index: then every leaf is reached
-    enough = share * sample if sample > 2000 else np.inf
+    points = sampled(rows, seed=seed)
+    trees = forest(points, rows.count(), seed=seed)
+    enough = calibrated(trees, points, k, seed)
 
     def routed(batches):
         for batch in batches:
@@ -146,7 +179,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = REAC
     def reached(batches):
         for batch in batches:
             points = _matrix(batch.column("vector"))
-            sides = [points @ t.direction.T - t.threshold if len(t.direction) else np.zeros((len(points), 0)) for t in trees]
+            sides = _sides(trees, points)
             at = [reach(trees, [s[i] for s in sides], enough) for i in range(len(points))]
             n = [len(x) for x in at]
             flat = np.array([y for x in at for y in x], np.int32).reshape(-1, 2)
@@ -186,7 +219,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = REAC
             for i in range(len(q)):
                 # rows as near as the k-th, rounding apart, are all measured exactly
                 level = np.partition(near[i, pick[i]], min(k, most) - 1)[min(k, most) - 1]
-                c = pick[i] if level >= near[i, pick[i]].max() - 1e-9 and most == len(x) else np.flatnonzero(near[i] <= level + 1e-9)
+                slack = 1e-12 * (squares.max() + (q[i] ** 2).sum())
+                c = pick[i] if most == len(x) and level >= near[i, pick[i]].max() - slack else np.flatnonzero(near[i] <= level + slack)
                 c = c[ids[c] != asked_ids[a + i]]
                 score = np.sqrt(((x[c] - q[i]) ** 2).sum(axis=1))
                 order = np.lexsort((ids[c], score))[:k]
@@ -201,6 +235,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = REAC
 
 
 def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """The k nearest rows of each row of embeddings (vec_id, embedding) whose id `every` divides."""
+    """The k nearest rows of each row of embeddings (vec_id, embedding) whose id `every` divides; odd rows as `search` says."""
     rows = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return search(rows, rows.where(F.col("id") % every == 0), k)
