@@ -2,13 +2,14 @@
 
 Vectors of a label are clustered around centres found on a bounded sample, and each goes to every
 centre that could be the nearest one of a vector in range of it, so that two vectors in range always
-share a shard; a label for which that would take more comparisons than all its pairs is one shard. A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of
-blocks becomes a task, so that every pair of a shard's vectors meets and no task holds more than a
-bounded number. Tasks link each vector to a robust-pruned choice of its nearest ones; the lists of
-all tasks are united by vector. Then every task searches for each of its vectors: greedily from the
-medoid, and on from everything in range until nothing new is in range. Each search is compared with
-all rows of the task, and takes what it has missed from there; the audit's columns tell for `AUDITED`
-rows of each task what the search alone had found. Links are confirmed by the exact cosine in double precision.
+share a shard; a label for which that would take more comparisons than all its pairs is one shard.
+A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of blocks becomes a task, so
+that every pair of a shard's vectors meets and no task holds more than a bounded number. Tasks link
+each vector to a robust-pruned choice of its nearest ones; the lists of all tasks are united by
+vector. Then every task searches for each of its vectors: greedily from the medoid, and on from
+everything within range, or a little past it, until nothing new is. Links are confirmed by the exact
+cosine in double precision. The search of `AUDITED` rows of each task is compared with all its rows;
+the audit's columns tell what they had found, and these rows take what they had missed.
 
 Equal vectors of a label are one vector with a weight throughout.
 """
@@ -28,6 +29,8 @@ SHARD_ROWS, OVERLAP = 2048, 2
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 2048
 DEGREE, CANDIDATES, ALPHA = 32, 64, 1.2
 AUDITED = 32
+#: How far below the range a search goes on, so that it gets across thin places of the graph.
+PAST_RANGE = 0.03
 
 
 def robust_prune(near: np.ndarray, among: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -74,8 +77,8 @@ def build(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
 
 
-def range_search(unit: np.ndarray, off: np.ndarray, flat: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each vector the others in range: greedily from the medoid, then on through all that are in range.
+def range_search(unit: np.ndarray, off: np.ndarray, flat: np.ndarray, least: float, past: float = PAST_RANGE) -> list[np.ndarray]:
+    """For each vector the others in range: greedily from the medoid, then on through all that are in range or no more than `past` below it.
 
     All walks take their steps together; only vectors with something in range go on one by one.
     """
@@ -100,7 +103,7 @@ def range_search(unit: np.ndarray, off: np.ndarray, flat: np.ndarray, least: flo
             walking, near, sims, top = walking[better], near[better], sims[better], top[better]
             at[walking], best[walking] = near[np.arange(len(walking)), top], sims[np.arange(len(walking)), top]
         front = np.concatenate([at[:, None], padded[at], padded[me]], axis=1)
-        near = (np.einsum("qd,qkd->qk", q, unit[front]) >= least) & (front != me[:, None])
+        near = (np.einsum("qd,qkd->qk", q, unit[front]) >= least - past) & (front != me[:, None])
         for i in range(len(q)):
             if not near[i].any():
                 out.append(np.zeros(0, np.int64))
@@ -112,8 +115,9 @@ def range_search(unit: np.ndarray, off: np.ndarray, flat: np.ndarray, least: flo
                 new = np.unique(padded[todo])
                 new = new[seen[new] != me[i]]
                 seen[new] = me[i]
-                todo = new[unit[new] @ q[i] >= least]
-            out.append(np.concatenate(found))
+                todo = new[unit[new] @ q[i] >= least - past]
+            found = np.concatenate(found)
+            out.append(found[unit[found] @ q[i] >= least])
     return out
 
 
@@ -132,13 +136,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _centres(rows: DataFrame, least: float, seed: int = 11) -> dict[int, np.ndarray]:
+def _centres(rows: DataFrame, least: float, seed: int = 11) -> dict[str, np.ndarray]:
     """For each label with more vectors than a shard, unit centres from a few rounds of k-means on a bounded sample."""
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).orderBy(F.desc("n"), "label").limit(MOST_CENTRES).collect()}
     if not sizes:
         return {}
     picked = rows.where(F.col("label").isin(list(sizes))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE_ROWS).select("id", "label", "vector").toArrow().sort_by("id").combine_chunks()
-    points, labels = _unit(_matrix(picked.column("vector").chunk(0), np.float64)), np.asarray(picked.column("label"))
+    points, labels = _unit(_matrix(picked.column("vector").chunk(0), np.float64)), np.array(picked.column("label").to_pylist())
     rng, out, total = np.random.default_rng(seed), {}, sum(sizes.values())
     for label, n in sizes.items():
         own = points[labels == label]
@@ -158,24 +162,39 @@ def _centres(rows: DataFrame, least: float, seed: int = 11) -> dict[int, np.ndar
     return out
 
 
+def _with_classes(rows: DataFrame, classes: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows beside the row of their class. The largest classes, a bounded number, come to their rows; rows of others are dealt by class."""
+    on = ["label", "p", "q"]
+    large = classes.where(F.col("copies") > 256).orderBy(F.desc("copies"), "cid").limit(most)
+    values = [c for c in classes.columns if c not in on]
+    met = rows.join(F.broadcast(large.select(*on, F.struct(*values).alias("own"))), on, "left")
+    rest = met.where(F.col("own").isNull()).drop("own").join(classes, on)
+    return met.where(F.col("own").isNotNull()).select("id", "own.*").unionByName(rest.select("id", *values))
+
+
 def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     """id, n_links, component_id, audit_found and audit_true for every row of rows (id long, label, vector array<float>).
 
-    A row without a label or with an unusable vector (null, empty, zero, a component null or not
-    finite), or of another length than most, links with nothing: 0 links, its own component.
-    Copies of a vector link with each other. The audit's columns are null for rows not audited.
+    A row without an id or a label or with an unusable vector (null, empty, zero, a component null or
+    not finite), or of another length than most, links with nothing: 0 links, its own component.
+    Labels of any type are compared as they are. Copies of a vector link with each other. Rows that
+    share an id are rows of their own, each with the links of its vector. An empty table gives an
+    empty result; other columns are not read. The audit's columns are null for rows not audited.
     """
     every = rows.select("id", "label", "vector")
-    rows = every.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vector")).select("id", F.col("label").cast("long").alias("label"), "vector")
-    length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("vector") == (length[0]["n"] if length else 1))
-    classes = cut(rows.groupBy("label", "vector").agg(F.min("id").alias("cid"), F.count("*").alias("copies")))
-    members = rows.join(classes, ["label", "vector"]).select("id", "cid", "copies")
+    takes_part = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vector")
+    length = every.where(takes_part).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    takes_part = F.coalesce(takes_part & (F.size("vector") == (length[0]["n"] if length else 1)), F.lit(False))
+    rows = every.where(takes_part).select("id", F.col("label").cast("string").alias("label"), "vector")
+    rows = rows.withColumns({"p": F.xxhash64("vector"), "q": F.xxhash64(F.lit(1), F.reverse("vector"))})
+    classes = rows.groupBy("label", "p", "q").agg(F.min(F.struct("id", "vector")).alias("one"), F.count("*").alias("copies"))
+    # a class has a number of its own, since ids may repeat
+    classes = cut(cut(classes).select(F.monotonically_increasing_id().alias("cid"), F.col("one.id").alias("least_id"), "label", "p", "q", "one.vector", "copies"))
     centres = _centres(classes.select(F.col("cid").alias("id"), "label", "vector"), least)
 
     def sharded(batches):
         for batch in batches:
-            labels, ids = np.asarray(batch.column("label")), np.asarray(batch.column("id"))
+            labels, ids = np.array(batch.column("label").to_pylist()), np.asarray(batch.column("id"))
             unit = _unit(_matrix(batch.column("vector"), np.float64)) if len(ids) else np.zeros((0, 1))
             shards = [[0] for _ in ids]
             for label in set(labels.tolist()) & set(centres):
@@ -186,7 +205,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
                         shards[i] = np.flatnonzero(at).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], ["id", "label", "vector", "copies", "shards"])
 
-    placed = classes.select(F.col("cid").alias("id"), "label", "vector", "copies").mapInArrow(sharded, "id long, label long, vector array<float>, copies long, shards array<int>")
+    placed = classes.select(F.col("cid").alias("id"), "label", "vector", "copies").mapInArrow(sharded, "id long, label string, vector array<float>, copies long, shards array<int>")
     placed = placed.withColumn("shard", F.explode("shards"))
     half = SHARD_ROWS // 2
     sizes = placed.groupBy("label", "shard").agg(F.count("*").alias("n"))
@@ -230,14 +249,12 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         audited = np.argsort((ids * 2654435761) % (1 << 32), kind="stable")[:AUDITED]
         found = range_search(unit, off, flat, slack)
         truth, hit = {}, {}
-        for a in range(0, n, 256):
-            inside = unit[a : a + 256] @ unit.T >= slack
-            inside[np.arange(len(inside)), np.arange(a, a + len(inside))] = False
-            for i, others in enumerate(inside, a):
-                every = np.flatnonzero(others)
-                hit[i], truth[i] = len(np.intersect1d(found[i], every)), every
-                found[i] = every if hit[i] < len(every) else found[i]
-        truth = {int(i): truth[i] for i in audited}
+        inside = unit[audited] @ unit.T >= slack
+        inside[np.arange(len(audited)), audited] = False
+        for i, others in zip(audited.tolist(), inside, strict=True):
+            truth[i] = np.flatnonzero(others)
+            hit[i] = len(np.intersect1d(found[i], truth[i]))
+            found[i] = np.union1d(found[i], truth[i]).astype(np.int64)
         links, root = np.zeros(n, np.int64), np.arange(n)
 
         def top(x: int) -> int:
@@ -274,17 +291,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
 
     out = cut(placed.join(graph, "id").groupBy(*task).applyInArrow(searched, "id long, links long, root long, audit_found long, audit_true long"))
     totals = out.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"), F.sum("audit_found").alias("audit_found"), F.sum("audit_true").alias("audit_true"))
-    joined = components(out.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), "component_id")
-    state = members.join(totals, "cid").join(joined, "cid", "left").select(
-        F.col("id").alias("own"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id"), "audit_found", "audit_true"
-    ).distinct()
-    return every.select("id").join(state, F.col("id") == F.col("own"), "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "audit_found", "audit_true"
-    )
+    joined = components(out.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component_id").alias("top"))
+    named = classes.select("cid", "label", "p", "q", "least_id", "copies").join(totals, "cid").join(joined, "cid", "left").withColumn("top", F.coalesce("top", "cid"))
+    smallest = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
+    state = named.join(smallest, "top").select("cid", "label", "p", "q", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", "audit_found", "audit_true")
+    alone = every.where(~takes_part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("audit_found"), F.lit(None).cast("long").alias("audit_true"))
+    return _with_classes(rows.select("id", "label", "p", "q"), cut(state)).select("id", "n_links", "component_id", "audit_found", "audit_true").unionByName(alone)
 
 
 def deduplicate(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept and the audit's columns for every row of embeddings (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id, kept and the audit's columns for every row of embeddings (vec_id, embedding, label); odd rows as `near_duplicates` says."""
     rows = embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
     out = near_duplicates(rows, least)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "audit_found", "audit_true")
