@@ -89,6 +89,16 @@ def first_argmax(values: Column) -> Column:
 POWERS = {"log1p": F.log1p, "sqrt": F.sqrt, "sqrt_tenth": lambda c: F.sqrt(c) / F.lit(10.0), "fourth_root": lambda c: F.pow(c, 0.25), "cube_root": lambda c: F.pow(c, 1 / 3)}
 
 
+def z_score(value: Column, mean: Column, deviation: Column) -> Column:
+    """How many deviations a value lies from the mean; null without any deviation."""
+    return F.try_divide(value - mean, deviation)
+
+
+def trial_features(count: Column, doy: Column, year: Column) -> dict[str, Column]:
+    """A count, day of year and year as the first trial network took them."""
+    return {"log_count": F.log10(count + F.lit(1.0)), "doy_share": doy / F.lit(365.0), "year_share": (year - 2000) / F.lit(100.0)}
+
+
 def format_cell(value: Column) -> Column:
     """A number as a table shows it: whole numbers plain, others to 3 significant digits, null blank."""
     digits = F.when(value == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), 2 - F.floor(F.log10(F.abs(value))))).cast("int")

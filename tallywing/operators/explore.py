@@ -51,6 +51,55 @@ def split_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def split_by_era(df: DataFrame, eras: tuple[str, ...]) -> DataFrame:
+    """Rows of each split by era."""
+    return df.groupBy("tvt").pivot("era", list(eras)).agg(F.count(F.lit(1))).fillna(0)
+
+
+def assembled(rows: DataFrame, weather: DataFrame, split: str | None = None) -> DataFrame:
+    """Survey rows beside the weather of their date, of one split if given; a date without weather is an error.
+
+    weather: one row a date. Rows of other splits don't count.
+    """
+    rows = rows if split is None else rows.where(F.col("tvt") == split)
+    lacking = rows.select("date").distinct().join(weather.select("date"), "date", "left_anti").orderBy("date").limit(5).collect()
+    if lacking:
+        raise ValueError(f"no weather on {', '.join(str(r['date']) for r in lacking)}")
+    return rows.join(weather, "date")
+
+
+def with_weather(rows: DataFrame, weather: DataFrame) -> DataFrame:
+    """Rows of dates that have weather, beside it: what can be predicted of the dates asked for."""
+    return rows.join(weather, "date")
+
+
+def truncated(df: DataFrame, share: float, *key: str) -> DataFrame:
+    """About this share of the rows, the same ones in every run, for short trial runs."""
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def day_segments(frame: DataFrame) -> DataFrame:
+    """species, date, row, first_hour, last_hour (exclusive) and obs of each survey that has watched an hour."""
+    watched = F.transform("mask", lambda m: m > 0)
+    first = F.array_position(watched, True) - 1
+    last = F.size("mask") - F.array_position(F.reverse(watched), True) + 1
+    return frame.where(F.array_contains(watched, True)).select("species", "date", "row", first.alias("first_hour"), last.alias("last_hour"), "obs")
+
+
+def day_coverage(frame: DataFrame) -> DataFrame:
+    """species, date, hour and coverage, the watched part of each hour over all surveys of the day, 1 at most."""
+    hours = frame.select("species", "date", F.posexplode("mask").alias("hour", "mask"))
+    return hours.groupBy("species", "date", "hour").agg(F.least(F.sum("mask"), F.lit(1.0)).alias("coverage")).where(F.col("coverage") > 0)
+
+
+def year_by_doy(df: DataFrame, value: Column, days: tuple[int, int] = (1, 366), empty: float | None = None) -> DataFrame:
+    """year and a column d1, d2, ... a day of year with an aggregate of its rows; `empty` where there are none."""
+    all_days = list(range(days[0], days[1] + 1))
+    out = df.groupBy("year").pivot("doy", all_days).agg(value)
+    out = out.select("year", *[F.col(str(d)).alias(f"d{d}") for d in all_days])
+    return out if empty is None else out.fillna(empty)
+
+
 def histogram(df: DataFrame, value: str, bins: int = 59) -> DataFrame:
     """bin (from 1) and n over `bins` equal bins from 0 to the greatest value, which the last bin holds."""
     top = df.agg(F.max(value).alias("top"))
@@ -76,13 +125,15 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0,
         return df.limit(0).withColumn("draw", F.lit(0))
     rng, kind = np.random.default_rng(seed), StructType([df.schema[c] for c in by]).add("draw", "integer").add("at", "double")
     points = df.sparkSession.createDataFrame([(*r[:-1], i, float(x)) for r in totals for i, x in enumerate(rng.random(n) * r["w_"])], kind)
-    inner = F.sum(weight).over(W.partitionBy(*by, "part_").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    placed = parts.withColumn("to_", inner).join(before, [*by, "part_"]).withColumn("to_", F.col("to_") + F.col("before_"))
+    # a row's points run from the end of the row before it to its own; the last of a range takes what rounding leaves
+    ordered = W.partitionBy(*by, "part_").orderBy(key)
+    placed = parts.withColumn("to_", F.sum(weight).over(ordered.rowsBetween(W.unboundedPreceding, 0))).join(before, [*by, "part_"]).withColumn("to_", F.col("to_") + F.col("before_"))
+    placed = placed.withColumns({"from_": F.coalesce(F.lag("to_").over(ordered), F.lit(float("-inf"))), "to_": F.when(F.lead(key).over(ordered).isNull(), F.lit(float("inf"))).otherwise(F.col("to_"))})
     inside = (points["at"] >= before["before_"]) & (points["at"] < before["before_"] + before["w_"])
     for c in by:
         inside &= points[c] == before[c]
     home = points.join(F.broadcast(before), inside).select(*[points[c] for c in by], "draw", "at", "part_")
-    hit = placed.join(F.broadcast(home), [*by, "part_"]).where((F.col("at") < F.col("to_")) & (F.col("at") >= F.col("to_") - F.col(weight)))
+    hit = placed.join(F.broadcast(home), [*by, "part_"]).where((F.col("at") < F.col("to_")) & (F.col("at") >= F.col("from_")))
     return hit.select(*df.columns, "draw")
 
 

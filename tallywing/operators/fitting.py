@@ -124,8 +124,8 @@ def ratio_surfaces(samples: DataFrame) -> DataFrame:
         doy, hour, ratio, weight = (np.asarray(table.column(c), float) for c in ("doy", "hour", "ratio", "weight"))
         surface = fit_surface(doy, hour, ratio, weight)
         return pa.table({
-            "species": pa.array(np.full(surface.size, table.column("species")[0].as_py(), np.int32)), "doy": pa.array(np.repeat(np.arange(1, 367), 24).astype(np.int32)),
+            "species": pa.array([table.column("species")[0].as_py()] * surface.size, table.schema.field("species").type), "doy": pa.array(np.repeat(np.arange(1, 367), 24).astype(np.int32)),
             "hour": pa.array(np.tile(np.arange(24), 366).astype(np.int32)), "ratio": pa.array(surface.ravel()),
         })
 
-    return cells.groupBy("species").applyInArrow(fitted, "species int, doy int, hour int, ratio double")
+    return cells.groupBy("species").applyInArrow(fitted, f"species {samples.schema['species'].dataType.simpleString()}, doy int, hour int, ratio double")

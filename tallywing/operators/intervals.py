@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _by_day(df: DataFrame) -> DataFrame:
-    """Each interval once for every day it touches, so that overlaps are an equi-join on the day."""
-    last = F.greatest(F.col("start"), F.col("end") - F.expr("INTERVAL 1 MICROSECOND"))
-    return df.withColumn("day_", F.explode(F.sequence(F.to_date("start"), F.to_date(last))))
+def _by_hour(df: DataFrame) -> DataFrame:
+    """Each interval once for every hour it touches, so that overlaps are an equi-join on the hour."""
+    last = F.greatest(F.col("start"), F.col("end") - F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
+    return df.withColumn("hour_", F.explode(F.sequence(F.date_trunc("hour", "start"), F.date_trunc("hour", last), F.expr("INTERVAL 1 HOUR"))))
+
+
+def _full_hours() -> Column:
+    """The full hours from the one that holds the start to the end; null for an interval that ends before it starts."""
+    hours = F.sequence(F.date_trunc("hour", "start"), F.col("end").cast("timestamp"), F.expr("INTERVAL 1 HOUR"))
+    return F.when(F.col("end") >= F.col("start"), hours)
 
 
 def _overlapping_keys(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], unlike_itself: bool) -> DataFrame:
-    a, b = _by_day(left).alias("a"), _by_day(right).alias("b")
-    on = (F.col("a.day_") == F.col("b.day_")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
+    a, b = _by_hour(left).alias("a"), _by_hour(right).alias("b")
+    on = (F.col("a.hour_") == F.col("b.hour_")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
     for c in by:
         on &= F.col(f"a.{c}") == F.col(f"b.{c}")
     if unlike_itself:
@@ -41,18 +47,16 @@ def neighbours_overlap(df: DataFrame, by: tuple[str, ...], key: str) -> DataFram
 
 
 def hourly(df: DataFrame) -> DataFrame:
-    """Each interval cut at full hours; empty parts go."""
-    hour = F.explode(F.sequence(F.date_trunc("hour", "start"), F.col("end").cast("timestamp"), F.expr("INTERVAL 1 HOUR")))
-    cut = df.withColumn("hour_", hour)
+    """Each interval cut at full hours; empty parts and intervals that end before they start go."""
+    cut = df.withColumn("hour_", F.explode(_full_hours()))
     start = F.greatest(F.col("start").cast("timestamp"), F.col("hour_"))
     end = F.least(F.col("end").cast("timestamp"), F.col("hour_") + F.expr("INTERVAL 1 HOUR"))
     return cut.withColumn("part_start", start).withColumn("part_end", end).where(F.col("part_start") < F.col("part_end")).drop("hour_")
 
 
 def sample_instants(df: DataFrame) -> DataFrame:
-    """Each interval's start, the full hours inside it and its end, each once."""
-    hours = F.sequence(F.date_trunc("hour", "start"), F.col("end").cast("timestamp"), F.expr("INTERVAL 1 HOUR"))
-    inside = F.filter(hours, lambda h: h > F.col("start").cast("timestamp"))
+    """Each interval's start, the full hours inside it and its end, each once; none of one that ends before it starts."""
+    inside = F.filter(_full_hours(), lambda h: h > F.col("start").cast("timestamp"))
     every = F.array_distinct(F.concat(F.array(F.col("start").cast("timestamp")), inside, F.array(F.col("end").cast("timestamp"))))
     return df.withColumn("instant", F.explode(every))
 

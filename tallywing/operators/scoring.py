@@ -6,7 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scores import bias, contingency, mae, skill
+from ..functions.scores import array_sum, bias, contingency, first_covered_hour, mae, masked_rate, skill
+from ..functions.time import era_of
+from . import survey
+
+
+def build_frame(surveys: DataFrame, predictions: DataFrame, climatology: DataFrame | None = None, edges: tuple[int, ...] = (1993, 2014), labels: tuple[str, ...] = ("pre-1993", "1993-2013", "2014+"), on: tuple[str, ...] = ("species", "row")) -> DataFrame:
+    """One row a survey with obs, pred, coverage, start_hour, doy, year, era and, with a climatology, phen.
+
+    surveys: species, row, date, obs (birds an hour) and mask, the watched part of each of 24 hours.
+    predictions: by the columns `on`, pred_hourly, an array of 24 log1p birds an hour, which are
+    taken back to birds before they are averaged over the watched hours. climatology: species, doy,
+    phen. An array of another length is an error; a survey without prediction has no row.
+    """
+    sized = lambda c: F.when(F.size(c) == 24, F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} has to have 24 values, not "), F.size(c).cast("string"))))
+    rows = surveys.withColumn("mask", sized("mask")).join(predictions.select(*on, sized("pred_hourly").alias("pred_hourly")), list(on))
+    rows = rows.withColumns({"coverage": array_sum(F.col("mask")), "pred": masked_rate(F.col("pred_hourly"), F.col("mask")), "start_hour": first_covered_hour(F.col("mask")), "doy": F.dayofyear("date"), "year": F.year("date")})
+    rows = rows.withColumn("era", era_of(F.col("year"), edges, labels))
+    return rows if climatology is None else rows.join(climatology.select("species", "doy", "phen"), ["species", "doy"], "left")
+
+
+def watched_hours(frame: DataFrame) -> DataFrame:
+    """One row for each survey of a frame and hour it has watched: mask and pred_hour, birds an hour."""
+    each = F.posexplode(F.arrays_zip("mask", "pred_hourly")).alias("hour", "at_")
+    rows = frame.select("species", "date", "era", "row", "obs", "coverage", each)
+    return rows.where(F.col("at_.mask") > 0).select("species", "date", "era", "row", "hour", "obs", "coverage", F.col("at_.mask").alias("mask"), F.expm1(F.col("at_.pred_hourly")).alias("pred_hour"))
+
+
+def evaluate(frame: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """One row for each species and scope (`overall` and each era) with the measures of all four levels.
+
+    frame: as of build_frame, with phen; thresholds: species, doy, threshold. Measures that a scope
+    has no days for are null.
+    """
+    by, daily = ("species", "scope"), scoped(survey.daily_frame(frame))
+    shapes = scoped(day_shapes(profiles(watched_hours(frame), ("species", "date", "era")), ("species", "date", "era")))
+    out = row_level(scoped(frame), daily, by)
+    for level in (event_level(daily, thresholds, by), shape_level(shapes, by), season_level(season_years(daily, (*by, "year")), by)):
+        out = out.join(level, list(by), "left")
+    return out
+
+
+def yearly_agreement(daily: DataFrame, by: tuple[str, ...] = ("species", "year")) -> DataFrame:
+    """Pearson's correlation and R squared of the days of each year."""
+    o, p = F.col("obs"), F.col("pred")
+    return daily.groupBy(*by).agg(F.corr(o, p).alias("pearson"), (1 - F.try_divide(F.sum((o - p) * (o - p)), F.var_pop(o) * F.count("*"))).alias("r_squared"))
 
 
 def scoped(df: DataFrame, scope: str = "era") -> DataFrame:
@@ -93,10 +137,11 @@ def season_level(years: DataFrame, by: tuple[str, ...] = ("species",)) -> DataFr
 
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
-    """Rank correlation by group, ties at their mean rank."""
+    """Rank correlation by group, ties at their mean rank; ranks are counted over distinct values, not rows."""
     for c in (x, y):
-        w = W.partitionBy(*by)
-        df = df.withColumn(f"rank_{c}", F.rank().over(w.orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2)
+        values = df.groupBy(*by, c).agg(F.count("*").alias("n_"))
+        below = F.sum("n_").over(W.partitionBy(*by).orderBy(c).rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")
+        df = df.join(values.select(*by, c, (below + (F.col("n_") + 1) / 2).alias(f"rank_{c}")), [*by, c])
     return df.groupBy(*by).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 
 

@@ -83,9 +83,30 @@ def long_enough(df: DataFrame, minutes: int = 10) -> DataFrame:
     return df.where(hours_between(F.col("start"), F.col("end")) >= minutes / 60)
 
 
-def suspicious(df: DataFrame, most_hours: float = 15.0) -> DataFrame:
-    """Periods that end before they start, or last too long."""
-    return df.where((F.col("start") >= F.col("end")) | (hours_between(F.col("start"), F.col("end")) > most_hours))
+def suspicious(df: DataFrame, most_hours: float = 15.0, day_start: str | None = None, day_end: str | None = None) -> DataFrame:
+    """Periods that end before they start, or last too long, or leave the hours of their day where its columns are given."""
+    odd = (F.col("start") >= F.col("end")) | (hours_between(F.col("start"), F.col("end")) > most_hours)
+    if day_start:
+        odd |= F.col("start") < F.col(day_start)
+    if day_end:
+        odd |= F.col("end") > F.col(day_end)
+    return df.where(odd)
+
+
+def without_untimed(records: DataFrame, expanded: DataFrame, by: tuple[str, ...] = PERIOD, seen: str = "seen") -> DataFrame:
+    """Records but those without a time in the periods that are expanded to hours: nothing says in which hour they belong."""
+    at = expanded.select(*by).distinct().withColumn("expanded_", F.lit(True))
+    return records.join(at, list(by), "left").where(F.col(seen).isNotNull() | F.col("expanded_").isNull()).drop("expanded_")
+
+
+def same_interval(left: DataFrame, right: DataFrame, keep: bool = True, by: tuple[str, ...] = ("start", "end")) -> DataFrame:
+    """Rows of left whose exact interval right has too, or with keep=False has not: periods noted as without birds are only so where nothing was counted."""
+    return left.join(right.select(*by).distinct(), list(by), "left_semi" if keep else "left_anti")
+
+
+def kept_taxa(taxonomy: DataFrame, families: tuple[str, ...], category: str = "species") -> DataFrame:
+    """Entries of the taxonomy of one of the families and of the category."""
+    return taxonomy.where(F.col("family").isin(list(families)) & (F.col("category") == category))
 
 
 def merged_species(records: DataFrame, taxonomy: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -46,10 +46,10 @@ def run_info(spark, sf_dir):
     return hs.groupBy("tvt").agg(explore.years_range(F.col("year")).alias("years"), F.count("*").alias("n"))
 
 
-@query(f"{_H} SELECT year::BIGINT AS year, {', '.join(f'round(coalesce(sum(duration) FILTER (WHERE doy = {d}), 0), 4) AS d{d}' for d in (200, 250, 300))} FROM hs GROUP BY year")
+@query(f"{_H} SELECT year::BIGINT AS year, {', '.join(f'round(coalesce(sum(duration) FILTER (WHERE doy = {d}), 0), 4) AS d{d}' for d in range(1, 367))} FROM hs GROUP BY year")
 def pivot_year_doy(spark, sf_dir):
-    out = a.hour_surveys(spark, sf_dir).groupBy("year").pivot("doy", [200, 250, 300]).agg(F.sum("duration")).fillna(0)
-    return a.written(out.select("year", *[F.round(F.col(str(d)), 4).alias(f"d{d}") for d in (200, 250, 300)]))
+    out = explore.year_by_doy(a.hour_surveys(spark, sf_dir), F.sum("duration"), empty=0.0)
+    return a.written(a.rounded(out, *[c for c in out.columns if c != "year"], digits=4))
 
 
 @query(f"{_H} SELECT year::BIGINT AS year, round(avg(rate), 6) AS rate, median(rate) AS median_rate FROM hs GROUP BY year")
@@ -87,10 +87,10 @@ def doy_totals(spark, sf_dir):
     return a.written(a.rounded(a.evaluation(spark, sf_dir).groupBy("doy").agg(F.sum("obs").alias("obs"), F.sum("pred").alias("pred")), "obs", "pred", digits=4))
 
 
-@query(f"WITH {a.EVALUATION} SELECT date::VARCHAR AS date, round(sum(exp(ln(1 + pred)) - 1), 4) AS total FROM ev WHERE species = 2 GROUP BY date")
+@query(f"WITH {a.EVALUATION} SELECT species::BIGINT AS species, date::VARCHAR AS date, round(sum(exp(ln(1 + pred)) - 1), 4) AS total FROM ev GROUP BY species, date")
 def forecast_totals(spark, sf_dir):
-    ev = a.evaluation(spark, sf_dir).where(F.col("species") == 2).withColumn("log_count", F.log1p("pred"))
-    return a.written(a.rounded(ev.groupBy("date").agg(F.sum(F.expm1("log_count")).alias("total")), "total", digits=4))
+    ev = a.evaluation(spark, sf_dir).withColumn("log_count", F.log1p("pred"))
+    return a.written(a.rounded(ev.groupBy("species", "date").agg(F.sum(F.expm1("log_count")).alias("total")), "total", digits=4))
 
 
 @query("SELECT s_suppkey AS species, s_name AS name, n_name AS family FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")

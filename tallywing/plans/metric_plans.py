@@ -180,14 +180,14 @@ def report_scalars(spark, sf_dir):
     return a.written(a.rounded(scoring.finite_scalars(long), "value"))
 
 
-@query(f"""{_E}, {_EV2}, s AS (SELECT scope, 'mae' AS metric, avg(abs(pred - obs)) AS v FROM ev2 WHERE species = 3 GROUP BY scope UNION ALL SELECT scope, 'bias', avg(pred - obs) FROM ev2 WHERE species = 3 GROUP BY scope)
-SELECT metric, round(max(v) FILTER (WHERE scope = 'overall'), 6) AS overall, round(max(v) FILTER (WHERE scope = 'early'), 6) AS early, round(max(v) FILTER (WHERE scope = 'middle'), 6) AS middle, round(max(v) FILTER (WHERE scope = 'late'), 6) AS late FROM s GROUP BY metric""")
+@query(f"""{_E}, {_EV2}, s AS (SELECT species, scope, 'mae' AS metric, avg(abs(pred - obs)) AS v FROM ev2 GROUP BY ALL UNION ALL SELECT species, scope, 'bias', avg(pred - obs) FROM ev2 GROUP BY ALL)
+SELECT species::BIGINT AS species, metric, round(max(v) FILTER (WHERE scope = 'overall'), 6) AS overall, round(max(v) FILTER (WHERE scope = 'early'), 6) AS early, round(max(v) FILTER (WHERE scope = 'middle'), 6) AS middle, round(max(v) FILTER (WHERE scope = 'late'), 6) AS late FROM s GROUP BY species, metric""")
 def report_scopes(spark, sf_dir):
-    """A table of metrics by scope for one species."""
-    ev = scoring.scoped(a.evaluation(spark, sf_dir).where(F.col("species") == 3))
-    s = ev.groupBy("scope").agg(scores.mae(F.col("obs"), F.col("pred")).alias("mae"), scores.bias(F.col("obs"), F.col("pred")).alias("bias"))
-    long = s.select("scope", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mae", "bias")])))
-    return a.rounded(long.groupBy("metric").pivot("scope", ["overall", *a.ERA_LABELS]).agg(F.max("value")), "overall", *a.ERA_LABELS)
+    """A table of metrics by scope for each species."""
+    ev = scoring.scoped(a.evaluation(spark, sf_dir))
+    s = ev.groupBy("species", "scope").agg(scores.mae(F.col("obs"), F.col("pred")).alias("mae"), scores.bias(F.col("obs"), F.col("pred")).alias("bias"))
+    long = s.select("species", "scope", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mae", "bias")])))
+    return a.written(a.rounded(long.groupBy("species", "metric").pivot("scope", ["overall", *a.ERA_LABELS]).agg(F.max("value")), "overall", *a.ERA_LABELS))
 
 
 @query(f"{_E} SELECT species::BIGINT AS species, date::VARCHAR AS date, round(obs, 6) AS obs, round(pred - obs, 6) AS residual FROM df")

@@ -6,8 +6,9 @@ import datetime
 import tempfile
 import uuid
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,11 @@ SETTLING_DAYS = 7
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywing-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tallywing-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -105,6 +110,36 @@ def newest_hours(cached: DataFrame, years: int) -> DataFrame:
     return cached.groupBy("location", block.alias("block_year")).agg(F.max("datetime").alias("newest"))
 
 
+def write_blocks(hours: DataFrame, to: str, years: int) -> None:
+    """Hours by location and calendar block; a block that is written again replaces what was there of it."""
+    block = (F.floor((F.col("year") - EPOCH_YEAR) / years) * years + EPOCH_YEAR).cast("int")
+    rows = with_keys(hours).withColumn("block_year", block).repartition("location", "block_year").sortWithinPartitions("location", "block_year", "datetime")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("location", "block_year").parquet(to)
+
+
+def backfill(spark: SparkSession, to: str, locations: Iterable[str], start: datetime.date, end: datetime.date, years: int, fetch: Callable[[list[str], str, str], DataFrame]) -> int:
+    """Fetches the planned blocks that the cache `to` lacks and writes each in place of what it had; returns how many.
+
+    fetch(locations, first day, last day) gives the hours (location, datetime, ...). A block is
+    fetched again until it reaches its last day, and never doubles.
+    """
+    places = spark.createDataFrame([(x,) for x in dict.fromkeys(locations)], "location string")
+    plan = chunk_table(spark, start, end, years).crossJoin(F.broadcast(places))
+    try:
+        stored = spark.read.parquet(to)
+    except AnalysisException:  # no cache yet
+        todo = plan
+    else:
+        # a block that was the trailing one when it was fetched may be complete by now, and lack its end
+        todo = outstanding(plan.withColumn("complete", F.lit(False)), newest_hours(stored, years))
+    blocks: dict[tuple[str, str], list[str]] = {}
+    for r in todo.select("location", "lo", "hi").orderBy("lo", "location").collect():  # a row for each location and block
+        blocks.setdefault((r["lo"], r["hi"]), []).append(r["location"])
+    for (lo, hi), some in blocks.items():
+        write_blocks(fetch(some, lo, hi), to, years)
+    return sum(len(x) for x in blocks.values())
+
+
 def call_weight(n_days: int, n_variables: int) -> float:
     return n_variables / VARIABLES_A_CALL * n_days / DAYS_A_CALL
 

@@ -147,6 +147,8 @@ def weather(spark: SparkSession, locations, variables, source: str = "cache", re
         raise ValueError("source is cache, archive or forecast; resolution is hourly or daily")
     if resolution == "daily" and lag_days < 1:
         raise ValueError("daily values need a lag of at least one day")
+    if resolution == "daily" and (sun := [v for v in as_list(variables) if v in SUN_VARIABLES]):
+        raise ValueError(f"{sun} have no daily value")
     if source == "cache" and not cache_dir:
         raise ValueError("the cache's folder is needed")
     if source == "archive" and not (start and end):
@@ -165,6 +167,6 @@ def weather(spark: SparkSession, locations, variables, source: str = "cache", re
     if resolution == "hourly":
         return hours
     long = hours.select("location", F.to_date("datetime").alias("date"), F.hour("datetime").alias("hour"), *stored)
-    days = cube.daily(cube.dense(long), {v: VARIABLES[v].daily for v in stored})
+    days = cube.daily(cube.dense(cube.checked_unique(long)), {v: VARIABLES[v].daily for v in stored})
     lagged = cube.keep_complete(cube.lags(days, lag_days, tuple(stored)), tuple(stored), len(locations) * lag_days)
     return lagged.where(F.dayofyear("date").between(*doy)) if doy else lagged
