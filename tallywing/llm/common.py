@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the session names none."""
+    """The folder that the driver and all executors see; one of our own only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = spark.conf.get("spark.tallywing.shared", None) or tempfile.mkdtemp(prefix="tallywing-")
         spark.conf.set("spark.tallywing.shared", named)
     return named.rstrip("/")
