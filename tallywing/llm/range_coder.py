@@ -19,8 +19,8 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS, LANES, MOST_LANES = 1024, 512, 3072
-SLOTS = 8  # bits of a block's prediction tables
+BLOCK_IDS, LANES, MOST_LANES = 1024, 512, 8192
+SLOTS = 7  # bits of a block's prediction tables
 _MAGIC = b"TWR2"
 _TOP, _FULL, _TOTAL = float(1 << 32), float(1 << 48), 1 << 16
 #: Order 0's share of all odds at least, and the sum of its own counts.

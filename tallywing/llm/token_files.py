@@ -22,7 +22,7 @@ from .tokens import default_path, encoder
 
 END = 1
 #: Bytes of text in a chunk, and of those tokenized at once: the tokenizer's work arrays are far larger than the ids.
-CHUNK_BYTES, TOKENIZED_BYTES = 6 << 20, 1 << 20
+CHUNK_BYTES, TOKENIZED_BYTES = 6 << 20, 2 << 20
 
 
 def _coder(path: str):

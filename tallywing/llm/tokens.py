@@ -5,14 +5,16 @@ between ASCII white space is encoded once and kept: texts repeat their words. Sh
 Latin letters, digits and signs are lower-cased and split here by the file's own pattern, and only
 pieces not met before reach the library's model; every other run, and one that holds an added token
 as text, goes through the whole library, and so do whole texts under a file with other rules. What
-is kept is bounded by `MOST_KEPT` and `MOST_PIECES`; past that it is forgotten and encoded anew.
+is kept is bounded by `MOST_KEPT` runs and as many pieces; past that it is forgotten and encoded anew.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -21,8 +23,7 @@ import pyarrow.compute as pc
 
 from .common import per_doc, raw
 
-MOST_KEPT = 300_000
-MOST_PIECES = 250_000
+MOST_KEPT = 400_000
 LONGEST_KEPT = 64
 #: The rules of a tokenizer file under which runs can be encoded one by one.
 FIXED = {
@@ -38,15 +39,61 @@ FIXED = {
     "truncation": None,
     "padding": None,
 }
-#: The file's split pattern over lower-cased plain runs, and the end of a run.
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
+#: The file's split pattern over lower-cased plain runs.
+PIECE = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 #: Bytes of plain runs in UTF-8: visible ASCII, and U+00C0 to U+00FF but for the signs of multiplication and division.
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = _PLAIN[0x80:0xC0] = _PLAIN[0xC3] = True
 _PLAIN[[0x97, 0xB7]] = False
 #: How the byte-level step writes the UTF-8 bytes of plain text: 0x80 to 0xA0 as U+0122 and on, 0xAD as U+0143, the rest as Latin-1.
 BYTES = {c: "".join(chr(0x143 if b == 0xAD else b if b > 0xA0 or b < 0x7F else b - 0x7F + 0x121) for b in chr(c).encode()) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]}
-_GAP = 0xFFFFFFFF
+
+
+class _Kept:
+    """Strings and their ids: looked up in Arrow, those not met before encoded by `encode`, short ones kept."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(lengths) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : self.n + len(lengths)] = lengths
+        self.used, self.n = self.used + len(flat), self.n + len(lengths)
+
+    def places(self, strings: pa.Array) -> np.ndarray:
+        """The place of each of the distinct strings; those of long ones last until the next call."""
+        self.used, self.n = int(self.length[: len(self.known)].sum()), len(self.known)
+        if self.n > MOST_KEPT:
+            self.forget()
+        at = pc.index_in(strings, value_set=self.known)
+        new = np.flatnonzero(np.asarray(at.is_null()))
+        at = np.array(at.fill_null(-1), np.int64)
+        if len(new):
+            words = strings.take(pa.array(new))
+            long = np.asarray(pc.binary_length(words)) > LONGEST_KEPT
+            order = np.argsort(long, kind="stable")
+            words, at[new[order]] = words.take(pa.array(order)), self.n + np.arange(len(order))
+            self._add(*self.encode(words))
+            self.known = pa.concat_arrays([self.known, words[: int((~long).sum())]])
+        return at
+
+    def flat(self, at: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places, one after the other, and how many each has; place -1 is the single id `end`."""
+        start, length = np.where(at < 0, self.used, self.start[at]), np.where(at < 0, 1, self.length[at])
+        take = np.repeat(start - np.cumsum(length) + length, length)
+        take += np.arange(len(take))
+        return (self.ids[take] if end is None else np.append(self.ids[: self.used], np.uint32(end))[take]), length
 
 
 class Encoder:
@@ -63,70 +110,52 @@ class Encoder:
         plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added)
         self.by_runs = plain and all(rules.get(k) == v for k, v in FIXED.items())
         self.added = "|".join(re.escape(t["content"]) for t in added)
-        self.pieces: dict[str, tuple] = {"\n": (_GAP,)}
-        self._forget()
+        self.runs, self.pieces = _Kept(self._of_runs), _Kept(self._of_pieces)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts by the library alone, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _plain(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for plain runs, split here."""
-        parts, known = PIECE.findall("\n".join(runs).lower() + "\n"), self.pieces
-        if len(known) > MOST_PIECES:
-            known.clear()
-            known["\n"] = (_GAP,)
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for lower-cased pieces, which no rule splits further, by the library's model."""
         tokenize = self.tokenizer.model.tokenize
-        for p in set(parts).difference(known):
-            known[p] = tuple([t.id for t in tokenize(p if p.isascii() else p.translate(BYTES))])
-        flat = np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.uint32)
-        gap = np.flatnonzero(flat == _GAP)
-        return np.delete(flat, gap), np.diff(np.r_[-1, gap]) - 1
-
-    def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _keep(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lengths) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.n : self.n + len(lengths)] = lengths
-        self.used, self.n = self.used + len(flat), self.n + len(lengths)
+        found = [[t.id for t in tokenize(p if p.isascii() else p.translate(BYTES))] for p in pieces.to_pylist()]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _entries(self, runs: pa.Array) -> np.ndarray:
-        """The place of each of the distinct runs among the entries; those past the known ones last until the next call."""
-        self.used, self.n = int(self.length[: len(self.known)].sum()), len(self.known)
-        if self.n > MOST_KEPT:
-            self._forget()
-        at = pc.index_in(runs, value_set=self.known)
-        new = np.flatnonzero(np.asarray(at.is_null()))
-        at = np.array(at.fill_null(-1), np.int64)
-        if not len(new):
-            return at
-        words = runs.take(pa.array(new))
-        data, off = raw(words)
-        long = np.diff(off) > LONGEST_KEPT
-        other = per_doc((~_PLAIN[data]).astype(np.int64), off) > 0
+    def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs: plain short ones are split into pieces here."""
+        data, off = raw(runs)
+        other = (per_doc((~_PLAIN[data]).astype(np.int64), off) > 0) | (np.diff(off) > LONGEST_KEPT)
         if self.added:
-            other |= np.asarray(pc.match_substring_regex(words, self.added, ignore_case=True))
-        # plain ones first, long ones last: these aren't kept
-        order = np.lexsort((other, long))
-        n_plain, n_short = int((~other & ~long).sum()), int((~long).sum())
-        words, at[new[order]] = words.take(pa.array(order)), self.n + np.arange(len(order))
-        for a, b, encode in ((0, n_plain, self._plain), (n_plain, len(order), self._library)):
-            for i in range(a, b, 20_000):
-                self._keep(*encode(words[i : min(i + 20_000, b)].to_pylist()))
-        self.known = pa.concat_arrays([self.known, words[:n_short]])
-        return at
+            other |= np.asarray(pc.match_substring_regex(runs, self.added, ignore_case=True))
+        plain = runs.filter(pa.array(~other))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(plain), pattern=PIECE, replacement="\\1 ")
+        lists = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(spaced))
+        coded = lists.flatten().dictionary_encode()
+        flat, length = self.pieces.flat(self.pieces.places(coded.dictionary)[np.asarray(coded.indices)])
+        n = np.asarray(pc.list_value_length(lists), np.int64)
+        total = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(n)]]
+        if not other.any():
+            return flat, np.diff(total)
+        # those of the library in between, in the order of runs
+        some, some_length = self._library(runs.filter(pa.array(other)).to_pylist())
+        lengths, begin = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        lengths[~other], lengths[other] = np.diff(total), some_length
+        begin[~other], begin[other] = total[:-1], len(flat) + np.cumsum(some_length) - some_length
+        take = np.repeat(begin - np.cumsum(lengths) + lengths, lengths)
+        take += np.arange(len(take))
+        return np.concatenate([flat, some])[take], lengths
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by `end`, and the n + 1 offsets in them. Null counts as empty."""
+        gc.disable()  # it would walk the kept pieces again and again, and nothing here makes a cycle
+        try:
+            return self._encode(texts, end)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.fill_null("") if texts.null_count else texts
         n = len(texts)
         if not self.by_runs:
@@ -135,17 +164,15 @@ class Encoder:
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         count = np.asarray(pc.list_value_length(lists), np.int64)
         coded = lists.flatten().dictionary_encode()
-        entry = self._entries(coded.dictionary)[np.asarray(coded.indices)]
-        # after each text's runs an entry of its own for the end
+        at = self.runs.places(coded.dictionary)[np.asarray(coded.indices)]
+        # after each text's runs a place of its own for the end
         closes = np.cumsum(count) + np.arange(n)
-        inner = np.ones(len(entry) + n, bool)
+        every = np.full(len(at) + n, -1)
+        inner = np.ones(len(every), bool)
         inner[closes] = False
-        start, length = np.full(len(inner), self.used), np.ones(len(inner), np.int64)
-        start[inner], length[inner] = self.start[entry], self.length[entry]
-        ends = np.cumsum(length)
-        at = np.repeat(start - ends + length, length)
-        at += np.arange(len(at))
-        return np.append(self.ids[: self.used], np.uint32(end))[at], np.r_[0, ends[closes]]
+        every[inner] = at
+        flat, length = self.runs.flat(every, end)
+        return flat, np.r_[0, np.cumsum(length)[closes]]
 
 
 _encoders: dict[str, Encoder] = {}
