@@ -21,12 +21,11 @@ def _beside_least(links: DataFrame, least: DataFrame) -> DataFrame:
     """u, v and m for every link (u, v), m being that of u in `least`.
 
     A hub's links would all be dealt to one task: the largest hubs come to the links instead, a
-    bounded number of rows, and only the links of other nodes are dealt by node.
+    bounded number of rows, and what is dealt by node has a part of its own for each of their links.
     """
     hubs = least.where(F.col("n") > HUB_LINKS).orderBy(F.desc("n"), "u").limit(MOST_HUBS).select("u", F.col("m").alias("hub_m"))
-    met = links.join(F.broadcast(hubs), "u", "left")
-    others = met.where(F.col("hub_m").isNull()).select("u", "v").join(least.select("u", "m"), "u")
-    return met.where(F.col("hub_m").isNotNull()).select("u", "v", F.col("hub_m").alias("m")).unionByName(others.select("u", "v", "m"))
+    met = links.join(F.broadcast(hubs), "u", "left").withColumn("part", F.when(F.col("hub_m").isNull(), 0).otherwise(1 + F.pmod(F.hash("v"), F.lit(1 << 16))))
+    return met.join(least.select("u", F.lit(0).alias("part"), "m"), ["u", "part"], "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,10 +36,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the smallest of them."""
+    """Each node and its smaller neighbours are linked to the smallest of them; a large star before leaves a node few of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _least(down)
-    moved = _beside_least(down, least).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 

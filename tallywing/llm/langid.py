@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_doc, raw, slices
+from .common import bounded_batches, give_back, per_doc, raw, slices
 from .linear_features import even_sample, folded, inside_text, ngram_buckets
 
 BITS, WIDTHS, DIM = 15, (3, 4), 16
@@ -65,17 +65,16 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int,
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 16)):
             if not len(part):
                 continue
-            bucket = np.concatenate([x[i][0] for i in part])
-            share = np.concatenate([x[i][1] for i in part])
-            off = np.r_[0, np.cumsum([len(x[i][0]) for i in part])]
-            v = per_doc(emb[bucket] * share[:, None], off)
+            # text by text: long ones have very many n-grams
+            v = np.stack([x[i][1] @ emb[x[i][0]] for i in part])
             p = _softmax(v @ weights.T + bias)
             p[np.arange(len(part)), y[part]] -= 1
             p /= len(part)
             back = p @ weights
             weights -= step * (p.T @ v)
             bias -= step * p.sum(axis=0)
-            np.subtract.at(emb, bucket, step * share[:, None] * np.repeat(back, np.diff(off), axis=0))
+            for i, change in zip(part, back, strict=True):
+                emb[x[i][0]] -= step * x[i][1][:, None] * change
     return emb @ weights.T, bias
 
 
@@ -110,6 +109,8 @@ def train(labelled: DataFrame, key: Column, text: str = "text", label: str = "la
         chance = 1 / len(languages)
         sure = float(p.max(axis=1)[right].min()) if right.any() else chance
         least = chance + (sure - chance) / 2
+    del found, x
+    give_back()
     return Model(languages, scores.astype(np.float32), bias.astype(np.float32), float(temperature), least)
 
 

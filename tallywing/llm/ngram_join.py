@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, raw, slices
+from .common import bounded_batches, cut, give_back, raw, slices
 from .components import components
 from .signature_tree import linked, similar
 from .words import sequence_prints, shingle_sets, word_hashes
@@ -69,7 +69,10 @@ def _heavy(documents: DataFrame) -> np.ndarray:
     least = max(8, int(HEAVY_SHARE * n * share))
     counts = sample.mapInArrow(tokens, "hash long, print long").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     found = counts.orderBy(F.desc("n"), "hash").limit(MOST_HEAVY).select("hash").toArrow()
-    return np.sort(np.asarray(found.column("hash").combine_chunks(), np.int64).view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+    heavy = np.sort(np.asarray(found.column("hash").combine_chunks(), np.int64).view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+    del found
+    give_back()
+    return heavy
 
 
 def _outside(x: np.ndarray, heavy: np.ndarray) -> np.ndarray:
