@@ -42,15 +42,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     tagged = docs.where(F.col("doc_id").isNotNull()).withColumn("tag_", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
     repeated = tagged.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("tag_").alias("a"), F.max("tag_").alias("b")).where(F.col("n") > 1)
     repeated = cut(repeated.select("doc_id", (F.col("a") != F.col("b")).alias("differ")))
+    n_repeated, differ = repeated.agg(F.count("*"), F.max("differ")).first()
     key = F.col("doc_id")
-    if repeated.where("differ").limit(1).count():
+    if differ:
         above_zero = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
         key = F.concat_ws(":", F.lpad(above_zero.cast("string"), 21, "0"), F.lpad(F.hex("tag_"), 16, "0"))
     tagged = tagged.withColumn("key_", key)
     groups = ngram_join.shingle_components(tagged.select("key_", "text"), key="key_")
     dropped = groups.where(F.col("component_id") != F.col("key_")).select("key_").distinct()
     kept = tagged.join(dropped, "key_", "left_anti")
-    if repeated.limit(1).count():
+    if n_repeated:
         ids = repeated.select("doc_id")
         kept = kept.join(ids, "doc_id", "left_anti").unionByName(kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "tag_"]))
     return _documents(kept).unionByName(docs.where(F.col("doc_id").isNull()))
