@@ -71,10 +71,13 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int,
             p[np.arange(len(part)), y[part]] -= 1
             p /= len(part)
             back = p @ weights
-            weights -= step * (p.T @ v)
-            bias -= step * p.sum(axis=0)
+            # steps are held to what a model of this size bears, so that short texts or equal texts under two labels can't make it run away
+            size = (weights**2).sum()
+            weights -= step / (1 + step * (v**2).sum(axis=1).mean()) * (p.T @ v)
+            bias -= step / (1 + step) * p.sum(axis=0)
             for i, change in zip(part, back, strict=True):
-                emb[x[i][0]] -= step * x[i][1][:, None] * change
+                held = step / (1 + step * (x[i][1] ** 2).sum() * size)
+                emb[x[i][0]] -= held * x[i][1][:, None] * change
     return emb @ weights.T, bias
 
 

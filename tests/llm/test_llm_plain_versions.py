@@ -206,3 +206,10 @@ def test_near_duplicates_equal_plain_groups(spark):
     for members in groups.values():
         own = [k for k in kept if k in members]
         assert len(own) == 1 and own[0][0] == min(d for d, _ in members)
+
+
+def test_equal_texts_under_two_labels_keep_the_fit_finite():
+    rng = np.random.default_rng(1)
+    x = [np.unique(rng.integers(0, 1 << langid.BITS, n)).astype(np.uint16) for n in (3, 8, 1, 2000, 5)] * 2
+    scores, bias = langid._fit([(b, np.full(len(b), 1 / len(b), np.float32)) for b in x], np.array([0, 1, 2, 0, 1, 1, 0, 0, 2, 2]), 3)
+    assert np.isfinite(scores).all() and np.isfinite(bias).all() and np.abs(scores).max() < 100
