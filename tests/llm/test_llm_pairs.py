@@ -34,6 +34,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Hubs that are the largest, the smallest and an id in the middle of their links, two of them joined by a leaf."""
+    pairs = [(2000, i) for i in range(600)] + [(3000, 3000 + i) for i in range(1, 500)] + [(4300, i) for i in range(4000, 4800)] + [(599, 4000)]
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {i: 0 for i in [*range(600), 2000, *range(4000, 4800)]} | {i: 3000 for i in range(3000, 3500)}
+    assert got == want
+
+
 def near_copies(rng, n=400, dim=8, labels=2):
     x = rng.normal(size=(n, dim))
     x[50:90] = x[0] + rng.normal(scale=0.02, size=(40, dim))
