@@ -52,8 +52,11 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
 
 
 def build(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit vector the neighbours chosen for it and those that have chosen it: offsets, and indices."""
-    n = len(unit)
+    """For each unit vector the neighbours chosen for it and those that have chosen it: offsets, and indices.
+
+    Single precision is enough to choose neighbours; links are confirmed in double precision later.
+    """
+    unit, n = unit.astype(np.float32), len(unit)
     most = min(CANDIDATES, n - 1)
     if most < 1:
         return np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
