@@ -9,7 +9,8 @@ each vector to a robust-pruned choice of its nearest ones; the lists of all task
 vector. Then every task searches for each of its vectors: greedily from the medoid, and on from
 everything within range, or a little past it, until nothing new is. Links are confirmed by the exact
 cosine in double precision. The search of `AUDITED` rows of each task is compared with all its rows;
-the audit's columns tell what they had found, and these rows take what they had missed.
+the audit's columns tell what they had found, and what they had missed is added. A pair counts as
+found if either of its two vectors has found the other.
 
 Equal vectors of a label are one vector with a weight throughout.
 """
@@ -250,14 +251,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         norms = np.linalg.norm(vectors, axis=1)
         slack = least - 1e-9
         audited = np.argsort((ids * 2654435761) % (1 << 32), kind="stable")[:AUDITED]
-        found = range_search(unit, off, flat, slack)
-        truth, hit = {}, {}
+        # a pair that either of the two has found is found
+        met = np.zeros((n, n), bool)
+        for i, others in enumerate(range_search(unit, off, flat, slack)):
+            met[i, others] = True
+        met |= met.T
         inside = unit[audited] @ unit.T >= slack
         inside[np.arange(len(audited)), audited] = False
-        for i, others in zip(audited.tolist(), inside, strict=True):
-            truth[i] = np.flatnonzero(others)
-            hit[i] = len(np.intersect1d(found[i], truth[i]))
-            found[i] = np.union1d(found[i], truth[i]).astype(np.int64)
+        checked = {i: (hit, true) for i, hit, true in zip(audited.tolist(), (met[audited] & inside).sum(axis=1).tolist(), inside.sum(axis=1).tolist(), strict=True)}
+        met[audited] |= inside
+        met[:, audited] |= inside.T
         links, root = np.zeros(n, np.int64), np.arange(n)
 
         def top(x: int) -> int:
@@ -266,7 +269,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
                 x = root[x]
             return x
 
-        for i, others in enumerate(found):
+        for i in range(n):
+            others = np.flatnonzero(met[i])
             others = others[(vectors[others] @ vectors[i]) / (norms[others] * norms[i]) >= least]
             if not len(others):
                 continue
@@ -286,7 +290,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
                 if a != b:
                     root[max(a, b)] = min(a, b)
         tops = np.array([top(i) for i in range(n)], np.int64)
-        audit = [(hit[i], len(truth[i])) if i in truth else (None, None) for i in range(n)]
+        audit = [checked.get(i, (None, None)) for i in range(n)]
         return pa.table({
             "id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(ids[tops], pa.int64()),
             "audit_found": pa.array([a[0] for a in audit], pa.int64()), "audit_true": pa.array([a[1] for a in audit], pa.int64()),
