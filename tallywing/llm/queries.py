@@ -71,12 +71,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for white space, over all of `documents`."""
+    from .exact_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of `embeddings` on the leading whitened components."""
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, for each source of `documents`."""
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4}
+    return {"op4_mix_sources": OP4, "op11_exact_dedup": OP11, "op13_filter_audit": OP13}
 
 
 OP4 = r"""
@@ -97,3 +118,32 @@ g AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM q WHERE reached - size::DOU
 SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(g.taken, 0)::BIGINT AS taken
 FROM o LEFT JOIN g ON o.doc_id = g.doc_id
 """
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY content ORDER BY n_chars DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
+        first_value(n_chars) OVER (PARTITION BY content ORDER BY n_chars DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS longest,
+        count(*) OVER (PARTITION BY content) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n_chars = longest AS kept, sha256(content) AS text_sha256 FROM w
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+         coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS fails
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+i AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS turns FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT turns, array_to_string(list_transform(turns, lambda t: substr('ABCDE', t, 1)), '') AS filter_order, i AS step, turns[i] AS own, turns[1:i - 1] AS before FROM o, i),
+x AS (SELECT part, filter_order, step, n, good, toxic, fails[own] AS failed, coalesce(list_bool_or(list_transform(before, lambda t: fails[t])), false) AS gone,
+        len(list_filter(fails, lambda f: f)) AS failures FROM s, c)
+SELECT part, filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failed AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (failed AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed AND failures = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (failed AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (failed AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(failures, 1))) FILTER (failed), 0)::BIGINT AS shapley
+FROM x GROUP BY part, filter_order, step
+"""
