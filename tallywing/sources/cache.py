@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import warnings
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,16 @@ EPOCH_YEAR = 1940
 # Calls an hour that the free service allows, and what one weighted call covers.
 CALLS_AN_HOUR, VARIABLES_A_CALL, DAYS_A_CALL = 5000, 10, 14
 SETTLING_DAYS = 7
+#: Beside a cache: what was asked for.
+ASKED = "-asked"
+
+
+class Backfill(NamedTuple):
+    """Blocks of a location that were written, those that stay for another run, and the weight of the written ones' requests."""
+
+    written: int
+    waiting: int
+    weight: float
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -117,27 +128,58 @@ def write_blocks(hours: DataFrame, to: str, years: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("location", "block_year").parquet(to)
 
 
-def backfill(spark: SparkSession, to: str, locations: Iterable[str], start: datetime.date, end: datetime.date, years: int, fetch: Callable[[list[str], str, str], DataFrame]) -> int:
-    """Fetches the planned blocks that the cache `to` lacks and writes each in place of what it had; returns how many.
+def asked(spark: SparkSession, to: str, years: int) -> DataFrame | None:
+    """location, block_year and newest, the last day that was asked for and written, of the cache's blocks; null if there is no cache.
 
-    fetch(locations, first day, last day) gives the hours (location, datetime, ...). A block is
-    fetched again until it reaches its last day, and never doubles.
+    Where no record is kept of what was asked, as in caches of another hand, the newest hour counts.
+    Only blocks that have rows are listed: a record does not stand for files that are gone.
+    """
+    try:
+        stored = newest_hours(spark.read.parquet(to), years)
+    except AnalysisException:
+        return None
+    try:
+        record = spark.read.parquet(f"{to.rstrip('/')}{ASKED}").where(F.col("years") == years)
+    except AnalysisException:
+        return stored
+    record = record.groupBy("location", "block_year").agg(F.max("hi").cast("timestamp").alias("asked"))
+    return stored.join(record, ["location", "block_year"], "left").select("location", "block_year", F.greatest("newest", "asked").alias("newest"))
+
+
+def backfill(spark: SparkSession, to: str, locations: Iterable[str], start: datetime.date, end: datetime.date, years: int, fetch: Callable[[list[str], str, str], DataFrame],
+             weight: Callable[[str, str], float] | None = None, left: float = float("inf"), together: int | None = None, overwrite: bool = False) -> Backfill:
+    """Fetches the planned blocks that the cache `to` lacks and writes each in place of what it had.
+
+    fetch(locations, first day, last day) gives the hours (location, datetime, ...). A block that was
+    asked for up to its last day is done, even if the source lacks that day; the trailing one is asked
+    for again as `end` moves on, and never doubles. With `weight`, the weight of a location's request
+    for these days, blocks that no longer fit into `left` stay for another run. Every group of
+    `together` locations (all of them by default) is written before the next is asked for, so that an
+    interrupted run resumes where it stopped. `overwrite` fetches what is there too.
     """
     places = spark.createDataFrame([(x,) for x in dict.fromkeys(locations)], "location string")
     plan = chunk_table(spark, start, end, years).crossJoin(F.broadcast(places))
-    try:
-        stored = spark.read.parquet(to)
-    except AnalysisException:  # no cache yet
-        todo = plan
-    else:
-        # a block that was the trailing one when it was fetched may be complete by now, and lack its end
-        todo = outstanding(plan.withColumn("complete", F.lit(False)), newest_hours(stored, years))
-    blocks: dict[tuple[str, str], list[str]] = {}
-    for r in todo.select("location", "lo", "hi").orderBy("lo", "location").collect():  # a row for each location and block
-        blocks.setdefault((r["lo"], r["hi"]), []).append(r["location"])
-    for (lo, hi), some in blocks.items():
-        write_blocks(fetch(some, lo, hi), to, years)
-    return sum(len(x) for x in blocks.values())
+    stored = None if overwrite else asked(spark, to, years)
+    todo = plan if stored is None else outstanding(plan.withColumn("complete", F.lit(False)), stored)
+    blocks: dict[tuple[str, str, int], list[str]] = {}
+    total, waiting = 0.0, 0
+    for r in todo.select("location", "lo", "hi", "block_year").orderBy("lo", "location").collect():  # a row for each location and block
+        cost = weight(r["lo"], r["hi"]) if weight else 0.0
+        if waiting or total + cost > left:
+            waiting += 1
+            continue
+        total += cost
+        blocks.setdefault((r["lo"], r["hi"], r["block_year"]), []).append(r["location"])
+    written = 0
+    for (lo, hi, block), every in blocks.items():
+        step = together or len(every)
+        for at in range(0, len(every), step):
+            some = every[at : at + step]
+            write_blocks(fetch(some, lo, hi), to, years)
+            record = spark.createDataFrame([(x, block, years, datetime.date.fromisoformat(hi)) for x in some], "location string, block_year long, years int, hi date")
+            record.coalesce(1).write.mode("append").parquet(f"{to.rstrip('/')}{ASKED}")
+            written += len(some)
+    return Backfill(written, waiting, total)
 
 
 def call_weight(n_days: int, n_variables: int) -> float:

@@ -22,29 +22,59 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.weather import sun_position
 from ..operators import cube
 from ..registry import LOCATIONS, SUN_VARIABLES, VARIABLES, as_list, checked_locations, checked_variables, converted, request_parameters, source_columns
-from . import cache
+from . import cache, pacing
 
-# The service's addresses, the models pinned for each, read timeouts, retries and waits in seconds.
+# The service's addresses, the models pinned for each, the first day of the counts, read timeouts, retries and waits in seconds, words of a refusal.
 SERVICES = {"archive": "https://archive-api.open-meteo.com/v1/archive", "forecast": "https://api.open-meteo.com/v1/forecast"}
 MODELS = {"archive": "era5", "forecast": "ecmwf_ifs025"}
+FIRST_DAY = "1966-01-01"
 TIMEOUTS = {"archive": 300, "forecast": 60}
-RETRIES, BACKOFF, LIMIT_WAIT = 5, 0.2, 90
+RETRIES, BACKOFF, LIMIT_WAIT, LIMIT_WORDS = 5, 0.2, 90, "limit exceeded"
 
 
-def fetched(url: str, timeout: float, retries: int = RETRIES, wait: Callable[[float], None] = time.sleep, get: Callable | None = None) -> dict:
-    """The JSON answer of url; failures are tried again after ever longer waits, refusals for their rate after LIMIT_WAIT."""
+class RateLimited(RuntimeError):
+    """The service went on refusing a request for its rate."""
+
+
+def _refusal(body: bytes | str) -> str | None:
+    """The reason why the service refuses, as it stands in an answer; null if it doesn't."""
+    try:
+        answer = json.loads(body)
+    except ValueError:
+        return None
+    return str(answer.get("reason", "no reason given")) if isinstance(answer, dict) and answer.get("error") else None
+
+
+def fetched(url: str, timeout: float, retries: int = RETRIES, wait: Callable[[float], None] = time.sleep, get: Callable | None = None, leave: Callable[[], None] = lambda: None) -> dict:
+    """The JSON answer of url; failures are tried again after ever longer waits, refusals for their rate after LIMIT_WAIT.
+
+    The service tells of an exceeded limit by status 429 or in an ordinary answer. Any other refusal
+    is an error at once. leave() is called before every try.
+    """
     get = get or (lambda u, t: urllib.request.urlopen(u, timeout=t).read())
     for attempt in range(retries + 1):
+        leave()
+        pause = BACKOFF * 2**attempt
         try:
-            return json.loads(get(url, timeout))
+            body, code = get(url, timeout), 200
         except urllib.error.HTTPError as e:
-            if attempt == retries or e.code not in (429, 500, 502, 503, 504):
+            body, code = e.read() if e.fp else b"", e.code
+            if code not in (400, 429, 500, 502, 503, 504):
                 raise
-            wait(LIMIT_WAIT if e.code == 429 else BACKOFF * 2**attempt)
         except (urllib.error.URLError, TimeoutError):
             if attempt == retries:
                 raise
-            wait(BACKOFF * 2**attempt)
+            wait(pause)
+            continue
+        reason = _refusal(body)
+        limited = code == 429 or reason is not None and LIMIT_WORDS in reason.lower()
+        if code == 200 and reason is None:
+            return json.loads(body)
+        if not limited and code in (200, 400):
+            raise ValueError(f"the service refuses: {reason or f'status {code}'}")
+        if attempt == retries:
+            raise RateLimited(reason or "status 429") if limited else urllib.error.HTTPError(url, code, reason or "the service fails", None, None)
+        wait(LIMIT_WAIT if limited else pause)
     raise AssertionError("unreachable")
 
 
@@ -72,6 +102,7 @@ class _Reader(DataSourceReader):
         self.service = options.get("service", "archive")
         self.locations, self.columns = json.loads(options["locations"]), json.loads(options["columns"])
         self.parameters, self.responses = json.loads(options.get("parameters", "{}")), options.get("responses")
+        self.pacer = options.get("pacer")
         self.start, self.end, self.years = options.get("start"), options.get("end"), int(options.get("chunkyears", options.get("chunkYears", 1)))
 
     def partitions(self):
@@ -81,15 +112,22 @@ class _Reader(DataSourceReader):
         blocks = cache.chunks(start, end, self.years)
         return [_Block(x, max(lo, start).isoformat(), hi.isoformat()) for x in self.locations for lo, hi, _, _ in blocks]
 
+    def _leave(self, partition):
+        """Waits for its turn where requests are paced."""
+        if self.pacer:
+            days = (datetime.date.fromisoformat(partition.hi) - datetime.date.fromisoformat(partition.lo)).days + 1 if partition.lo else 1
+            pacing.ask(self.pacer, cache.call_weight(days, len(self.columns)))
+
     def read(self, partition):
         lat, lon = self.locations[partition.location]
         if self.responses:
+            self._leave(partition)
             with open(f"{self.responses}/{partition.location}.json") as f:
                 answer = json.load(f)
         else:
             dates = {"start_date": partition.lo, "end_date": partition.hi} if partition.lo else {}
             asked = {**self.parameters, **dates, "latitude": lat, "longitude": lon, "models": MODELS[self.service]}
-            answer = fetched(f"{SERVICES[self.service]}?{urllib.parse.urlencode(asked)}", TIMEOUTS[self.service])
+            answer = fetched(f"{SERVICES[self.service]}?{urllib.parse.urlencode(asked)}", TIMEOUTS[self.service], leave=lambda: self._leave(partition))
         for row in rows_of(partition.location, answer, self.columns):
             if not partition.lo or partition.lo <= row[1].date().isoformat() <= partition.hi:
                 yield row
@@ -127,9 +165,36 @@ def with_sun(hours: DataFrame) -> DataFrame:
     return hours.withColumns({"sun_altitude": altitude, "sun_azimuth": azimuth})
 
 
-def archive(spark: SparkSession, locations, variables, start: str, end: str, add_sun: bool = False, responses: str | None = None, chunk_years: int = 1) -> DataFrame:
+def archive(spark: SparkSession, locations, variables, start: str, end: str, add_sun: bool = False, responses: str | None = None, chunk_years: int = 1, pacer: str | None = None) -> DataFrame:
+    """Hours of the archive; with `pacer`, the address of a pacing.Pacer, every request waits for its leave."""
     variables = checked_variables(variables, "archive")
-    return _read(spark, "archive", locations, variables, {"start": start, "end": end, "chunkYears": str(chunk_years), "responses": responses}, add_sun)
+    return _read(spark, "archive", locations, variables, {"start": start, "end": end, "chunkYears": str(chunk_years), "responses": responses, "pacer": pacer}, add_sun)
+
+
+def fill_cache(spark: SparkSession, to: str, locations=None, start: str = FIRST_DAY, end: str | None = None, years: int = 5, overwrite: bool = False, limits=pacing.LIMITS,
+               together: int = 4, most_wait: float = 3600, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep, responses: str | None = None) -> cache.Backfill:
+    """Brings the cache `to` up to date with the archive, all its variables, within the service's limits.
+
+    What earlier runs asked within a day is remembered beside the cache and counts. A run takes the
+    blocks that the day still allows, `together` at a time, and leaves the others (`waiting`) for the
+    next. An error leaves all written blocks in place and goes on to the caller.
+    """
+    locations = as_list(locations or LOCATIONS)
+    names = [v for v, spec in VARIABLES.items() if spec.archived]
+    n_columns, log = len(source_columns(names)), f"{to.rstrip('/')}-requests"
+    days = lambda lo, hi: (datetime.date.fromisoformat(hi) - datetime.date.fromisoformat(lo)).days + 1
+    known = pacing.recent(spark, log, clock() - max(limits)[0])
+    ledger = pacing.Ledger(limits, clock, known)
+    last = datetime.date.fromisoformat(end) if end else cache.default_end()
+    before = set(known)
+    host = "127.0.0.1" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.driver.host")
+    with pacing.Pacer(ledger, host, most_wait, sleep) as pacer:
+        fetch = lambda some, lo, hi: archive(spark, some, names, lo, hi, responses=responses, chunk_years=years, pacer=pacer.address)
+        try:
+            return cache.backfill(spark, to, locations, datetime.date.fromisoformat(start), last, years, fetch, lambda lo, hi: cache.call_weight(days(lo, hi), n_columns), ledger.left(), together, overwrite)
+        finally:
+            if new := [x for x in ledger.spent if x not in before]:
+                pacing.keep(spark, log, new)
 
 
 def forecast(spark: SparkSession, locations, variables, lag_days: int = 0, forecast_days: int = 0, add_sun: bool = False, responses: str | None = None) -> DataFrame:

@@ -21,10 +21,10 @@ def test_backfill_never_doubles(spark, tmp_path):
         return every.where(F.col("location").isin(locations) & F.to_date("datetime").between(lo, hi))
 
     first, middle, last = datetime.date(2020, 3, 1), datetime.date(2021, 6, 1), datetime.date(2022, 2, 1)
-    assert cache.backfill(spark, to, ["a"], first, middle, 1, fetch) == 2
-    assert cache.backfill(spark, to, ["a", "b"], first, last, 1, fetch) == 5  # 2020 of a is complete
+    assert cache.backfill(spark, to, ["a"], first, middle, 1, fetch).written == 2
+    assert cache.backfill(spark, to, ["a", "b"], first, last, 1, fetch).written == 5  # 2020 of a is complete
     assert (("a",), "2020-01-01", "2020-12-31") not in asked[2:]
-    assert cache.backfill(spark, to, ["a", "b"], first, last, 1, fetch) == 0
+    assert cache.backfill(spark, to, ["a", "b"], first, last, 1, fetch).written == 0
     got = cache.load(spark, to, ["a", "b"], ["v"]).groupBy("location", "datetime").count()
     assert got.where("count > 1").count() == 0 and got.count() == 2 * 24 * ((last - datetime.date(2020, 1, 1)).days + 1)
 
