@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import ORACLES, QUERIES, climatology_plans, explore_plans, metric_plans, survey_plans, verification_plans, weather_plans  # noqa: F401
+from .plans import ORACLES, QUERIES, climatology_plans, explore_plans, metric_plans, source_plans, survey_plans, verification_plans, weather_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -31,16 +31,14 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumns({c: F.expr(f"try_cast(`{c}` as int)") for c in ids}) if ids else found
 
 
-def sheets(spark: SparkSession, path: str, names: Iterable[str]) -> DataFrame:
-    """Sheets of a workbook under each other; the workbook is small and read on the driver. Needs an Excel reader of pandas."""
-    import pandas as pd
-
-    book = pd.read_excel(path, sheet_name=list(names))
-    parts = [spark.createDataFrame(df.astype(object).where(df.notna(), None)) for df in book.values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def suffixed_join(left: DataFrame, right: DataFrame, same: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows that agree in the columns `same`, which come once, and in the pairs (left, right); other names that both have get _x and _y."""
+    both = set(left.columns) & set(right.columns) - set(same)
+    left = left.withColumnsRenamed({c: f"{c}_x" for c in both})
+    right = right.withColumnsRenamed({c: f"{c}_y" for c in both})
+    named = lambda c, end: c + end if c in both else c
+    on = [left[c] == right[c] for c in same] + [left[named(a, "_x")] == right[named(b, "_y")] for a, b in pairs]
+    return left.join(right, on).drop(*[right[c] for c in same])
 
 
 def body_with_header(body: DataFrame, header: DataFrame) -> DataFrame:
