@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
@@ -11,7 +13,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from ..sources.cache import shared_folder
 
 FEATURES = ("sin_doy", "cos_doy", "sin_hour", "cos_hour")
 DOY_SPLINES, HOUR_SPLINES = 4, 12
@@ -38,25 +41,63 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(seasonal(df)).drop("features", *FEATURES)
 
 
-def fit_tweedie_each(df: DataFrame, power: float, by: str = "species") -> DataFrame:
-    """by, intercept and FEATURES: the coefficients of a regression of each group of `by`, of which there are few."""
-    kind, rows = StructType([df.schema[by]]).add("intercept", "double"), []
-    for f in FEATURES:
-        kind = kind.add(f, "double")
-    df = df.select(by, "rate", "doy", "hour").persist()
+def fit_tweedie_each(df: DataFrame, power: float, by: str = "species", ridge: float = 1e-3, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """by, intercept and FEATURES: the coefficients of a log-linear Tweedie regression of each group of `by`.
+
+    Reweighted least squares for all groups at once: a round sums each group's normal equations over
+    the rows (combined before they are shuffled) and solves them beside each other; it takes no more
+    passes for many groups than for one. A group of zeros alone has coefficients of null. Rows with a
+    null take no part.
+    """
+    names = ["one", *FEATURES]
+    rows = seasonal(df.select(by, F.col("rate").cast("double").alias("rate"), "doy", "hour").dropna()).withColumn("one", F.lit(1.0)).select(by, "rate", *names).persist()
+    k, spark = len(names), df.sparkSession
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, beta array<double>, settled boolean"
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = np.diag([0.0] + [ridge] * (k - 1))
+        for batch in batches:
+            sums, old = np.array(batch.column("sums").to_pylist(), float).reshape(batch.num_rows, -1), np.array(batch.column("beta").to_pylist(), float).reshape(batch.num_rows, -1)
+            betas, ends = [], []
+            for s, b in zip(sums, old, strict=True):
+                a, c = np.zeros((k, k)), s[len(pairs) : -1]
+                for (i, j), v in zip(pairs, s, strict=False):
+                    a[i, j] = a[j, i] = v
+                try:
+                    new = np.linalg.solve(a / s[-1] + shrink, c / s[-1])
+                except np.linalg.LinAlgError:
+                    new = np.full(k, np.nan)
+                fine = np.isfinite(new).all()
+                betas.append(new.tolist() if fine else None)
+                ends.append(not fine or bool(np.abs(new - b).max() <= tolerance * max(1.0, np.abs(new).max())))
+            yield pa.record_batch([batch.column(by), pa.array(betas, pa.list_(pa.float64())), pa.array(ends)], names=[by, "beta", "settled"])
+
     try:
-        for key in sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect()):
-            glm = fit_tweedie(df.where(F.col(by) == key), power).stages[-1]
-            rows.append((key, float(glm.intercept), *map(float, glm.coefficients)))
+        mean = rows.groupBy(by).agg(F.avg("rate").alias("mean"))
+        start = F.when(F.col("mean") > 0, F.concat(F.array(F.log("mean")), F.array_repeat(F.lit(0.0), k - 1)))
+        folder = shared_folder(spark, "regressions")
+        mean.select(by, start.alias("beta"), start.isNull().alias("settled")).write.parquet(f"{folder}/0")
+        state, n = spark.read.parquet(f"{folder}/0"), 0
+        while n < rounds and state.where("NOT settled").limit(1).count():
+            n += 1
+            met = rows.join(state.where("NOT settled").select(by, "beta"), by)
+            eta = sum((F.col(c) * F.col("beta")[i] for i, c in enumerate(names)), F.lit(0.0))
+            mu = F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("eta"))))
+            met = met.withColumn("eta", eta).withColumn("mu", mu).withColumn("w", F.pow("mu", 2 - power)).withColumn("z", F.col("eta") + F.col("rate") / F.col("mu") - 1)
+            sums = [F.sum(F.col("w") * F.col(names[i]) * F.col(names[j])) for i, j in pairs] + [F.sum(F.col("w") * F.col(c) * F.col("z")) for c in names] + [F.sum("w")]
+            moved = met.groupBy(by).agg(F.array(*sums).alias("sums"), F.first("beta").alias("beta")).mapInArrow(solved, schema)
+            state.where("settled").unionByName(moved).write.parquet(f"{folder}/{n}")
+            state = spark.read.parquet(f"{folder}/{n}")
     finally:
-        df.unpersist()
-    return df.sparkSession.createDataFrame(rows, kind)
+        rows.unpersist()
+    return state.select(by, *[F.col("beta")[i].alias(name) for i, name in enumerate(["intercept", *FEATURES])])
 
 
 def predict_each(models: DataFrame, df: DataFrame, by: str = "species") -> DataFrame:
     """df with expected, by the regression of each row's group; models as of fit_tweedie_each."""
     models = models.select(by, F.col("intercept").alias("sum_"), *[F.col(f).alias(f"{f}_") for f in FEATURES])
-    out = seasonal(df).join(F.broadcast(models), by)
+    out = seasonal(df).join(models, by)
     return out.withColumn("expected", F.exp(sum((F.col(f) * F.col(f"{f}_") for f in FEATURES), F.col("sum_")))).select(*df.columns, "expected")
 
 
