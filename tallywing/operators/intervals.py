@@ -7,10 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _by_hour(df: DataFrame) -> DataFrame:
-    """Each interval once for every hour it touches, so that overlaps are an equi-join on the hour."""
-    last = F.greatest(F.col("start"), F.col("end") - F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
-    return df.withColumn("hour_", F.explode(F.sequence(F.date_trunc("hour", "start"), F.date_trunc("hour", last), F.expr("INTERVAL 1 HOUR"))))
+#: Blocks of each level last four times as long as those below, from an hour on; the longest last 120 years.
+LEVELS, HOUR_MICROS = 11, 3_600_000_000
+
+
+def _size(level: int) -> int:
+    return HOUR_MICROS * 4**level
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """df with from_ and to_ (micros of the first and the last moment) and level_, the lowest whose blocks are as long as the interval."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    df = df.withColumn("from_", micros(F.col("start"))).withColumn("to_", F.greatest(F.col("from_"), micros(F.col("end")) - 1))
+    level = F.coalesce(*[F.when(F.col("to_") - F.col("from_") < _size(n), F.lit(n)) for n in range(LEVELS - 1)], F.when(F.col("to_").isNotNull(), F.lit(LEVELS - 1)))
+    return df.withColumn("level_", level)
+
+
+def _blocks(df: DataFrame, of: Column) -> DataFrame:
+    """Each interval once for every block (block_level_, block_) of the levels `of` that it touches: two a level at most."""
+    touched = F.flatten(F.transform(of, lambda n: F.transform(F.sequence(F.floor(F.col("from_") / _long(n)), F.floor(F.col("to_") / _long(n))), lambda b: F.struct(n.alias("block_level_"), b.alias("block_")))))
+    return df.select("*", F.inline(touched))
+
+
+def _long(level: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(_size(n)) for n in range(LEVELS)]), level + 1)
 
 
 def _full_hours() -> Column:
@@ -20,13 +40,28 @@ def _full_hours() -> Column:
 
 
 def _overlapping_keys(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], unlike_itself: bool) -> DataFrame:
-    a, b = _by_hour(left).alias("a"), _by_hour(right).alias("b")
-    on = (F.col("a.hour_") == F.col("b.hour_")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
-    for c in by:
-        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    if unlike_itself:
-        on &= F.col(f"a.{key}") != F.col(f"b.{key}")
-    return a.join(b, on, "left_semi").select(key).distinct()
+    """Keys of left that overlap something of right.
+
+    The shorter interval of a pair touches a block of the longer one's level that the longer one
+    touches too: one side stays in its own level, the other goes up through the levels that the first
+    side has. So an interval makes two rows for each of LEVELS levels at most, however long it is.
+    """
+    a, b = _placed(left), _placed(right)
+    levels = lambda df: sorted(r[0] for r in df.select("level_").where("level_ IS NOT NULL").distinct().collect())  # noqa: E731  LEVELS at most
+    above = lambda some, least: F.filter(F.array(*[F.lit(n) for n in some]).cast("array<int>"), lambda n: n >= least)
+    own = F.when(F.col("level_").isNotNull(), F.array("level_"))
+    sides = [(_blocks(a, above(levels(b), F.col("level_"))), _blocks(b, own)), (_blocks(a, own), _blocks(b, above(levels(a), F.col("level_") + 1)))]
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("a"), y.alias("b")
+        on = (F.col("a.block_level_") == F.col("b.block_level_")) & (F.col("a.block_") == F.col("b.block_")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
+        for c in by:
+            on &= F.col(f"a.{c}") == F.col(f"b.{c}")
+        if unlike_itself:
+            on &= F.col(f"a.{key}") != F.col(f"b.{key}")
+        return x.join(y, on, "left_semi").select(key)
+
+    return met(*sides[0]).unionByName(met(*sides[1])).distinct()
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...] = (), unlike_itself: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import array_sum, bias, contingency, first_covered_hour, mae, masked_rate, skill
 from ..functions.time import era_of
-from . import survey
+from . import ordered, survey
 
 
 def build_frame(surveys: DataFrame, predictions: DataFrame, climatology: DataFrame | None = None, edges: tuple[int, ...] = (1993, 2014), labels: tuple[str, ...] = ("pre-1993", "1993-2013", "2014+"), on: tuple[str, ...] = ("species", "row")) -> DataFrame:
@@ -137,12 +137,8 @@ def season_level(years: DataFrame, by: tuple[str, ...] = ("species",)) -> DataFr
 
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
-    """Rank correlation by group, ties at their mean rank; ranks are counted over distinct values, not rows."""
-    for c in (x, y):
-        values = df.groupBy(*by, c).agg(F.count("*").alias("n_"))
-        below = F.sum("n_").over(W.partitionBy(*by).orderBy(c).rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")
-        df = df.join(values.select(*by, c, (below + (F.col("n_") + 1) / 2).alias(f"rank_{c}")), [*by, c])
-    return df.groupBy(*by).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
+    """Rank correlation by group, ties at their mean rank, no group in one task."""
+    return ordered.rank_correlation(df, x, y, by)
 
 
 def seed_summary(runs: DataFrame, by: tuple[str, ...] = ("species", "metric")) -> DataFrame:

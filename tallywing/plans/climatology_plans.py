@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import prior_logit_bias
-from ..operators import climatology
+from ..operators import climatology, ordered
 from ..registry import QUANTILE_LEVELS
 from . import adapters as a
 from . import query
@@ -43,6 +43,25 @@ def phen_quantiles(spark, sf_dir):
     return a.written(a.rounded(climatology.doy_quantiles(a.daily(spark, sf_dir), QUANTILE_LEVELS), "quantile"))
 
 
+@query(f"{_QUANTILES} SELECT species::BIGINT AS species, doy::BIGINT AS doy, level::BIGINT AS level, round(quantile, 6) AS quantile FROM ql")
+def phen_quantiles_counted(spark, sf_dir):
+    """The same quantiles by counting, no group's values in one task."""
+    found = ordered.quantiles(a.daily(spark, sf_dir), ("species", "doy"), "rate", QUANTILE_LEVELS)
+    return a.written(a.rounded(found.withColumn("level", F.col("level").cast("long")), "quantile"))
+
+
+@query("""WITH busy AS (SELECT species, doy FROM (SELECT species, doy, s, avg(s) OVER (PARTITION BY species) AS m FROM (SELECT l_suppkey % 11 AS species, dayofyear(l_shipdate) AS doy, sum(l_quantity) AS s FROM lineitem GROUP BY ALL)) WHERE s > m),
+ask AS (SELECT o_custkey % 11 AS species, dayofyear(o_orderdate) AS doy, count(*) AS n FROM orders GROUP BY ALL), last AS (SELECT species, max(doy) AS doy FROM busy GROUP BY species)
+SELECT ask.species::BIGINT AS species, ask.doy::BIGINT AS doy, n::BIGINT AS n, coalesce(busy.doy, last.doy)::BIGINT AS known FROM ask ASOF LEFT JOIN busy ON ask.species = busy.species AND ask.doy <= busy.doy LEFT JOIN last ON last.species = ask.species""")
+def phen_sparse_lookup(spark, sf_dir):
+    """For each species and day asked for, the next day of more birds than usual, or the year's last."""
+    days = a.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 11).alias("species"), F.dayofyear("l_shipdate").alias("doy")).agg(F.sum("l_quantity").alias("s"))
+    busy = days.join(days.groupBy("species").agg(F.avg("s").alias("m")), "species").where("s > m").select("species", "doy")
+    asked = a.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 11).alias("species"), F.dayofyear("o_orderdate").alias("doy"))
+    found = ordered.with_next(asked, busy, ("species",), "doy")
+    return a.written(found.groupBy("species", "doy").agg(F.count("*").alias("n"), F.max("known").alias("known")))
+
+
 @query(f"{_SMOOTH} SELECT species::BIGINT AS species, doy::BIGINT AS doy, round(min, 4) AS min, round(max, 4) AS max, round(mean, 4) AS mean, round(n, 4) AS count_observations FROM sm")
 def phen_smooth(spark, sf_dir):
     return a.written(a.rounded(smooth_stats(spark, sf_dir), "min", "max", "mean", "count_observations", digits=4))

@@ -88,6 +88,18 @@ def interval_overlap_anti(spark, sf_dir):
     return a.written(intervals.apart(iv, iv, "id", ("species",), unlike_itself=True).select("id", "species", "date"))
 
 
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderpriority AS species, o_orderdate::DATE::TIMESTAMP + to_minutes((240 + 60 * (o_orderkey % 12))::INT) AS s, o_orderdate::DATE::TIMESTAMP + to_minutes((240 + 60 * (o_orderkey % 12) + 15 * (1 + o_orderkey % 29))::INT) AS e, o_custkey FROM orders),
+spans AS (SELECT o_custkey, species, min(s) AS s, max(e) AS e FROM t GROUP BY ALL HAVING max(e) - min(s) > INTERVAL 300 DAY)
+SELECT id, species FROM t WHERE NOT EXISTS (SELECT 1 FROM spans x WHERE x.species = t.species AND t.s < x.e AND t.e > x.s)""")
+def interval_long_apart(spark, sf_dir):
+    """Surveys of minutes or hours that overlap no season of the same species, seasons lasting from 300 days to years."""
+    minutes = lambda m: F.make_dt_interval(F.lit(0), F.lit(0), m.cast("int"), F.lit(0))
+    first, day = F.lit(240) + 60 * (F.col("o_orderkey") % 12), F.to_date("o_orderdate").cast("timestamp")
+    t = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("species"), "o_custkey", (day + minutes(first)).alias("start"), (day + minutes(first + 15 * (1 + F.col("o_orderkey") % 29))).alias("end"))
+    spans = t.groupBy("o_custkey", "species").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") > F.expr("INTERVAL 300 DAY"))
+    return intervals.apart(t, spans, "id", ("species",)).select("id", "species")
+
+
 @query(f"WITH {a.INTERVALS} SELECT id, coalesce(s < lag(e) OVER w, false) OR coalesce(e > lead(s) OVER w, false) AS overlaps FROM ti WINDOW w AS (PARTITION BY species, date ORDER BY s, e, id)")
 def interval_adjacent_overlap(spark, sf_dir):
     return intervals.neighbours_overlap(a.intervals(spark, sf_dir), ("species", "date"), "id").select("id", "overlaps")
