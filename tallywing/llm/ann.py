@@ -156,8 +156,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, seed: int = 5) -> D
     rows and queries are tables (id long, vector array<float>); only vectors of the most frequent
     length take part, and of those only usable ones: null, empty, zero and not finite vectors and null
     ids have no result. Ties go to the smaller id; rows that share an id are one candidate, the
-    nearest of them. Queries without any other row have no result; with fewer than k other rows,
-    they get all that are found. Empty tables give an empty result. Other columns are not read.
+    nearest of them. Queries without any other row have no result; with fewer than k other ids,
+    they get all. A query that the leaves give fewer than k ids is compared with every row. Empty tables give an empty result. Other columns are not read.
     """
     spark = rows.sparkSession
     rows, queries = (x.where(F.col("id").isNotNull() & usable("vector")) for x in (rows, queries))
@@ -167,7 +167,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, seed: int = 5) -> D
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, queries = (x.where(F.size("vector") == length[0]["n"]) for x in (rows, queries))
     points = sampled(rows, seed=seed)
-    trees = forest(points, rows.count(), seed=seed)
+    n_rows, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    trees = forest(points, n_rows, seed=seed)
     enough = calibrated(trees, points, k, seed)
 
     def routed(batches):
@@ -189,18 +190,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, seed: int = 5) -> D
     cells = "tree int, leaf int, id long, vector array<float>"
     held = rows.select("id", "vector").mapInArrow(routed, cells)
     asked = queries.select("id", "vector").mapInArrow(reached, cells)
-    # both sides of a leaf in blocks of bounded size, each block of rows against each of queries
-    sizes = held.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-    wanted = asked.groupBy("tree", "leaf").agg(F.count("*").alias("m"))
-    sizes = cut(
-        sizes.join(wanted, ["tree", "leaf"]).select(
-            "tree", "leaf", F.ceil(F.col("n") / ROW_BLOCK).cast("int").alias("row_blocks"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("query_blocks")
-        )
-    )
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = held.join(sizes, ["tree", "leaf"]).withColumn("r", block("row_blocks", 1)).withColumn("q", every("query_blocks")).select("tree", "leaf", "r", "q", "id", "vector")
-    asked = asked.join(sizes, ["tree", "leaf"]).withColumn("q", block("query_blocks", 2)).withColumn("r", every("row_blocks")).select("tree", "leaf", "r", "q", "id", "vector")
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -210,6 +199,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, seed: int = 5) -> D
         ids, asked_ids = (np.asarray(t.column("id")) for t in (left, right))
         out = []
         squares = (x**2).sum(axis=1)
+        by_id = np.argsort(ids, kind="stable")  # rows of one id are one candidate, the nearest of them
+        starts = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]])
+        repeated = len(starts) < len(ids)
         for a in range(0, len(y), 256):
             q = y[a : a + 256]
             near = squares - 2 * (q @ x.T)
@@ -218,20 +210,49 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, seed: int = 5) -> D
             pick = np.argpartition(near, most - 1, axis=1)[:, :most] if most < len(x) else np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
             for i in range(len(q)):
                 # rows as near as the k-th, rounding apart, are all measured exactly
-                level = np.partition(near[i, pick[i]], min(k, most) - 1)[min(k, most) - 1]
                 slack = 1e-12 * (squares.max() + (q[i] ** 2).sum())
-                c = pick[i] if most == len(x) and level >= near[i, pick[i]].max() - slack else np.flatnonzero(near[i] <= level + slack)
+                if repeated:
+                    nearest = np.minimum.reduceat(near[i, by_id], starts)
+                    level = np.partition(nearest, min(k, len(nearest)) - 1)[min(k, len(nearest)) - 1]
+                else:
+                    level = np.partition(near[i, pick[i]], min(k, most) - 1)[min(k, most) - 1]
+                c = pick[i] if not repeated and most == len(x) and level >= near[i, pick[i]].max() - slack else np.flatnonzero(near[i] <= level + slack)
                 c = c[ids[c] != asked_ids[a + i]]
                 score = np.sqrt(((x[c] - q[i]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[c], score))[:k]
+                order = np.lexsort((ids[c], score))
+                if repeated:
+                    order = order[np.sort(np.unique(ids[c][order], return_index=True)[1])]
+                order = order[:k]
                 out.append((np.full(len(order), asked_ids[a + i]), ids[c][order], score[order]))
         return pa.table({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
-    pairs = held.groupBy("tree", "leaf", "r", "q").cogroup(asked.groupBy("tree", "leaf", "r", "q")).applyInArrow(ranked, kind)
-    # a row found through several trees counts once
-    best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def compared(held: DataFrame, asked: DataFrame) -> DataFrame:
+        """The best k of each query: both sides of a leaf in blocks of bounded size, each block of rows against each of queries."""
+        sizes = held.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+        wanted = asked.groupBy("tree", "leaf").agg(F.count("*").alias("m"))
+        sizes = cut(
+            sizes.join(wanted, ["tree", "leaf"]).select(
+                "tree", "leaf", F.ceil(F.col("n") / ROW_BLOCK).cast("int").alias("row_blocks"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("query_blocks")
+            )
+        )
+        block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        held = held.join(sizes, ["tree", "leaf"]).withColumn("r", block("row_blocks", 1)).withColumn("q", every("query_blocks")).select("tree", "leaf", "r", "q", "id", "vector")
+        asked = asked.join(sizes, ["tree", "leaf"]).withColumn("q", block("query_blocks", 2)).withColumn("r", every("row_blocks")).select("tree", "leaf", "r", "q", "id", "vector")
+        pairs = held.groupBy("tree", "leaf", "r", "q").cogroup(asked.groupBy("tree", "leaf", "r", "q")).applyInArrow(ranked, kind)
+        # a row found through several trees counts once
+        best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        order = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = cut(compared(held, asked))
+    # Where leaves hold many rows of few ids, too few may be found: such queries meet every leaf of one tree, and so every row.
+    full = best.where(F.col("rank") == min(k, ids)).select(F.col("query_id").alias("id"))
+    short = cut(queries.select("id", "vector").join(full, "id", "left_anti"))
+    if not short.limit(1).count():
+        return best
+    again = short.withColumn("tree", F.lit(0)).withColumn("leaf", F.explode(F.sequence(F.lit(0), F.lit(len(trees[0].leaf_size) - 1)))).select("tree", "leaf", "id", "vector")
+    return best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(*best.columns).unionByName(compared(held.where("tree = 0"), again))
 
 
 def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:

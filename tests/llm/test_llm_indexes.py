@@ -74,3 +74,20 @@ def test_ids_may_repeat_and_labels_have_any_type(spark):
     assert got == sorted([(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 0, 8), (0, 0, None), (9, 0, 9)], key=str)
     apart = graph_dedup.deduplicate(spark.createDataFrame([(6, [1.0, 0.01], 1.2), (5, [1.0, 0.0], 1.2), (3, [1.0, 0.0], 1.7), (5, [0.0, 1.0], 1.2), (7, [0.01, 1.0], 1.2), (4, [0.0, 1.0], 1.2)], "vec_id long, embedding array<float>, label double"))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in apart.collect()) == [(3, 0, 3), (4, 2, 4), (5, 1, 5), (5, 2, 4), (6, 1, 5), (7, 2, 4)]
+
+
+def test_repeated_ids_never_crowd_others_out(spark):
+    """Nineteen rows of one id are nearest; a thousand rows of another fill the leaves: ten ids are found all the same."""
+    rng = np.random.default_rng(3)
+    near, far = rng.normal(size=(19, 8)) * 0.001 + 1, rng.normal(size=(12, 8)) + 3
+    crowd = rng.normal(size=(3000, 8)) * 0.01 + 1
+    x = np.concatenate([np.ones((1, 8)), near, crowd, far])
+    ids = np.r_[100, np.full(19, 1), np.full(3000, 2), np.arange(3, 15)]
+    df = frame(spark, x).withColumn("place", F.col("vec_id"))
+    names = spark.createDataFrame(pa.table({"place": np.arange(len(x)), "own": ids}))
+    df = df.join(names, "place").select(F.col("own").alias("vec_id"), "embedding")
+    got = ann.neighbours(df).orderBy("rank").collect()
+    y = x.astype(np.float32).astype(np.float64)
+    d = np.sqrt(((y - y[0]) ** 2).sum(1))
+    best = sorted((d[ids == i].min(), i) for i in set(ids.tolist()) - {100})[:10]
+    assert [(r.query_id, r.vec_id) for r in got] == [(100, i) for _, i in best] and np.allclose([r.score for r in got], [b[0] for b in best], rtol=0, atol=1e-12)
