@@ -18,7 +18,7 @@ from ..sources.cache import shared_folder
 
 FEATURES = ("sin_doy", "cos_doy", "sin_hour", "cos_hour")
 DOY_SPLINES, HOUR_SPLINES = 4, 12
-#: Penalties on both axes, weakest first; the first under which the fit settles is taken.
+# Penalties on both axes, weakest first; the first under which the fit settles is taken.
 PENALTIES = ((100, 10), (1000, 100), (10_000, 1_000), (100_000, 10_000))
 
 
@@ -127,22 +127,31 @@ def spline_basis(x: np.ndarray, low: float, high: float, n: int, degree: int = 3
     return out
 
 
-def _design(doy: np.ndarray, hour: np.ndarray) -> np.ndarray:
+def _design(doy: np.ndarray, hour: np.ndarray, interaction: bool = True) -> np.ndarray:
+    """Products of the splines of both axes, or with interaction=False their splines side by side."""
     a, b = spline_basis(doy, 1, 366, DOY_SPLINES), spline_basis(hour, 0, 23, HOUR_SPLINES)
-    return (a[:, :, None] * b[:, None, :]).reshape(len(doy), -1)
+    return (a[:, :, None] * b[:, None, :]).reshape(len(doy), -1) if interaction else np.hstack([a, b])
 
 
-def _penalty(weights: tuple[float, float]) -> np.ndarray:
+def _penalty(weights: tuple[float, float], interaction: bool = True) -> np.ndarray:
     second = lambda n: np.diff(np.eye(n), 2, axis=0).T @ np.diff(np.eye(n), 2, axis=0)
-    return weights[0] * np.kron(second(DOY_SPLINES), np.eye(HOUR_SPLINES)) + weights[1] * np.kron(np.eye(DOY_SPLINES), second(HOUR_SPLINES)) + 1e-6 * np.eye(DOY_SPLINES * HOUR_SPLINES)
+    if interaction:
+        return weights[0] * np.kron(second(DOY_SPLINES), np.eye(HOUR_SPLINES)) + weights[1] * np.kron(np.eye(DOY_SPLINES), second(HOUR_SPLINES)) + 1e-6 * np.eye(DOY_SPLINES * HOUR_SPLINES)
+    out = 1e-6 * np.eye(DOY_SPLINES + HOUR_SPLINES)  # also settles the constant that both axes share
+    out[:DOY_SPLINES, :DOY_SPLINES] += weights[0] * second(DOY_SPLINES)
+    out[DOY_SPLINES:, DOY_SPLINES:] += weights[1] * second(HOUR_SPLINES)
+    return out
+
 
+def fit_surface(doy: np.ndarray, hour: np.ndarray, ratio: np.ndarray, weight: np.ndarray, interaction: bool = True) -> np.ndarray:
+    """A Poisson surface (366, 24) by penalised iteratively reweighted least squares on grouped samples.
 
-def fit_surface(doy: np.ndarray, hour: np.ndarray, ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A Poisson surface (366, 24) by penalised iteratively reweighted least squares on grouped samples."""
-    x = _design(doy, hour)
-    grid = _design(np.repeat(np.arange(1, 367), 24).astype(float), np.tile(np.arange(24), 366).astype(float))
+    Without interaction it is a factor a day times one hourly shape, the same on all days.
+    """
+    x = _design(doy, hour, interaction)
+    grid = _design(np.repeat(np.arange(1, 367), 24).astype(float), np.tile(np.arange(24), 366).astype(float), interaction)
     for penalties in PENALTIES:
-        s, beta = _penalty(penalties), np.full(x.shape[1], np.log(max(np.average(ratio, weights=weight), 1e-3)))
+        s, beta = _penalty(penalties, interaction), np.full(x.shape[1], np.log(max(np.average(ratio, weights=weight), 1e-3)) / (1 if interaction else 2))
         for _ in range(100):
             mu = np.exp(np.clip(x @ beta, -20, 20))
             w = weight * mu
@@ -157,16 +166,34 @@ def fit_surface(doy: np.ndarray, hour: np.ndarray, ratio: np.ndarray, weight: np
     raise ArithmeticError("no penalty lets the surface settle")
 
 
-def ratio_surfaces(samples: DataFrame) -> DataFrame:
-    """species, doy, hour and ratio; samples (species, doy, hour, ratio) are first averaged by species, day and hour, 8 784 cells at most."""
+def ratio_surfaces(samples: DataFrame, interaction: bool = True) -> DataFrame:
+    """species, doy, hour and ratio of the surface with or without interaction; samples (species, doy, hour, ratio) are first averaged by species, day and hour, 8 784 cells at most."""
     cells = samples.groupBy("species", "doy", "hour").agg(F.avg("ratio").alias("ratio"), F.count("*").cast("double").alias("weight"))
 
     def fitted(table: pa.Table) -> pa.Table:
         doy, hour, ratio, weight = (np.asarray(table.column(c), float) for c in ("doy", "hour", "ratio", "weight"))
-        surface = fit_surface(doy, hour, ratio, weight)
+        surface = fit_surface(doy, hour, ratio, weight, interaction)
         return pa.table({
             "species": pa.array([table.column("species")[0].as_py()] * surface.size, table.schema.field("species").type), "doy": pa.array(np.repeat(np.arange(1, 367), 24).astype(np.int32)),
             "hour": pa.array(np.tile(np.arange(24), 366).astype(np.int32)), "ratio": pa.array(surface.ravel()),
         })
 
     return cells.groupBy("species").applyInArrow(fitted, f"species {samples.schema['species'].dataType.simpleString()}, doy int, hour int, ratio double")
+
+
+def poisson_deviance(samples: DataFrame, fitted: DataFrame, by: tuple[str, ...], on: tuple[str, ...], name: str = "deviance") -> DataFrame:
+    """by, n and the Poisson deviance of samples (ratio) from what is fitted (expected) at the same `on`; samples without a fit don't count."""
+    y, mu = F.col("ratio"), F.col("expected")
+    loss = 2 * (F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0)) - (y - mu))
+    return samples.join(fitted.where("expected > 0"), list(on)).groupBy(*by).agg(F.count("*").alias("n"), F.sum(loss).alias(name))
+
+
+def surface_deviances(samples: DataFrame) -> DataFrame:
+    """species, n, and the deviances of the samples from the surface with interaction, the one without, and the mean ratio of each hour."""
+    on = ("species", "doy", "hour")
+    samples = samples.where(F.col("ratio").isNotNull()).select(*on, "ratio")
+    expected = lambda df: df.withColumnRenamed("ratio", "expected")
+    found = poisson_deviance(samples, expected(ratio_surfaces(samples)), ("species",), on, "interaction")
+    for name, fitted, keys in (("additive", ratio_surfaces(samples, False), on), ("hourly", samples.groupBy("species", "hour").agg(F.avg("ratio").alias("ratio")), ("species", "hour"))):
+        found = found.join(poisson_deviance(samples, expected(fitted), ("species",), keys, name).drop("n"), "species")
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import POWERS
-from ..operators import explore, fitting, survey
+from ..operators import explore, fitting, training, survey
 from . import adapters as a
 from . import query
 
@@ -152,6 +152,41 @@ def ratio_gam(spark, sf_dir):
     return fitting.ratio_surfaces(samples)
 
 
+@query(f"""{_H}, rs AS (SELECT hs.species, hs.doy, hs.hour, hs.rate / nullif(dy.rate, 0) AS ratio, count(hs.rate) OVER (PARTITION BY hs.species, hs.date) AS n FROM hs JOIN dy ON hs.species = dy.species AND hs.date = dy.date),
+ra AS (SELECT species, doy, hour, ratio FROM rs WHERE n > 1 AND ratio IS NOT NULL), m AS (SELECT *, avg(ratio) OVER (PARTITION BY species, hour) AS hourly, avg(ratio) OVER (PARTITION BY species, doy // 30, hour) AS monthly FROM ra)
+SELECT species::BIGINT AS species, count(*)::BIGINT AS n, round(2 * sum(CASE WHEN ratio > 0 THEN ratio * ln(ratio / hourly) ELSE 0 END - (ratio - hourly)), 4) AS hourly,
+  round(2 * sum(CASE WHEN ratio > 0 THEN ratio * ln(ratio / monthly) ELSE 0 END - (ratio - monthly)) FILTER (monthly > 0), 4) AS monthly FROM m WHERE hourly > 0 GROUP BY species""")
+def ratio_deviance(spark, sf_dir):
+    """Deviance of the hourly ratios from two fixed designs: a mean for each hour, and one for each hour of each month."""
+    from ..operators.climatology import hourly_ratio
+
+    samples = hourly_ratio(a.hour_surveys(spark, sf_dir), a.daily(spark, sf_dir)).withColumn("month", F.floor(F.col("doy") / 30))
+    designs = (("hourly", ("species", "hour")), ("monthly", ("species", "month", "hour")))
+    hourly, monthly = (fitting.poisson_deviance(samples, samples.groupBy(*on).agg(F.avg("ratio").alias("expected")), ("species",), on, name) for name, on in designs)
+    return a.written(a.rounded(hourly.join(monthly.drop("n"), "species"), "hourly", "monthly", digits=4))
+
+
+@query()
+def ratio_surface_deviances(spark, sf_dir):
+    """Deviance of the hourly ratios of every species from the surface with interaction, without it, and from hourly means."""
+    from ..operators.climatology import hourly_ratio
+
+    return fitting.surface_deviances(hourly_ratio(a.hour_surveys(spark, sf_dir), a.daily(spark, sf_dir)))
+
+
+@query()
+def trained_models(spark, sf_dir):
+    """Coefficients trained by gradients for every species, with the rates, decays, weights and powers of the table of species; the last year is held."""
+    from ..registry import HYPERPARAMETERS
+
+    hs = a.hour_surveys(spark, sf_dir)
+    last = hs.agg(F.max("year")).first()[0]
+    rows = fitting.seasonal(hs).select("species", "count", F.col("duration").alias("exposure"), (F.col("year") == last).alias("held"), *fitting.FEATURES)
+    numbered = spark.createDataFrame(list(enumerate(sorted(HYPERPARAMETERS))), "number int, name string")
+    hyper = training.hyperparameters(spark).join(numbered, F.col("species") == F.col("name")).select(F.col("number").alias("species"), *training.HYPER)
+    return training.train(rows, hyper, fitting.FEATURES, epochs=12)
+
+
 @query()
 def tweedie_fit(spark, sf_dir):
     """Coefficients of a Tweedie regression of the survey rate on season and hour, for every species."""
