@@ -81,6 +81,15 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+# Fixed value: the largest logarithm of a count that a composition reaches.
+MOST_LOG_COUNT = 8.0
+
+
+def composed_log_count(hourly: Column, bias: Column, daily: Column) -> Column:
+    """Logarithms of the counts of a day's hours: hourly scores (an array) over the shape's bias, damped by the day's share in 0 to 1."""
+    return F.transform(F.zip_with(hourly, bias, lambda z, b: sigmoid(z + b)), lambda h: F.lit(MOST_LOG_COUNT) * h * daily)
+
+
 def first_argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 

@@ -8,11 +8,14 @@ location, to be read instead of the service; tests and closed networks use it.
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
+import os
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,8 @@ MODELS = {"archive": "era5", "forecast": "ecmwf_ifs025"}
 FIRST_DAY = "1966-01-01"
 TIMEOUTS = {"archive": 300, "forecast": 60}
 RETRIES, BACKOFF, LIMIT_WAIT, LIMIT_WORDS = 5, 0.2, 90, "limit exceeded"
+#: Seconds for which an answer of the forecast service may be used again.
+ANSWER_AGE = 3600
 
 
 class RateLimited(RuntimeError):
@@ -78,6 +83,25 @@ def fetched(url: str, timeout: float, retries: int = RETRIES, wait: Callable[[fl
     raise AssertionError("unreachable")
 
 
+def kept_answer(folder: str, key: str, fetch: Callable[[], dict], most_age: float = ANSWER_AGE, clock: Callable[[], float] = time.time) -> dict:
+    """The answer to a request, from the shared folder if it was put there less than most_age seconds ago, else fetched and put there whole."""
+    path = os.path.join(folder, hashlib.sha256(key.encode()).hexdigest() + ".json")
+    try:
+        with open(path) as f:
+            kept = json.load(f)
+        if kept["key"] == key and 0 <= clock() - kept["at"] < most_age:
+            return kept["answer"]
+    except (FileNotFoundError, ValueError, KeyError):  # none yet, or not one of ours
+        pass
+    answer = fetch()
+    os.makedirs(folder, exist_ok=True)
+    made = f"{path}.{uuid.uuid4().hex}"
+    with open(made, "w") as f:
+        json.dump({"key": key, "at": clock(), "answer": answer}, f)
+    os.replace(made, path)
+    return answer
+
+
 def rows_of(location: str, answer: dict, columns: list[str]) -> Iterator[tuple]:
     """location, datetime and the columns of an answer's hours; times run from `start` in steps of `interval`, its end left out."""
     hourly = answer["hourly"]
@@ -102,7 +126,7 @@ class _Reader(DataSourceReader):
         self.service = options.get("service", "archive")
         self.locations, self.columns = json.loads(options["locations"]), json.loads(options["columns"])
         self.parameters, self.responses = json.loads(options.get("parameters", "{}")), options.get("responses")
-        self.pacer = options.get("pacer")
+        self.pacer, self.answers, self.most_age = options.get("pacer"), options.get("answers"), float(options.get("mostage", ANSWER_AGE))
         self.start, self.end, self.years = options.get("start"), options.get("end"), int(options.get("chunkyears", options.get("chunkYears", 1)))
 
     def partitions(self):
@@ -127,7 +151,10 @@ class _Reader(DataSourceReader):
         else:
             dates = {"start_date": partition.lo, "end_date": partition.hi} if partition.lo else {}
             asked = {**self.parameters, **dates, "latitude": lat, "longitude": lon, "models": MODELS[self.service]}
-            answer = fetched(f"{SERVICES[self.service]}?{urllib.parse.urlencode(asked)}", TIMEOUTS[self.service], leave=lambda: self._leave(partition))
+            url = f"{SERVICES[self.service]}?{urllib.parse.urlencode(asked)}"
+            ask = lambda: fetched(url, TIMEOUTS[self.service], leave=lambda: self._leave(partition))
+            # Forecasts are asked for again and again; an archive's block is read once.
+            answer = kept_answer(self.answers, url, ask, self.most_age) if self.answers and self.service == "forecast" else ask()
         for row in rows_of(partition.location, answer, self.columns):
             if not partition.lo or partition.lo <= row[1].date().isoformat() <= partition.hi:
                 yield row
@@ -197,9 +224,10 @@ def fill_cache(spark: SparkSession, to: str, locations=None, start: str = FIRST_
                 pacing.keep(spark, log, new)
 
 
-def forecast(spark: SparkSession, locations, variables, lag_days: int = 0, forecast_days: int = 0, add_sun: bool = False, responses: str | None = None) -> DataFrame:
+def forecast(spark: SparkSession, locations, variables, lag_days: int = 0, forecast_days: int = 0, add_sun: bool = False, responses: str | None = None, answers: str | None = None, most_age: float = ANSWER_AGE) -> DataFrame:
+    """Hours of the forecast; with `answers`, a folder that all tasks share, a request made less than most_age seconds ago is not made again."""
     variables = checked_variables(variables, "forecast")
-    return _read(spark, "forecast", locations, variables, {"parameters": {"past_days": lag_days, "forecast_days": forecast_days + 1}, "responses": responses}, add_sun)
+    return _read(spark, "forecast", locations, variables, {"parameters": {"past_days": lag_days, "forecast_days": forecast_days + 1}, "responses": responses, "answers": answers, "mostage": str(most_age)}, add_sun)
 
 
 def weather(spark: SparkSession, locations, variables, source: str = "cache", resolution: str = "hourly", cache_dir: str | None = None, years=None, doy: tuple[int, int] | None = None,
@@ -230,7 +258,7 @@ def weather(spark: SparkSession, locations, variables, source: str = "cache", re
     else:
         hours = forecast(spark, locations, variables, lag_days, forecast_days, add_sun, responses)
     if resolution == "hourly":
-        return hours
+        return cube.checked_unique(hours, ("location", "datetime"))
     long = hours.select("location", F.to_date("datetime").alias("date"), F.hour("datetime").alias("hour"), *stored)
     days = cube.daily(cube.dense(cube.checked_unique(long)), {v: VARIABLES[v].daily for v in stored})
     lagged = cube.keep_complete(cube.lags(days, lag_days, tuple(stored)), tuple(stored), len(locations) * lag_days)

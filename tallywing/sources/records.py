@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SPECIES = re.compile(r"^\s*species\s*:\s*[\"']?([^\"'#\n]+?)[\"']?\s*(?:#.*)?$", re.M)
 COUNTS = "species string, date date, count double, start timestamp, end timestamp"
 CLIMATOLOGY = "species string, doy array<int>, min array<double>, max array<double>, mean array<double>, count_observations array<double>, quantile_levels array<int>, quantiles array<array<double>>, trektellen_species_id int, ratio array<array<double>>"
 RUN = "species string, scalars map<string,double>, by_era array<map<string,string>>, per_year array<map<string,string>>"
@@ -128,9 +129,37 @@ def promote(sources: dict[str, str], target: str, dry_run: bool = False, force:
 
 def species_of_experiments(folder: str) -> list[str]:
     """The species that experiment files name, each once, in order of name."""
-    pattern = re.compile(r"^\s*species\s*:\s*[\"']?([^\"'#\n]+?)[\"']?\s*(?:#.*)?$", re.M)
     found = set()
     for path in sorted(glob.glob(f"{folder}/*.yaml")):
         with open(path) as f:
-            found.update(pattern.findall(f.read()))
+            found.update(_SPECIES.findall(f.read()))
     return sorted(found)
+
+
+def season_of_data(path: str) -> tuple[int, int]:
+    """The first and the last day of year that a data file's `doy` names, as a list on its line or below it."""
+    with open(path) as f:
+        found = re.search(r"^\s*doy\s*:\s*(?:\[([^\]]*)\]|((?:\s*-[^\n]*\n?)+))", f.read(), re.M)
+    days = [int(x) for x in re.findall(r"\d+", found[1] or found[2])] if found else []
+    if len(days) != 2 or not 1 <= days[0] <= days[1] <= 366:
+        raise ValueError(f"{path} has no season")
+    return days[0], days[1]
+
+
+def experiments(folder: str) -> list[dict]:
+    """Species, name, path and season of each experiment file under folder/experiment, the season from its own doy or that of folder/data.
+
+    A file without a species is an error, as is one whose data file lacks a season.
+    """
+    found = []
+    for path in sorted(glob.glob(f"{folder}/experiment/*.yaml")):
+        with open(path) as f:
+            text = f.read()
+        named = _SPECIES.findall(text)
+        if not named:
+            raise ValueError(f"{path} names no species")
+        data = re.search(r"^\s*-\s*override\s+/data\s*:\s*(\S+)", text, re.M)
+        own = re.search(r"^\s+doy\s*:", text, re.M)
+        season = season_of_data(path if own else f"{folder}/data/{data[1] if data else 'default'}.yaml")
+        found.append({"species": named[0], "name": os.path.splitext(os.path.basename(path))[0], "path": path, "season": season})
+    return found
