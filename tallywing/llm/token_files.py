@@ -21,8 +21,8 @@ from .range_coder import decode, encode
 from .tokens import default_path, encoder
 
 END = 1
-#: Bytes of text in a chunk, and of those tokenized at once: the tokenizer's work arrays are far larger than the ids.
-CHUNK_BYTES, TOKENIZED_BYTES = 6 << 20, 2 << 20
+#: Ids from which on a chunk is coded (blocks are coded in step, and many of them cost little more than few), and bytes of text tokenized at once: the tokenizer's work arrays are far larger than the ids.
+CHUNK_IDS, TOKENIZED_BYTES = 3 << 20, 2 << 20
 
 
 def _coder(path: str):
@@ -30,19 +30,29 @@ def _coder(path: str):
         from pyspark import TaskContext
 
         part, chunk = TaskContext.get().partitionId(), 0
+        keys, coded, n = [], [], 0
+
+        def whole() -> pa.RecordBatch:
+            ids, lengths = np.concatenate([i for i, _ in coded]), np.concatenate([np.diff(off) for _, off in coded])
+            coded.clear()
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int64()),
+                    pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(ids)], pa.binary()),
+                ],
+                ["part", "chunk", "n_ids", "keys", "lengths", "coded"],
+            )
+
         for batch in batches:
-            for piece in slices(batch, "text", CHUNK_BYTES):
-                coded = [encoder(path).encode(some.column("text"), END) for some in slices(piece, "text", TOKENIZED_BYTES)]
-                ids, lengths = np.concatenate([i for i, _ in coded]), np.concatenate([np.diff(off) for _, off in coded])
-                del coded
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int64()),
-                        pa.array([piece.column("key").to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(ids)], pa.binary()),
-                    ],
-                    ["part", "chunk", "n_ids", "keys", "lengths", "coded"],
-                )
-                chunk += 1
+            for some in slices(batch, "text", TOKENIZED_BYTES):
+                coded.append(encoder(path).encode(some.column("text"), END))
+                keys.append(some.column("key"))
+                n += len(coded[-1][0])
+                if n >= CHUNK_IDS:
+                    yield whole()
+                    keys, n, chunk = [], 0, chunk + 1
+        if keys:
+            yield whole()
 
     return run
 
