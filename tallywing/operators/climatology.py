@@ -62,11 +62,11 @@ def shape_lines(shapes: DataFrame, by: tuple[str, ...] = ("species",)) -> DataFr
     days = shapes.groupBy(*by).agg(F.array_sort(F.collect_set("doy")).alias("all_"))
     middle = F.get("all_", F.floor(F.size("all_") / 2).cast("int"))
     tags = days.select(*by, F.explode(F.array(*[F.struct(F.lit(t).alias("line"), d.alias("doy")) for t, d in (("first", F.get("all_", F.lit(0))), ("middle", middle), ("last", F.element_at("all_", -1)))])).alias("t"))
-    return shapes.join(F.broadcast(tags.select(*by, "t.line", "t.doy")), [*by, "doy"])
+    return shapes.join(tags.select(*by, "t.line", "t.doy"), [*by, "doy"])
 
 
 def hourly_shape(rates: DataFrame, night: DataFrame) -> DataFrame:
-    """Rates with the hours of night (doy, hour, night) at 0, scaled to sum to 1 a day; a day without rate is even over the day's hours."""
+    """Rates with the hours of night (doy, hour, night; 8 784 rows at most) at 0, scaled to sum to 1 a day; a day without rate is even over the day's hours."""
     dark = rates.join(F.broadcast(night), ["doy", "hour"], "left").withColumn("rate", F.when(F.coalesce("night", F.lit(False)), F.lit(0.0)).otherwise(F.col("rate")))
     total = F.sum("rate").over(W.partitionBy("species", "doy"))
     even = F.when(F.col("hour").between(*DAY_HOURS), F.lit(1.0 / (DAY_HOURS[1] - DAY_HOURS[0] + 1))).otherwise(F.lit(0.0))

@@ -33,8 +33,9 @@ def daily(long: DataFrame, how: Mapping[str, str], by: tuple[str, ...] = ("locat
 
 def gapless(days: DataFrame, by: tuple[str, ...] = ("location",)) -> DataFrame:
     """A row for each group and calendar day from the first to the last of the table, null where the table has none."""
-    span = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).where(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b")).alias("date"))
-    return days.select(*by).distinct().crossJoin(F.broadcast(span)).join(days, [*by, "date"], "left")
+    span = days.agg(F.when(F.min("date").isNotNull(), F.sequence(F.min("date"), F.max("date")))).scalar()
+    every = days.select(*by).distinct().withColumn("span_", span).select(*by, F.explode("span_").alias("date"))
+    return every.join(days, [*by, "date"], "left")
 
 
 def lags(days: DataFrame, n: int, values: tuple[str, ...]) -> DataFrame:

@@ -132,8 +132,8 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0,
     inside = (points["at"] >= before["before_"]) & (points["at"] < before["before_"] + before["w_"])
     for c in by:
         inside &= points[c] == before[c]
-    home = points.join(F.broadcast(before), inside).select(*[points[c] for c in by], "draw", "at", "part_")
-    hit = placed.join(F.broadcast(home), [*by, "part_"]).where((F.col("at") < F.col("to_")) & (F.col("at") >= F.col("from_")))
+    home = points.join(before if by else F.broadcast(before), inside).select(*[points[c] for c in by], "draw", "at", "part_")
+    hit = placed.join(home, [*by, "part_"]).where((F.col("at") < F.col("to_")) & (F.col("at") >= F.col("from_")))
     return hit.select(*df.columns, "draw")
 
 

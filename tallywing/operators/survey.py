@@ -23,12 +23,19 @@ def summed(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def zero_fill(counts: DataFrame, species: DataFrame | None = None, by: tuple[str, ...] = PERIOD) -> DataFrame:
     """One row for each species and survey period, with count 0 where the species has none.
 
-    species: a table of the species column; those of counts if not given. It is small beside the
-    periods, and all species are filled in one pass.
+    species: a table of the species column; those of counts if not given, a null one left out. A
+    period gathers its own counts by species, as many as there are species at most, and makes its
+    rows from them and the list of all species, so that only counts are moved, never the filled rows.
+    A period with a null in its key has no counts.
     """
-    species = counts.select("species").distinct() if species is None else species
-    grid = periods(counts, by).crossJoin(species)
-    return grid.join(summed(counts, ("species", *by)), ["species", *by], "left").fillna(0, ["count"])
+    every = (counts if species is None else species).agg(F.collect_set("species")).scalar()
+    known = F.col("species").isNotNull()
+    for c in by:
+        known &= F.col(c).isNotNull()
+    own = counts.groupBy(*by, "species").agg(F.sum("count").alias("count")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("species", "count")))).alias("own_"))
+    kind = counts.select(F.sum("count")).schema[0].dataType
+    rows = own.withColumn("every_", every).select(*by, "own_", F.explode("every_").alias("species"))
+    return rows.select("species", *by, F.coalesce(F.try_element_at("own_", F.col("species")), F.lit(0).cast(kind)).alias("count"))
 
 
 def with_rate(df: DataFrame, duration: Column | None = None) -> DataFrame:
@@ -111,7 +118,7 @@ def kept_taxa(taxonomy: DataFrame, families: tuple[str, ...], category: str = "s
 
 def merged_species(records: DataFrame, taxonomy: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Records of species that the taxonomy maps are summed by key under its name; others stay as they are."""
-    named = records.join(F.broadcast(taxonomy.select("species", "name")), "species", "left")
+    named = records.join(taxonomy.select("species", "name"), "species", "left")
     mapped = summed(named.where(F.col("name").isNotNull()).drop("species").withColumnRenamed("name", "species"), ("species", *by))
     return mapped.unionByName(named.where(F.col("name").isNull()).select("species", *by, "count"))
 
