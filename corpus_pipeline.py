@@ -23,7 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with enough confidence, lang being the predicted one.
 
     The model learns from the labelled rows of docs. A null text or one without a letter is
-    rejected; without any labelled row, everything is.
+    rejected; without any labelled row, everything is. Repeated rows are judged alike and all stay or
+    go, very long texts are read whole, and an empty table gives an empty one.
     """
     docs = _documents(docs)
     model = langid.train(docs, F.col("doc_id"))
@@ -60,7 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind; n_chars counts the new text.
 
-    Null texts stay null, with an n_chars of null; repeated rows are changed alike.
+    Null texts stay null, with an n_chars of null; repeated rows are changed alike, very long texts
+    are read whole, and an empty table gives an empty one.
     """
     docs = _documents(docs).withColumn("text", pii.redacted(F.col("text")))
     return docs.withColumn("n_chars", F.length("text").cast("long"))
@@ -69,14 +71,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, repeated as often as it takes them; those without a word go.
 
-    Every row is taken for itself, whatever its doc_id; a null source is a source of its own. An
-    empty table gives an empty one.
+    Every row is taken for itself, whatever its doc_id; a null source is a source of its own. A very
+    long text is one document, taken whole. An empty table gives an empty one.
     """
     return mixing.mixed_rows(_documents(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences; a null or empty text is its end id alone, repeated rows are packed each."""
+    """The pieces of all documents in packed sequences.
+
+    A null or empty text is its end id alone, repeated rows are packed each, a very long text is cut
+    into as many pieces as it needs, and an empty table gives no pieces.
+    """
     return packing.pack_documents(_documents(docs))
 
 

@@ -27,8 +27,8 @@ WIDTH, PERCENT = 5, 75
 #: Share of the hash range in which shingles are counted.
 COUNTED = 0.36
 SAMPLE_DOCS, HEAVY_SHARE, MOST_HEAVY = 20_000, 0.001, 400_000
-#: Classes that one tree holds at most, and rounds of hubs for larger groups.
-TREE_ROWS, HUB_ROUNDS = 1024, 3
+#: Classes that one tree holds at most, and rounds of hubs for larger groups. A class counts once for every so many bytes of its set, or part of them.
+TREE_ROWS, HUB_ROUNDS, CLASS_BYTES = 1024, 3, 1 << 16
 #: Rows of three numbers that are sent to every task at most.
 MOST_BROADCAST = 100_000
 _EDGE = np.uint64(int(COUNTED * 2**64))
@@ -88,7 +88,9 @@ def shingle_components(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     A null text, or one without words, has no shingles and links with nothing; a text of fewer
     than five words has one. Rows of equal word sequences are linked. Rows whose key is null get a
-    component of null. Other columns are not read.
+    component of null; rows that share a key are one document of several texts, linked by each. Very
+    long texts are read whole, and their sets count by bytes where tasks are filled. An empty table
+    gives an empty one. Other columns, whatever their names, are not read.
     """
     spark = documents.sparkSession
     documents = bounded_batches(documents).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -178,7 +180,8 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _checked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     """Links (a, b) that join all classes of each group (cid, grp, tokens) that are connected."""
-    sizes = cut(sets.groupBy("grp").agg(F.count("*").alias("m")))
+    weight = F.greatest(F.lit(1).cast("long"), F.ceil(F.length("tokens") / CLASS_BYTES))
+    sizes = cut(sets.groupBy("grp").agg(F.sum(weight).alias("m")))
     # a large group's rows stay where they are: its size comes to them
     sized = _beside(sets, sizes.where(F.col("m") > TREE_ROWS // 2), ["grp"])
     small, large = sized.where(F.col("m").isNull()), sized.where(F.col("m").isNotNull())
@@ -223,7 +226,7 @@ def _checked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     together = components(hub_links).select(F.col("id").alias("cid"), F.col("component_id").alias("comp"))
     state = state.join(together, "cid", "left").select("cid", "grp", "tokens", "m", F.coalesce("comp", "cid").alias("label"))
     half = TREE_ROWS // 2
-    per_label = state.groupBy("grp", "label").agg(F.count("*").alias("k")).where(F.col("k") >= half)
+    per_label = state.groupBy("grp", "label").agg(F.sum(weight).alias("k")).where(F.col("k") >= half)
     # a label of its own for each block's worth of rows; the labels of fewer rows share blocks
     own = cut(per_label.select("grp", "label", F.ceil(F.col("k") / half).cast("int").alias("own")))
     rest = F.ceil(F.col("m") / half).cast("int")

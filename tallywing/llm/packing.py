@@ -156,8 +156,10 @@ def _packer(path: str, key_type: pa.DataType):
 def pack_documents(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    A null or empty text is a document of its end id only. Repeated rows are packed each. Other
-    columns are not read. sequence_id is the task's number and a count in it.
+    A null or empty text is a document of its end id only. Repeated rows are packed each, a null key
+    stays null, and a very long text is cut into as many pieces as it needs. An empty table gives no
+    pieces. Other columns, whatever their names, are not read. sequence_id is the task's number and
+    a count in it.
     """
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = documents.schema[key].dataType.simpleString()

@@ -10,30 +10,35 @@ from .common import new_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text of `documents`."""
     from .pii import scan
 
     return scan(table(spark, sf_dir, "documents"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of `pages`."""
     from .html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one of `embeddings`, among all."""
     from .ann import neighbours
 
     return neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each of `documents` the mix by weights of sources takes."""
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each of `documents` begins and how long it is in token files written for this and read back."""
     from .token_files import read, write
 
     to = new_path(spark, "token-files")
@@ -42,30 +47,35 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of each of `documents` under links of like shingle sets."""
     from .ngram_join import shingle_components
 
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each of `embeddings` under links of like vectors of one label."""
     from .graph_dedup import deduplicate
 
     return deduplicate(table(spark, sf_dir, "embeddings"))
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all `documents` in packed sequences."""
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each of `documents`, learnt from those that are not held out."""
     from .langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each of `documents`, learnt from `labels` that are not held out."""
     from .quality import grade
 
     return grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -71,7 +71,12 @@ def write(documents: DataFrame, to: str, path: str | None = None, key: str = "do
 
 
 def read(spark: SparkSession, source: str) -> DataFrame:
-    """key, start, n_tokens and ids_crc32 of every document in the folder; start counts the ids of all documents before it."""
+    """key, start, n_tokens and ids_crc32 of every document in the folder; start counts the ids of all documents before it.
+
+    Documents that share an id, or have none, have a row each, in the order in which they were
+    written; very long ones are one row. A folder of no documents gives no rows; a spoilt or cut
+    chunk is an error.
+    """
     rows = spark.read.parquet(source)
     chunks = rows.select("part", "chunk", "n_ids")
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))

@@ -1,5 +1,7 @@
 """Neighbours, near duplicates and components against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +169,21 @@ def test_words_as_plain_python():
     hashes, word_off = words.word_hashes(data, off)
     plain = [w for t in texts for w in (t or "").encode().lower().split()]
     assert np.diff(word_off).tolist() == [3, 0, 0, 2, 1] and len(set(hashes.tolist())) == len(set(plain)) and len(hashes) == len(plain)
+
+
+def test_sets_that_count_many_times_fill_tasks_of_their_own(spark, monkeypatch):
+    """Long texts count by bytes: groups split as large ones do, and the components stay the same."""
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(4)]
+    rows = []
+    for i in range(80):
+        words = base[i % 4].split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in ngram_join.shingle_components(df).collect()}
+    monkeypatch.setattr(ngram_join, "CLASS_BYTES", 64)
+    monkeypatch.setattr(ngram_join, "TREE_ROWS", 256)
+    got = {r.doc_id: r.component_id for r in ngram_join.shingle_components(df).collect()}
+    assert got == want and len(set(want.values())) == 4
