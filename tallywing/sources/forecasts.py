@@ -125,7 +125,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.service = options.get("service", "archive")
         self.locations, self.columns = json.loads(options["locations"]), json.loads(options["columns"])
-        self.parameters, self.responses = json.loads(options.get("parameters", "{}")), options.get("responses")
+        self.parameters, self.responses = json.loads(options.get("parameters", "{}")), (options.get("responses") or "").removeprefix("file://")
         self.pacer, self.answers, self.most_age = options.get("pacer"), options.get("answers"), float(options.get("mostage", ANSWER_AGE))
         self.start, self.end, self.years = options.get("start"), options.get("end"), int(options.get("chunkyears", options.get("chunkYears", 1)))
 

@@ -6,11 +6,13 @@ import glob
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 _SPECIES = re.compile(r"^\s*species\s*:\s*[\"']?([^\"'#\n]+?)[\"']?\s*(?:#.*)?$", re.M)
 COUNTS = "species string, date date, count double, start timestamp, end timestamp"
 CLIMATOLOGY = "species string, doy array<int>, min array<double>, max array<double>, mean array<double>, count_observations array<double>, quantile_levels array<int>, quantiles array<array<double>>, trektellen_species_id int, ratio array<array<double>>"
@@ -60,18 +62,17 @@ def climatology(spark: SparkSession, path: str, species: str | None = None) -> D
 
 def write_json(df: DataFrame, path: str) -> int:
     """Rows as one JSON array, put in place whole or not at all; rows pass through the driver one by one."""
-    tmp, n = f"{path}.{os.getpid()}.tmp", 0
-    try:
-        with open(tmp, "w") as f:
-            f.write("[")
-            for row in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
-                f.write(("," if n else "") + "\n" + row[0])
-                n += 1
-            f.write("\n]\n")
-        os.replace(tmp, path)
-    finally:
-        if os.path.exists(tmp):
-            os.remove(tmp)
+    n = 0
+
+    def text() -> Iterator[str]:
+        nonlocal n
+        yield "["
+        for row in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+            yield ("," if n else "") + "\n" + row[0]
+            n += 1
+        yield "\n]\n"
+
+    files.put(df.sparkSession, path, text())
     return n
 
 
@@ -79,7 +80,7 @@ def runs(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
     """species, run, metric and value of all runs' metric files; patterns without files are reported and skipped."""
     paths = []
     for p in patterns:
-        if not (found := sorted(glob.glob(p))):
+        if not (found := files.matching(spark, p)):
             print(f"no files match {p}")
         paths += found
     if not paths:
@@ -89,8 +90,7 @@ def runs(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
 
 
 def write_run(path: str, species: str, scalars: dict, by_era: list, per_year: list) -> None:
-    with open(path, "w") as f:
-        json.dump({"species": species, "scalars": scalars, "by_era": by_era, "per_year": per_year}, f)
+    files.put(SparkSession.active(), path, [json.dumps({"species": species, "scalars": scalars, "by_era": by_era, "per_year": per_year})])
 
 
 def write_predictions(df: DataFrame, path: str, run_date: str, species: str) -> None:
@@ -112,17 +112,15 @@ def latest_run(paths: Iterable[str]) -> str | None:
 
 def promote(sources: dict[str, str], target: str, dry_run: bool = False, force: bool = False) -> dict[str, str]:
     """Copies each species' model folder under target; what was done with each. An existing one stays unless forced."""
-    import shutil
-
-    done = {}
+    spark, done = SparkSession.active(), {}
     for species, source in sources.items():
-        to = os.path.join(target, species.replace(" ", "_"))
-        if os.path.exists(to) and not force:
+        to = f"{target.rstrip('/')}/{species.replace(' ', '_')}"
+        if files.exists(spark, to) and not force:
             done[species] = "kept"
         elif dry_run:
             done[species] = "would copy"
         else:
-            shutil.copytree(source, to, dirs_exist_ok=True)
+            files.copy(spark, source, to)
             done[species] = "copied"
     return done
 
