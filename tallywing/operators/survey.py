@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import hours_between
@@ -58,8 +59,9 @@ def daily_frame(frame: DataFrame, by: tuple[str, ...] = ("species",)) -> DataFra
 
 
 def with_persistence(daily: DataFrame, by: tuple[str, ...] = ("species",), value: str = "obs") -> DataFrame:
-    before = daily.select(*by, F.date_add("date", 1).alias("date"), F.col(value).alias("persistence"))
-    return daily.join(before, [*by, "date"], "left")
+    """Adds the value of the day before, null where that day isn't in the table; a group has a row a date."""
+    w = W.partitionBy(*by).orderBy("date")
+    return daily.withColumn("persistence", F.when(F.lag("date").over(w) == F.date_sub("date", 1), F.lag(value).over(w)))
 
 
 def clamped_time(seen: Column, start: Column, end: Column, slack: str = "10 minutes") -> Column:
