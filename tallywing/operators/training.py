@@ -53,6 +53,20 @@ def hyperparameters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, *map(float, v)) for s, v in HYPERPARAMETERS.items()], "species string, " + ", ".join(f"{h} double" for h in HYPER))
 
 
+def _share(name: str, terms: Mapping[str, float], weight: Column) -> Column:
+    return weight * F.lit(float(terms[name])) if name == "tweedie" else F.lit(float(terms[name]))
+
+
+def summed_loss(observed: Column, expected: Column, weight: Column, power: Column, terms: Mapping[str, float]) -> Column:
+    """The weighted sum of the loss terms of a row; weight goes to the Tweedie term, power is its power."""
+    return sum((_share(n, terms, weight) * TERMS[n].loss(observed, expected, power) for n in terms), F.lit(0.0))
+
+
+def summed_slope(observed: Column, expected: Column, weight: Column, power: Column, terms: Mapping[str, float]) -> Column:
+    """Its slope by the logarithm of what is expected."""
+    return sum((_share(n, terms, weight) * TERMS[n].slope(observed, expected, power) for n in terms), F.lit(0.0))
+
+
 def _log_rate(features: Sequence[str]) -> Column:
     total = F.element_at("w", 1) + sum((F.col(f) * F.element_at("w", i) for i, f in enumerate(features, 2)), F.lit(0.0))
     return F.greatest(F.lit(-MOST_LOG), F.least(F.lit(MOST_LOG), total))
@@ -62,11 +76,8 @@ def _sums(rows: DataFrame, state: DataFrame, by: str, features: Sequence[str], t
     """by, gradient (a mean over the rows to learn from), train and held (mean losses there and on the held rows)."""
     met = rows.join(state.where(~F.col("done")).select(by, "w", "weight", "power"), by)
     met = met.withColumn("mu", F.col("exposure") * F.exp(_log_rate(features)))
-    y, mu, power = F.col("count"), F.col("mu"), F.col("power")
-    share = lambda name: F.col("weight") * F.lit(float(terms[name])) if name == "tweedie" else F.lit(float(terms[name]))
-    met = met.withColumns({
-        "loss": sum((share(n) * TERMS[n].loss(y, mu, power) for n in terms), F.lit(0.0)), "slope": sum((share(n) * TERMS[n].slope(y, mu, power) for n in terms), F.lit(0.0)),
-    })
+    row = F.col("count"), F.col("mu"), F.col("weight"), F.col("power"), terms
+    met = met.withColumns({"loss": summed_loss(*row), "slope": summed_slope(*row)})
     learn = ~F.col("held")
     mean = lambda c: F.coalesce(F.avg(F.when(learn, c)), F.lit(0.0))
     slopes = F.array(mean(F.col("slope")), *[mean(F.col("slope") * F.col(f)) for f in features])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import scoring, survey
+from ..operators import scoring, survey, training
+from ..registry import HYPERPARAMETERS
 from . import adapters as a
 from . import query
 
@@ -149,6 +150,30 @@ def loss_tweedie(spark, sf_dir):
     return a.written(a.rounded(out, "loss", digits=4))
 
 
+_SPECIES = sorted(HYPERPARAMETERS)
+_WEIGHTS = ", ".join(f"({i}, {HYPERPARAMETERS[n][2]!r}::DOUBLE, {HYPERPARAMETERS[n][3]!r}::DOUBLE)" for i, n in enumerate(_SPECIES))
+
+
+@query(f"""{_E}, hy AS (SELECT * FROM (VALUES {_WEIGHTS}) AS t(species, weight, p))
+SELECT species::BIGINT AS species, round(avg(weight * (pow({_MU}, 2 - p) / (2 - p) - obs * pow({_MU}, 1 - p) / (1 - p)) + 0.5 * (ln(1 + pred) - ln(1 + obs)) ^ 2 + 0.1 * ({_MU} - 1e-8 - obs * ln({_MU}))), 4) AS loss FROM ev JOIN hy USING (species) GROUP BY species""")
+def loss_summed(spark, sf_dir):
+    """A weighted sum of three loss terms, the first by each species' own weight and power."""
+    hyper = training.hyperparameters(spark).withColumn("number", F.array_position(F.array(*map(F.lit, _SPECIES)), F.col("species")).cast("int") - 1).drop("species").withColumnRenamed("number", "species")
+    rows = a.evaluation(spark, sf_dir).join(hyper, "species")
+    loss = training.summed_loss(F.col("obs"), F.col("pred"), F.col("weight"), F.col("power"), {"tweedie": 1.0, "squared_log": 0.5, "poisson": 0.1})
+    return a.written(a.rounded(rows.groupBy("species").agg(F.avg(loss).alias("loss")), "loss", digits=4))
+
+
+@query(f"""WITH {a.HOURS} SELECT species::BIGINT AS species, date::VARCHAR AS date, hour::BIGINT AS hour, round(8 / (1 + exp(-((hour % 5) / 5.0::DOUBLE - 0.5 + (doy % 7) / 7.0::DOUBLE - 1))) * (count / (count + 50.0::DOUBLE)), 6) AS log_count FROM (SELECT species, date, doy, hour, sum(count) OVER (PARTITION BY species, date) AS count FROM hs)""")
+def composed_log_counts(spark, sf_dir):
+    """Hourly scores over a bias, damped by a share of the day."""
+    days = a.hour_surveys(spark, sf_dir).groupBy("species", "date", "doy").agg(F.array_sort(F.collect_list("hour")).alias("hours"), F.sum("count").alias("count"))
+    scores_of = F.transform("hours", lambda h: (h % 5) / F.lit(5.0) - 0.5)
+    bias_of = F.transform("hours", lambda h: (F.col("doy") % 7) / F.lit(7.0) - 1)
+    out = days.select("species", "date", F.inline(F.arrays_zip(F.col("hours").alias("hour"), scores.composed_log_count(scores_of, bias_of, F.col("count") / (F.col("count") + 50.0)).alias("log_count"))))
+    return a.written(a.rounded(out, "log_count"))
+
+
 @query(f"{_E} SELECT species::BIGINT AS species, round(sqrt(avg((ln(1 + pred) - ln(1 + obs)) ^ 2)), 6) AS log_rmse, round(sqrt(avg((pred - obs) ^ 2)), 6) AS rmse, round(sqrt(sum(pred ^ 2)), 4) AS l2 FROM ev GROUP BY species")
 def loss_log_rmse(spark, sf_dir):
     o, p = F.col("obs"), F.col("pred")

@@ -8,6 +8,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import parsed_time
@@ -147,3 +148,37 @@ def archive_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forecasts.archive(spark, _PLACES[: len(answers)], ["temperature_2m", "total_precipitation"], str(first), str(last), responses=folder)
     out = found.select("location", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "temperature_2m", "total_precipitation")
     return a.rounded(a.rounded(out, "temperature_2m"), "total_precipitation", digits=8)
+
+
+@query(f"WITH {a.HOURS} SELECT species, run_date, date, hour, rate FROM (SELECT 'species_' || species AS species, '2026-07-14' AS run_date, date::VARCHAR AS date, hour::BIGINT AS hour, round(rate, 6) AS rate FROM hs)")
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of every species in files of a species and run date; writing one again replaces its own alone."""
+    to, hs = cache.shared_folder(spark, "predictions"), a.hour_surveys(spark, sf_dir)
+    for r in hs.select("species").distinct().collect():
+        rows = hs.where(F.col("species") == r["species"]).select("date", "hour", "rate")
+        for _ in range(2 if r["species"] == 3 else 1):
+            records.write_predictions(rows, to, "2026-07-14", f"species {r['species']}")
+    found = spark.read.option("partitionOverwriteMode", "dynamic").parquet(to)
+    return a.written(a.rounded(found.select("species", F.col("run_date").cast("string").alias("run_date"), "date", "hour", "rate"), "rate"))
+
+
+@query(f"WITH {a.STATION} SELECT location, (date + to_hours(hour::INT))::VARCHAR AS datetime, year(date)::BIGINT AS year, dayofyear(date)::BIGINT AS doy, round(v2, 6) AS v2 FROM wx WHERE dayofyear(date) BETWEEN 3 AND 25 AND year(date) = (SELECT max(year(date)) FROM wx)")
+def cache_of_a_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stations' hours of the last year and of a season with the days before it that its lags need."""
+    hours = a.station_hours(spark, sf_dir)
+    to = cache.shared_folder(spark, "season-cache")
+    cache.write(hours.withColumn("datetime", F.col("date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("hour"))).drop("date", "hour"), to)
+    places = [r[0] for r in hours.select("location").distinct().collect()]  # stations are few
+    last = hours.agg(F.max(F.year("date"))).first()[0]
+    found = cache.load(spark, to, places, ["v2"], [last], cache.widened_doy((10, 25), 7))
+    return a.written(a.rounded(found.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")), "v2"))
+
+
+@query(f"WITH {a.HOURS}, {a.STATION.strip()}, dw AS (SELECT make_date(1996 + (row_number() OVER (ORDER BY date) % 5)::INT, month(date), day(date)) AS date, avg(v1) AS v1 FROM wx WHERE NOT (month(date) = 2 AND day(date) = 29) GROUP BY wx.date) SELECT species::BIGINT AS species, dy.date::VARCHAR AS date, round(rate, 6) AS rate, round(v1, 6) AS v1 FROM dy JOIN dw ON dy.date = dw.date")
+def days_beside_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rates of the dates that have weather, beside it; the stations' days are set into the years of the surveys."""
+    from ..operators import explore
+
+    w = a.station_hours(spark, sf_dir).groupBy("date").agg(F.avg("v1").alias("v1")).where("NOT (month(date) = 2 AND day(date) = 29)")
+    placed = w.withColumn("n", F.row_number().over(W.orderBy("date"))).select(F.make_date((1996 + F.col("n") % 5).cast("int"), F.month("date"), F.dayofmonth("date")).alias("date"), "v1")  # 30 days
+    return a.written(a.rounded(explore.with_weather(a.daily(spark, sf_dir).select("species", "date", "rate"), placed), "rate", "v1"))
