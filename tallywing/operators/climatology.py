@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..registry import SEASON, SMOOTH_WINDOW
+
 DAY_HOURS = (6, 17)
 
 
-def full_grid(stats: DataFrame, first: int, last: int) -> DataFrame:
+def full_grid(stats: DataFrame, first: int = SEASON[0], last: int = SEASON[1]) -> DataFrame:
     """A row for each species and day of year, null where there are no statistics."""
     grid = stats.select("species").distinct().withColumn("doy", F.explode(F.sequence(F.lit(first), F.lit(last))))
     return grid.join(stats, ["species", "doy"], "left")
@@ -27,7 +29,7 @@ def doy_quantiles(daily: DataFrame, levels: tuple[int, ...], value: str = "rate"
     return found.select("species", "doy", F.inline(pairs)).toDF("species", "doy", "level", "quantile")
 
 
-def smoothed(table: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("species",), window: int = 7) -> DataFrame:
+def smoothed(table: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("species",), window: int = SMOOTH_WINDOW) -> DataFrame:
     """Centred means over the days of the window that have a value, fewer at the ends."""
     w = W.partitionBy(*by).orderBy("doy").rangeBetween(-(window // 2), window // 2)
     return table.select(*by, "doy", *[F.avg(c).over(w).alias(c) for c in columns])

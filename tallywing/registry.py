@@ -59,6 +59,7 @@ def _divided(by: float) -> Callable[[Column], Column]:
     return lambda c: c / F.lit(by)
 
 
+# Names of variables, their source columns and units, how a day sums them up and how they are scaled.
 VARIABLES = {
     "temperature_2m": Variable(("temperature_2m",), lambda c: c + F.lit(273.15)),
     "dewpoint_temperature_2m": Variable(("dew_point_2m",), lambda c: c + F.lit(273.15)),
