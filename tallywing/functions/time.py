@@ -51,11 +51,16 @@ def coverage_mask(start: Column, end: Column, exact: bool = False) -> Column:
     The default follows the customary formula, which counts a survey inside one hour as longer than
     it is; `exact` measures the true overlap.
     """
-    hours = F.sequence(F.lit(0), F.lit(23))
-    if exact:
-        return F.transform(hours, lambda h: F.greatest(F.lit(0.0), F.least(end, h + F.lit(1.0)) - F.greatest(start, h.cast("double"))))
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    return F.transform(hours, lambda h: F.least(clip(h - start + F.lit(1.0)), clip(end - h)))
+
+    def watched(h: int, s: Column, e: Column) -> Column:
+        if exact:
+            return F.greatest(F.lit(0.0), F.least(e, F.lit(h + 1.0)) - F.greatest(s, F.lit(float(h))))
+        return F.least(clip(F.lit(h) - s + F.lit(1.0)), clip(e - F.lit(h)))
+
+    # in a list of one, wherever Spark moves the mask, the clock hours of a row are worked out once and not for each of the 24
+    once = F.array(F.struct(start.alias("start"), end.alias("end")))
+    return F.transform(once, lambda t: F.array(*[watched(h, t["start"], t["end"]) for h in range(24)]))[0]
 
 
 def local_to_utc(ts: Column, zone: str) -> Column:

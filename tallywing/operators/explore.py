@@ -88,8 +88,8 @@ def day_segments(frame: DataFrame) -> DataFrame:
 
 def day_coverage(frame: DataFrame) -> DataFrame:
     """species, date, hour and coverage, the watched part of each hour over all surveys of the day, 1 at most."""
-    hours = frame.select("species", "date", F.posexplode("mask").alias("hour", "mask"))
-    return hours.groupBy("species", "date", "hour").agg(F.least(F.sum("mask"), F.lit(1.0)).alias("coverage")).where(F.col("coverage") > 0)
+    hours = frame.select("species", "date", F.posexplode("mask").alias("hour", "mask")).where(F.col("mask") > 0)
+    return hours.groupBy("species", "date", "hour").agg(F.least(F.sum("mask"), F.lit(1.0)).alias("coverage"))
 
 
 def year_by_doy(df: DataFrame, value: Column, days: tuple[int, int] = (1, 366), empty: float | None = None) -> DataFrame:
