@@ -83,7 +83,10 @@ def day_segments(frame: DataFrame) -> DataFrame:
     watched = F.transform("mask", lambda m: m > 0)
     first = F.array_position(watched, True) - 1
     last = F.size("mask") - F.array_position(F.reverse(watched), True) + 1
-    return frame.where(F.array_contains(watched, True)).select("species", "date", "row", first.alias("first_hour"), last.alias("last_hour"), "obs")
+    # both hours leave a list of one, past which Spark moves no filter: the mask is made once, not once more for the filter
+    hours = F.explode(F.array(F.struct(first.alias("first"), last.alias("last")))).alias("hours")
+    found = frame.select("species", "date", "row", "obs", hours).where(F.col("hours.first") >= 0)
+    return found.select("species", "date", "row", F.col("hours.first").alias("first_hour"), F.col("hours.last").alias("last_hour"), "obs")
 
 
 def day_coverage(frame: DataFrame) -> DataFrame:

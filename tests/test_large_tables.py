@@ -24,3 +24,12 @@ def test_unwatched_hours_are_no_rows_of_day_coverage(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "a", 1, 0.75), (1, "a", 2, 1.0), (2, "c", 1, 1.0)]
     below = plan(found).split("Aggregate", 1)[1]  # hours go before they are grouped, not after
     assert below.index("> 0.0") < below.index("Generate")
+
+
+def test_day_segments_makes_the_mask_once(spark):
+    t = spark.createDataFrame([(1, "a", 1, 2.0), (1, "a", 2, -1.0), (2, "b", 3, 22.5)], "species int, date string, row int, obs double")
+    found = explore.day_segments(t.withColumn("mask", coverage_mask(F.col("obs") + 0.0, F.col("obs") + 0.75, exact=True)))
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1, 2, 3, 2.0), (2, "b", 3, 22, 24, 22.5)]
+    assert plan(found).count("AS mask") == plan(found).count("struct(start") == 1
+    odd = spark.createDataFrame([(1, "a", 1, [None, None], 0.0), (1, "a", 2, None, 0.0), (1, "a", 3, [None, 1.0, None], 0.0), (1, "a", 4, [], 0.0)], "species int, date string, row int, mask array<double>, obs double")
+    assert [(r.row, r.first_hour, r.last_hour) for r in explore.day_segments(odd).collect()] == [(3, 1, 2)]
