@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import poisson_nll, squared_error, squared_log_error, tweedie
 from ..registry import HYPERPARAMETERS
-from ..sources.cache import shared_folder
+from ..sources.cache import kept, shared_folder
 
 # Adam's decay rates and filler; the rate falls tenfold after so many epochs without a relative gain.
 BETAS, EPSILON = (0.9, 0.999), 1e-8
@@ -141,6 +141,7 @@ def train(rows: DataFrame, hyper: DataFrame | None = None, features: Sequence[st
     features = list(features)
     rows = rows.select(by, F.col("count").cast("double").alias("count"), F.col("exposure").cast("double").alias("exposure"), "held", *[F.col(f).cast("double").alias(f) for f in features]).dropna().where("exposure > 0")
     folder = folder or shared_folder(spark, "training")
+    rows = kept(rows, "training-rows")  # every epoch passes over them, not over what they are made from
     hyper = hyper if hyper is not None else spark.createDataFrame([], T.StructType([rows.schema[by]] + [T.StructField(h, T.DoubleType()) for h in HYPER]))
     epoch, state = _last(spark, folder)
     if state is None:

@@ -178,8 +178,9 @@ def ratio_surface_deviances(spark, sf_dir):
 def trained_models(spark, sf_dir):
     """Coefficients trained by gradients for every species, with the rates, decays, weights and powers of the table of species; the last year is held."""
     from ..registry import HYPERPARAMETERS
+    from ..sources.cache import kept
 
-    hs = a.hour_surveys(spark, sf_dir)
+    hs = kept(a.hour_surveys(spark, sf_dir), "training-surveys")
     last = hs.agg(F.max("year")).first()[0]
     rows = fitting.seasonal(hs).select("species", "count", F.col("duration").alias("exposure"), (F.col("year") == last).alias("held"), *fitting.FEATURES)
     numbered = spark.createDataFrame(list(enumerate(sorted(HYPERPARAMETERS))), "number int, name string")

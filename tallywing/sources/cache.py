@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read from there, for work that passes over them several times."""
+    to = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(to)
+    return rows.sparkSession.read.schema(rows.schema).parquet(to)
+
+
 def with_keys(hours: DataFrame) -> DataFrame:
     """Adds year and doy, which exist so that filters on them reach the files."""
     return hours.withColumn("year", F.year("datetime").cast("smallint")).withColumn("doy", F.dayofyear("datetime").cast("smallint"))

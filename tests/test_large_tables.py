@@ -33,3 +33,18 @@ def test_day_segments_makes_the_mask_once(spark):
     assert plan(found).count("AS mask") == plan(found).count("struct(start") == 1
     odd = spark.createDataFrame([(1, "a", 1, [None, None], 0.0), (1, "a", 2, None, 0.0), (1, "a", 3, [None, 1.0, None], 0.0), (1, "a", 4, [], 0.0)], "species int, date string, row int, mask array<double>, obs double")
     assert [(r.row, r.first_hour, r.last_hour) for r in explore.day_segments(odd).collect()] == [(3, 1, 2)]
+
+
+def test_training_passes_over_what_its_rows_are_made_from_once(spark):
+    from tallywing.operators import training
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("species"), (1 + F.col("id") % 5).cast("double").alias("count"), F.lit(1.0).alias("exposure"), (F.col("id") % 7 == 0).alias("held"), (F.col("id") / 60).alias("x"))
+    models = training.train(rows.mapInArrow(count, rows.schema), features=("x",), epochs=4)
+    assert [r.epochs for r in models.collect()] == [4, 4] and made.value == 60
