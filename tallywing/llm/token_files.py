@@ -21,8 +21,10 @@ from .range_coder import decode, encode
 from .tokens import default_path, encoder
 
 END = 1
-#: Ids from which on a chunk is coded (blocks are coded in step, and many of them cost little more than few), and bytes of text tokenized at once: the tokenizer's work arrays are far larger than the ids.
-CHUNK_IDS, TOKENIZED_BYTES = 3 << 20, 2 << 20
+#: Ids from which on a chunk is coded: blocks are coded in step, and many of them cost little more than few.
+CHUNK_IDS = 3 << 20
+#: Bytes of text tokenized at once, as many as a batch has: each call hashes all runs that are kept anew, so few large calls cost less than many small ones.
+TOKENIZED_BYTES = 8 << 20
 
 
 def _coder(path: str):

@@ -48,3 +48,23 @@ def test_training_passes_over_what_its_rows_are_made_from_once(spark):
     rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("species"), (1 + F.col("id") % 5).cast("double").alias("count"), F.lit(1.0).alias("exposure"), (F.col("id") % 7 == 0).alias("held"), (F.col("id") / 60).alias("x"))
     models = training.train(rows.mapInArrow(count, rows.schema), features=("x",), epochs=4)
     assert [r.epochs for r in models.collect()] == [4, 4] and made.value == 60
+
+
+def test_token_files_tokenize_a_batch_at_once(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    from tallywing.llm import token_files
+
+    calls = []
+
+    class Coder:
+        def encode(self, texts, end):
+            calls.append(len(texts))
+            return [end] * len(texts), list(range(len(texts) + 1))
+
+    monkeypatch.setattr(token_files, "encoder", lambda path: Coder())
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * (1 << 20)] * 6)], ["key", "text"])
+    (found,) = token_files._coder("")([batch])
+    assert calls == [6] and found.column("n_ids").to_pylist() == [6]
