@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import survey
@@ -44,8 +44,8 @@ hs AS (SELECT s.species, p.date, p.hour, coalesce(c.n, 0) AS count, 1.0::DOUBLE
 dy AS (SELECT species, date, doy, year, sum(count) AS count, sum(duration) AS duration, sum(count) / nullif(sum(duration), 0) AS rate FROM hs GROUP BY ALL)"""
 
 
-def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, species, date, start, end and count of surveys of uneven length."""
+def intervals(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """id, species, date, start, end and count of surveys of uneven length, and more of their orders by name."""
     o = table(spark, sf_dir, "orders")
     first = F.lit(240) + 60 * (F.col("o_orderkey") % 12) + 15 * (F.col("o_custkey") % 4)
     long = 15 * (1 + F.col("o_orderkey") % 29)
@@ -54,6 +54,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("species"), F.to_date("o_orderdate").alias("date"),
         (day + minutes(first)).alias("start"), (day + minutes(first + long)).alias("end"), (F.col("o_custkey") % 5).cast("double").alias("count"),
+        *[c.alias(name) for name, c in more.items()],
     )
 
 

@@ -66,7 +66,7 @@ FROM orders""")
 def workbook_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that went into yearly workbooks as days and times of day, a third without an end, and come back as rows."""
     minutes = lambda c: (F.hour(c) * 60 + F.minute(c)).cast("double")
-    rows = intervals(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3 > 0).alias("ends")), "id")
+    rows = intervals(spark, sf_dir, ends=F.col("o_custkey") % 3 > 0)
     written = rows.select("id", "species", "date", "count", minutes("start").alias("startTime"), F.when(F.col("ends"), minutes("end")).alias("endTime"))
     found = workbooks.parse(_as_workbooks(written), "counts", "id long, species string, date timestamp, count double, startTime string, endTime string")
     day = F.to_date("date")

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from xml.etree.ElementTree import iterparse
 
 import pyarrow as pa
@@ -92,6 +93,7 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+@lru_cache(1 << 16)  # days and times of day come again in most rows
 def _moment(serial: float, late: bool) -> tuple[str, str]:
     """Kind and text of a day number; one below 1 is a time of day alone."""
     micros = round(serial * 86_400_000_000)
@@ -173,8 +175,11 @@ def _sheets(contents: DataFrame, names: list[str] | None) -> DataFrame:
     return found.select("path", "content", F.explode("sheets").alias("sheet")).repartition("path", "sheet.place")
 
 
-def cells(contents: DataFrame, sheets: str | Iterable[str] | None = None) -> DataFrame:
-    """path, sheet, place (of the sheet), row, and values and kinds by column name, for each row below a sheet's header."""
+def cells(contents: DataFrame, sheets: str | Iterable[str] | None = None, kinds: bool = True) -> DataFrame:
+    """path, sheet, place (of the sheet), row, and values and kinds by column name, for each row below a sheet's header.
+
+    Without `kinds` that column holds empty maps: who knows the schema needs none.
+    """
     names = [sheets] if isinstance(sheets, str) else list(sheets) if sheets is not None else None
     schema = "path string, sheet string, place int, row long, values map<string,string>, kinds map<string,string>, header array<string>"
 
@@ -195,7 +200,7 @@ def cells(contents: DataFrame, sheets: str | Iterable[str] | None = None) -> Dat
                         columns = _names(found)
                     known = [(columns[at], v) for at, v in found.items() if at in columns]
                     values = [] if not n else [(c, v[1]) for c, v in known]
-                    out.append((given["path"], sheet["name"], sheet["place"], n, values, [] if not n else [(c, v[0]) for c, v in known], [columns[at] for at in sorted(columns)] if not n else None))
+                    out.append((given["path"], sheet["name"], sheet["place"], n, values, [(c, v[0]) for c, v in known] if n and kinds else [], [columns[at] for at in sorted(columns)] if not n else None))
                     if len(out) == ROWS_A_BATCH:
                         yield batch_of(out)
                         out = []
@@ -225,7 +230,7 @@ def parse(contents: DataFrame, sheets: str | Iterable[str] | None = None, schema
     its column's type is null, as are empty cells and errors; empty rows are left out, and a sheet
     without rows gives none. Times of day are text, as 09:30:00. `source` adds path and sheet.
     """
-    found = cells(contents, sheets)
+    found = cells(contents, sheets, kinds=schema is None)
     if schema is None:
         schema = _schema(found)
     elif isinstance(schema, str):

@@ -68,3 +68,23 @@ def test_token_files_tokenize_a_batch_at_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * (1 << 20)] * 6)], ["key", "text"])
     (found,) = token_files._coder("")([batch])
     assert calls == [6] and found.column("n_ids").to_pylist() == [6]
+
+
+def test_workbook_counts_reads_orders_once_and_no_kinds(spark, small):
+    import __spark_entry__ as entry
+
+    assert "Join" not in plan(entry.queries()["workbook_counts"](spark, small))
+
+
+def test_cells_without_kinds(spark):
+    import pandas as pd
+
+    from tallywing.plans.source_plans import workbook_of
+    from tallywing.sources import workbooks
+
+    rows = pd.DataFrame({"id": [1, 2], "at": [570.0, None]})
+    contents = spark.createDataFrame([("a.xlsx", bytearray(workbook_of(rows, "counts", times=("at",))))], "path string, content binary")
+    known = workbooks.cells(contents, "counts", kinds=False).where("row > 0").orderBy("row").collect()
+    assert [(r.values, r.kinds) for r in known] == [({"id": "1", "at": "09:30:00"}, {}), ({"id": "2"}, {})]
+    found, told = workbooks.parse(contents), workbooks.parse(contents, schema="id bigint, at string")
+    assert found.schema == told.schema and sorted(map(repr, found.collect())) == sorted(map(repr, told.collect()))
