@@ -5,7 +5,8 @@ between ASCII white space is encoded once and kept: texts repeat their words. Sh
 Latin letters, digits and signs are lower-cased and split here by the file's own pattern, and only
 pieces not met before reach the library's model; every other run, and one that holds an added token
 as text, goes through the whole library, and so do whole texts under a file with other rules. What
-is kept is bounded by `MOST_KEPT` runs and as many pieces; past that it is forgotten and encoded anew.
+is kept is bounded by `MOST_KEPT` runs and as many pieces, and those of one batch; past that only what
+the batch at hand has again is kept on, and the rest is forgotten and encoded anew.
 """
 
 from __future__ import annotations
@@ -74,11 +75,14 @@ class _Kept:
     def places(self, strings: pa.Array) -> np.ndarray:
         """The place of each of the distinct strings; those of long ones last until the next call."""
         self.used, self.n = int(self.length[: len(self.known)].sum()), len(self.known)
+        at = np.array(pc.index_in(strings, value_set=self.known).fill_null(-1), np.int64)
         if self.n > MOST_KEPT:
+            met = np.flatnonzero(at >= 0)
+            kept = self.flat(at[met])
             self.forget()
-        at = pc.index_in(strings, value_set=self.known)
-        new = np.flatnonzero(np.asarray(at.is_null()))
-        at = np.array(at.fill_null(-1), np.int64)
+            self._add(*kept)
+            self.known, at[met] = strings.take(pa.array(met)), np.arange(len(met))
+        new = np.flatnonzero(at < 0)
         if len(new):
             words = strings.take(pa.array(new))
             long = np.asarray(pc.binary_length(words)) > LONGEST_KEPT
@@ -120,7 +124,7 @@ class Encoder:
     def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for lower-cased pieces, which no rule splits further, by the library's model."""
         tokenize = self.tokenizer.model.tokenize
-        found = [[t.id for t in tokenize(p if p.isascii() else p.translate(BYTES))] for p in pieces.to_pylist()]
+        found = [[t.id for t in tokenize(p if p.isascii() else p.translate(BYTES))] for p in pieces.to_numpy(zero_copy_only=False)]
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
