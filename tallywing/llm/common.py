@@ -18,6 +18,9 @@ except (AttributeError, OSError):  # another C library
     _trim = None
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,11 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder once and read from there by everything that follows."""
-    context = df.sparkSession.sparkContext
+    """df, written to the shared folder once and read from there by everything that follows.
+
+    What was shuffled for it goes as soon as it is written, and not when the driver happens to collect its garbage.
+    """
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # of a plan made under this setting
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

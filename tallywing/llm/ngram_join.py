@@ -5,13 +5,18 @@ n - ceil(threshold * n) + 1 shingles of each, in any order that all documents ke
 first the shingles in the lowest part of the hash range, rarest first, then the others by hash, and
 last the heavy ones, a bounded list found on a bounded sample. How many classes hold a shingle is
 counted for the lowest part alone; a class whose shingles that nobody shares fill its prefix has no
-partner. Classes that share a shingle of their prefixes form candidate groups. Groups are checked by
-signature trees: small ones together up to a bounded number of classes, large ones first against a
-few hubs, in linear time, then in pairs of blocks, leaving pairs of blocks that are already together.
+partner. Classes that share a shingle of their prefixes form candidate groups. In a large group most
+of these shingles are shared by chance: its classes are compared where they meet, by sizes and by
+bitmaps that no similar pair differs in too much, and it falls into the groups of what is left.
+Groups are checked by signature trees: small ones together up to a bounded number of classes, large
+ones first against a few hubs, in linear time, then in pairs of blocks, leaving pairs of blocks that
+are already together.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +34,8 @@ COUNTED = 0.36
 SAMPLE_DOCS, HEAVY_SHARE, MOST_HEAVY = 20_000, 0.001, 400_000
 #: Classes that one tree holds at most, and rounds of hubs for larger groups. A class counts once for every so many bytes of its set, or part of them.
 TREE_ROWS, HUB_ROUNDS, CLASS_BYTES = 1024, 3, 1 << 16
+#: Bits of the largest bitmap of a set, and classes that meet pair by pair at one shingle; up to FEW_MEET without a matrix.
+MOST_BITS, MOST_MEET, FEW_MEET = 512, 256, 8
 #: Rows of three numbers that are sent to every task at most.
 MOST_BROADCAST = 100_000
 _EDGE = np.uint64(int(COUNTED * 2**64))
@@ -48,6 +55,38 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """A bit for each place that an odd number of the set's shingles falls on; of two such bitmaps no more bits differ than shingles."""
+    bits = min(MOST_BITS, max(64, 1 << (len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class _Bitmaps:
+    """Bitmaps and sizes of several sets; a larger bitmap is folded to the size of the smaller one."""
+
+    def __init__(self, maps: list[bytes], size: np.ndarray):
+        self.size, self.level = size, np.array([len(x) // 8 for x in maps], np.int64).reshape(-1)
+        words = MOST_BITS // 64
+        full = np.frombuffer(b"".join(x.ljust(8 * words, b"\0") for x in maps), np.uint64).reshape(len(maps), words)
+        self.folded = {}
+        while words:
+            self.folded[words] = full
+            words //= 2
+            # what is no larger already stays
+            full = np.where((self.level > words)[:, None], full[:, :words] ^ full[:, words:], full[:, :words]) if words else full
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs can have a Jaccard similarity of percent / 100; none that has it is left out."""
+        m, n = self.size[i], self.size[j]
+        ok = (100 * m >= percent * n) & (100 * n >= percent * m)
+        level = np.minimum(self.level[i], self.level[j])
+        for words, maps in self.folded.items():
+            at = np.flatnonzero(ok & (level == words))
+            apart = np.bitwise_count(maps[i[at]] ^ maps[j[at]]).sum(axis=1).astype(np.int64)
+            ok[at] = (100 + percent) * apart <= (100 - percent) * (m[at] + n[at])
+        return ok
+
+
 def _heavy(documents: DataFrame) -> np.ndarray:
     """Shingles that more than HEAVY_SHARE of a sample's classes hold, sorted."""
     n = documents.count()
@@ -109,12 +148,12 @@ def shingle_components(documents: DataFrame, key: str = "doc_id", text: str = "t
                     lights.append(low)
                     more.append(np.r_[rest, s[~light][: lack - len(rest)]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(_signed(p)), pa.array(_signed(q)), pa.array([len(s) for s in sets], pa.int64()), pa.array(lights, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
-                    ["key", "p", "q", "n", "lights", "more"],
+                    [part.column("key"), pa.array(_signed(p)), pa.array(_signed(q)), pa.array([len(s) for s in sets], pa.int64()), pa.array(lights, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array([_bitmap(s) for s in sets], pa.binary())],
+                    ["key", "p", "q", "n", "lights", "more", "bitmap"],
                 )
 
     kind = documents.schema["key"].dataType.simpleString()
-    info = cut(documents.mapInArrow(described, f"key {kind}, p long, q long, n long, lights long, more array<long>"))
+    info = cut(documents.mapInArrow(described, f"key {kind}, p long, q long, n long, lights long, more array<long>, bitmap binary"))
 
     def counted(batches):
         for batch in batches:
@@ -142,6 +181,7 @@ def shingle_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     hubs = cells.groupBy("hash").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where(F.col("hub") < F.col("last")).select("hash", "hub")
     edges = cells.join(hubs, "hash").where(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
     groups = components(edges.distinct()).select(F.col("id").alias("cid"), F.col("component_id").alias("grp"))
+    groups = _parted(groups, cells, info.where(F.col("n") > 0).select(F.col("key").alias("cid"), "n", "bitmap"), kind, percent)
 
     def packed(batches):
         for batch in batches:
@@ -174,6 +214,78 @@ def _beside(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(few) if fits else few, on, "left")
 
 
+def _parted(groups: DataFrame, cells: DataFrame, bitmaps: DataFrame, kind: str, percent: int) -> DataFrame:
+    """groups (cid, grp), the large ones parted into what may link where it meets; classes that may link with none are left out.
+
+    cells: (cid, hash), a shingle of a prefix; two similar classes have one in common. bitmaps: (cid,
+    n, bitmap), of each text of a class. At a shingle that very many classes hold they meet by size,
+    and where these are too many still, all are joined.
+    """
+    groups = cut(groups)
+    large = groups.groupBy("grp").agg(F.count("*").alias("m")).where(F.col("m") > TREE_ROWS // 2)
+    large = cut(_beside(groups, cut(large), ["grp"]).where(F.col("m").isNotNull()).select("cid", "grp"))
+    if not large.limit(1).count():
+        return groups
+    bitmaps = bitmaps.join(large.select("cid"), "cid", "left_semi").distinct()
+    met = cells.join(bitmaps, "cid")
+    held = cells.join(large.select("cid"), "cid", "left_semi").groupBy("hash").agg(F.count("*").alias("m"))
+    met = _beside(met, cut(held.where(F.col("m") > MOST_MEET)), ["hash"])
+    # sizes of two similar classes lie in the same step or in neighbouring ones
+    step = F.floor(F.log("n") / F.lit(math.log(100 / percent) or 1.0) + F.lit(1e-9))
+    places = F.when(F.col("m").isNull(), F.array("hash")).otherwise(F.array(F.xxhash64("hash", step), F.xxhash64("hash", step + 1)))
+    met = met.select("cid", "n", "bitmap", F.explode(places).alias("place"))
+    full = cut(met.groupBy("place").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where(F.col("m") > MOST_MEET).select("place", "hub"))
+    met = _beside(met, full, ["place"])
+    joined = met.where(F.col("hub").isNotNull() & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+
+    def meeting(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            place = np.asarray(table.column("place"))
+            if not len(place):
+                continue
+            at = int(np.searchsorted(place, place[-1]))  # the last shingle's classes may go on in the next batch
+            rest = table.slice(at).combine_chunks().to_batches()[0]
+            if at:
+                yield _may_links(table.slice(0, at), percent)
+        if rest is not None:
+            yield _may_links(pa.Table.from_batches([rest]), percent)
+
+    by_place = met.where(F.col("hub").isNull()).select("cid", "n", "bitmap", "place").repartition("place").sortWithinPartitions("place")
+    links = by_place.mapInArrow(meeting, f"a {kind}, b {kind}").unionByName(joined).where(F.col("a") != F.col("b")).distinct()
+    parted = components(links).select(F.col("id").alias("cid"), F.col("component_id").alias("grp"))
+    return groups.join(large.select("cid"), "cid", "left_anti").unionByName(parted)
+
+
+def _may_links(table: pa.Table, percent: int) -> pa.RecordBatch:
+    """a, b: links that join the classes of each place, whose rows stand together, which may be similar."""
+    cid, place = table.column("cid").combine_chunks(), np.asarray(table.column("place"))
+    maps = _Bitmaps(table.column("bitmap").to_pylist(), np.asarray(table.column("n")))
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    count = np.diff(np.r_[start, len(place)])
+    own = np.repeat(count, count)
+    left, right = [], []
+    for step in range(1, FEW_MEET):
+        i = np.flatnonzero((own[:-step] <= FEW_MEET) & (place[:-step] == place[step:])) if step < len(place) else np.zeros(0, np.int64)
+        i = i[maps.may_link(i, i + step, percent)]
+        left.append(i)
+        right.append(i + step)
+    for at, n in zip(start[count > FEW_MEET].tolist(), count[count > FEW_MEET].tolist(), strict=True):
+        i, j = np.triu_indices(n, 1)
+        ok = maps.may_link(at + i, at + j, percent)
+        linked_ = np.eye(n, dtype=bool)
+        linked_[i[ok], j[ok]] = linked_[j[ok], i[ok]] = True
+        least, before = np.arange(n), None
+        while before is None or (least != before).any():
+            before, least = least, np.where(linked_, least[None, :], n).min(axis=1)
+        i = np.flatnonzero(least != np.arange(n))
+        left.append(at + i)
+        right.append(at + least[i])
+    left, right = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
+    return pa.RecordBatch.from_arrays([cid.take(left), cid.take(right)], ["a", "b"])
+
+
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 

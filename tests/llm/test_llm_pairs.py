@@ -187,3 +187,67 @@ def test_sets_that_count_many_times_fill_tasks_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TREE_ROWS", 256)
     got = {r.doc_id: r.component_id for r in ngram_join.shingle_components(df).collect()}
     assert got == want and len(set(want.values())) == 4
+
+
+def test_chance_shingles_make_no_large_groups(spark, monkeypatch):
+    """A chain of texts of which each shares a third with the next one: all meet at some shingle, and none is similar."""
+    monkeypatch.setattr(ngram_join, "TREE_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "_EDGE", np.uint64(0))  # prefixes by hash alone
+    rng = random.Random(3)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    parts = [made(30) for _ in range(101)]
+    texts = [" ".join(parts[i] + made(30) + parts[i + 1]) for i in range(100)]
+    texts += [t + " one more word" for t in texts[:12]] + [" ".join(parts[40] + made(8)) + f" {i}" for i in range(30)]
+    largest, checked = [], ngram_join._checked
+
+    def seen(sets, kind, percent):
+        largest.append(sets.groupBy("grp").count().agg(F.max("count")).first()[0])
+        return checked(sets, kind, percent)
+
+    monkeypatch.setattr(ngram_join, "_checked", seen)
+    got = {r.doc_id: r.component_id for r in ngram_join.shingle_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts)[1]
+    assert largest[0] <= 30, "the chain itself would be 100 and more"
+
+
+@pytest.mark.parametrize("percent", [50, 75])
+@pytest.mark.parametrize("most_meet, few_meet", [(256, 8), (256, 2), (4, 2)])
+def test_large_groups_lose_no_similar_pair(spark, monkeypatch, most_meet, few_meet, percent):
+    """However many classes meet at a shingle, those that are similar stay in one group."""
+    monkeypatch.setattr(ngram_join, "TREE_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "MOST_MEET", most_meet)
+    monkeypatch.setattr(ngram_join, "FEW_MEET", few_meet)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, k, replace=False), rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)]) for k in np.r_[rng.integers(1, 30, 40), rng.integers(34, 41, 20)]]
+    cells = [(i, int(x)) for i, s in enumerate(sets) for x in s.view(np.int64)]
+    groups_ = spark.createDataFrame([(i, 0) for i in range(60)], "cid long, grp long")
+    maps = spark.createDataFrame([(i, len(s), bytearray(ngram_join._bitmap(s))) for i, s in enumerate(sets)], "cid long, n long, bitmap binary")
+    got = {r.cid: r.grp for r in ngram_join._parted(groups_, spark.createDataFrame(cells, "cid long, hash long"), maps, "long", percent).collect()}
+    pairs = [(i, j) for i in range(60) for j in range(i) if similar(sets[i], sets[j], percent)]
+    assert pairs and all(got[i] == got[j] for i, j in pairs)
+
+
+def test_bitmaps_leave_no_similar_pair_out():
+    rng = np.random.default_rng(13)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(1, 1500, 80)]
+    sets = base + [np.unique(np.r_[b[: max(1, int(len(b) * rng.uniform(0.7, 1)))], rng.integers(0, 2**63, len(b) // 9).astype(np.uint64)]) for b in base]
+    maps = ngram_join._Bitmaps([ngram_join._bitmap(s) for s in sets], np.array([len(s) for s in sets]))
+    i, j = np.triu_indices(len(sets), 1)
+    may = set(np.flatnonzero(maps.may_link(i, j, 75)).tolist())
+    want = {k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if similar(sets[a], sets[b], 75)}
+    assert want <= may and len(want) > 20 and len(may) < 0.2 * len(i)
+
+
+def test_what_was_shuffled_for_a_cut_goes(spark):
+    import glob
+    import time
+
+    folders = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    out = common.cut(spark.range(20_000).repartition(4, "id").groupBy((F.col("id") % 7000).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 7000 and spark.conf.get(common._CLEANUP, None) in (None, "false")
