@@ -176,7 +176,7 @@ def ratio_surface_deviances(spark, sf_dir):
 
 @query()
 def trained_models(spark, sf_dir):
-    """Coefficients trained by gradients for every species, with the rates, decays, weights and powers of the table of species; the last year is held."""
+    """Coefficients trained by gradients for every species, with the rates, decays, weights and powers of the table of species, until none gains any more; the last year is held."""
     from ..registry import HYPERPARAMETERS
     from ..sources.cache import kept
 
@@ -185,7 +185,7 @@ def trained_models(spark, sf_dir):
     rows = fitting.seasonal(hs).select("species", "count", F.col("duration").alias("exposure"), (F.col("year") == last).alias("held"), *fitting.FEATURES)
     numbered = spark.createDataFrame(list(enumerate(sorted(HYPERPARAMETERS))), "number int, name string")
     hyper = training.hyperparameters(spark).join(numbered, F.col("species") == F.col("name")).select(F.col("number").alias("species"), *training.HYPER)
-    return training.train(rows, hyper, fitting.FEATURES, epochs=12)
+    return training.train(rows, hyper, fitting.FEATURES)
 
 
 @query()

@@ -109,3 +109,13 @@ def test_regressions_of_all_groups_equal_those_of_each(spark):
     zeros = rows.unionByName(rows.where("species = 0").withColumns({"species": F.lit(9).cast("long"), "rate": F.lit(0.0)})).unionByName(rows.limit(1).withColumns({"species": F.lit(0).cast("long"), "rate": F.lit(None).cast("double")}))
     more = {r.species: r for r in fitting.fit_tweedie_each(zeros, 1.5).collect()}
     assert more[9].intercept is None and abs(more[0].intercept - got[0].intercept) < 1e-12
+
+
+def test_query_trains_until_no_species_gains(spark, small, monkeypatch):
+    """The query bounds neither epochs nor patience: both are the operator's own."""
+    from tallywing.plans import explore_plans
+
+    given = {}
+    monkeypatch.setattr(explore_plans.training, "train", lambda rows, hyper, features, **more: given.update(more) or rows)
+    rows = explore_plans.trained_models(spark, small)
+    assert not given and rows.count() > 0
