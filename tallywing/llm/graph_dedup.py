@@ -4,13 +4,14 @@ Vectors of a label are clustered around centres found on a bounded sample, and e
 centre that could be the nearest one of a vector in range of it, so that two vectors in range always
 share a shard; a label for which that would take more comparisons than all its pairs is one shard.
 A shard larger than `SHARD_ROWS` is dealt into blocks, and each pair of blocks becomes a task, so
-that every pair of a shard's vectors meets and no task holds more than a bounded number. Tasks link
-each vector to a robust-pruned choice of its nearest ones; the lists of all tasks are united by
-vector. Then every task searches for each of its vectors: greedily from the medoid, and on from
-everything within range, or a little past it, until nothing new is. Links are confirmed by the exact
+that every pair of a shard's vectors meets and no task holds more than a bounded number. Tasks come
+in rounds, each of which moves about one copy of the vectors, whatever the number of blocks. A task
+links each vector to a robust-pruned choice of its nearest ones and searches for each of its
+vectors: greedily from the medoid, and on from everything within range, or a little past it, until
+nothing new is. Links are confirmed by the exact
 cosine in double precision. The search of `AUDITED` rows of each task is compared with all its rows;
-the audit's columns tell what they had found, and what they had missed is added. A pair counts as
-found if either of its two vectors has found the other.
+the audit's columns tell what they had found. A pair counts as found if either of its two vectors has
+found the other; what all searches of a task have missed is added by a product of all its rows.
 
 Equal vectors of a label are one vector with a weight throughout.
 """
@@ -30,6 +31,8 @@ SHARD_ROWS, OVERLAP = 4096, 2
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 2048
 DEGREE, CANDIDATES, ALPHA = 32, 64, 1.2
 AUDITED = 32
+#: Rounds whose results are kept one by one.
+MOST_ROUNDS_KEPT = 32
 #: How far below the range a search goes on, so that it gets across thin places of the graph.
 PAST_RANGE = 0.03
 
@@ -176,6 +179,26 @@ def _with_classes(rows: DataFrame, classes: DataFrame, most: int = 10_000) -> Da
     return met.where(F.col("own").isNotNull()).select("id", "own.*").unionByName(rest.select("id", *values))
 
 
+def _round(placed: DataFrame, apart: int, turn: int) -> DataFrame:
+    """The vectors of the tasks of a round, with low and high, its two blocks.
+
+    Blocks of a shard meet those that are `apart` places further on, the even ones and the odd ones
+    in turns, so that a round holds about one copy of a vector; in round 0 shards of one block do.
+    """
+    if not apart:
+        return placed.where(F.col("blocks") == 1).withColumns({"low": F.lit(0), "high": F.lit(0)})
+    low = F.filter(F.array(F.col("block"), F.col("block") - apart), lambda x: (x >= 0) & (x + apart < F.col("blocks")) & (x % 2 == turn))
+    return placed.where(F.col("blocks") > 1).withColumn("low", F.explode(low)).withColumn("high", F.col("low") + apart)
+
+
+def _united(found: list[DataFrame]) -> DataFrame:
+    """The results of several rounds, one row for each vector and root."""
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return cut(every.groupBy("id", "root").agg(*[F.sum(c).alias(c) for c in ("links", "audit_found", "audit_true")]))
+
+
 def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     """id, n_links, component_id, audit_found and audit_true for every row of rows (id long, label, vector array<float>).
 
@@ -193,7 +216,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     rows = rows.withColumns({"p": F.xxhash64("vector"), "q": F.xxhash64(F.lit(1), F.reverse("vector"))})
     classes = rows.groupBy("label", "p", "q").agg(F.min(F.struct("id", "vector")).alias("one"), F.count("*").alias("copies"))
     # a class has a number of its own, since ids may repeat
-    classes = cut(cut(classes).select(F.monotonically_increasing_id().alias("cid"), F.col("one.id").alias("least_id"), "label", "p", "q", "one.vector", "copies"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("one.id").alias("least_id"), "label", "p", "q", "one.vector", "copies"))
     centres = _centres(classes.select(F.col("cid").alias("id"), "label", "vector"), least)
 
     def sharded(batches):
@@ -212,23 +235,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     placed = classes.select(F.col("cid").alias("id"), "label", "vector", "copies").mapInArrow(sharded, "id long, label string, vector array<float>, copies long, shards array<int>")
     placed = placed.withColumn("shard", F.explode("shards"))
     half = SHARD_ROWS // 2
-    sizes = placed.groupBy("label", "shard").agg(F.count("*").alias("n"))
-    sizes = sizes.select("label", "shard", F.when(F.col("n") <= SHARD_ROWS, 1).otherwise(F.ceil(F.col("n") / half)).cast("int").alias("blocks"))
-    placed = placed.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    # a block meets itself and every other block of the shard; with more than one, a block alone meets itself in its task with the next
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
-    placed = placed.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    placed = cut(placed.select("label", "shard", "low", "high", "blocks", "block", "id", "vector", "copies", "shards"))
-    task = ["label", "shard", "low", "high"]
-
-    def linked(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("id").combine_chunks()
-        ids = np.asarray(table.column("id"))
-        off, flat = build(_unit(_matrix(table.column("vector").chunk(0), np.float64)))
-        return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids[flat], pa.int64()))})
-
-    graph = placed.groupBy(*task).applyInArrow(linked, "id long, near array<long>")
-    graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # one row for each SHARD_ROWS vectors at most
+    large = cut(placed.groupBy("label", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).select("label", "shard", F.ceil(F.col("n") / half).cast("int").alias("blocks")))
+    placed = placed.join(F.broadcast(large), ["label", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
 
     def searched(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id").combine_chunks()
@@ -242,12 +252,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         row = np.repeat(np.arange(n), long)
         shards = np.full((n, long.max()), -1, np.int32)
         shards[row, np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)] = np.asarray(lists.flatten())
-        near = table.column("near").chunk(0)
-        flat, off = np.asarray(near.flatten(), np.int64), np.r_[0, np.cumsum(np.asarray(near.value_lengths().fill_null(0)))].astype(np.int64)
-        at = np.searchsorted(ids, flat)
-        known = (at < n) & (ids[np.minimum(at, n - 1)] == flat)
-        kept = np.r_[0, np.cumsum(known)]
-        off, flat = kept[off], at[known]
+        off, flat = build(unit)
         norms = np.linalg.norm(vectors, axis=1)
         slack = least - 1e-9
         audited = np.argsort((ids * 2654435761) % (1 << 32), kind="stable")[:AUDITED]
@@ -259,8 +264,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
         inside = unit[audited] @ unit.T >= slack
         inside[np.arange(len(audited)), audited] = False
         checked = {i: (hit, true) for i, hit, true in zip(audited.tolist(), (met[audited] & inside).sum(axis=1).tolist(), inside.sum(axis=1).tolist(), strict=True)}
-        met[audited] |= inside
-        met[:, audited] |= inside.T
+        # an exact check follows: what the search has missed is added; links are confirmed in double precision below
+        single = unit.astype(np.float32)
+        for a in range(0, n, 256):
+            met[a : a + 256] |= single[a : a + 256] @ single.T >= least - 1e-5
+        np.fill_diagonal(met, False)
         links, root = np.zeros(n, np.int64), np.arange(n)
 
         def top(x: int) -> int:
@@ -290,16 +298,26 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
                 if a != b:
                     root[max(a, b)] = min(a, b)
         tops = np.array([top(i) for i in range(n)], np.int64)
-        audit = [checked.get(i, (None, None)) for i in range(n)]
+        # rows that have no link here and aren't audited have nothing to tell
+        told = [i for i in range(n) if links[i] or tops[i] != i or i in checked]
+        audit = [checked.get(i, (None, None)) for i in told]
         return pa.table({
-            "id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(ids[tops], pa.int64()),
+            "id": pa.array(ids[told], pa.int64()), "links": pa.array(links[told], pa.int64()), "root": pa.array(ids[tops[told]], pa.int64()),
             "audit_found": pa.array([a[0] for a in audit], pa.int64()), "audit_true": pa.array([a[1] for a in audit], pa.int64()),
         })
 
-    out = cut(placed.join(graph, "id").groupBy(*task).applyInArrow(searched, "id long, links long, root long, audit_found long, audit_true long"))
+    most = large.agg(F.coalesce(F.max("blocks"), F.lit(1))).first()[0]
+    found = []
+    for apart, turn in [(0, 0), *((d, t) for d in range(1, most) for t in range(min(2, most - d)))]:
+        some = _round(placed, apart, turn)
+        found.append(cut(some.groupBy("label", "shard", "low", "high").applyInArrow(searched, "id long, links long, root long, audit_found long, audit_true long")))
+        if len(found) == MOST_ROUNDS_KEPT:
+            found = [_united(found)]
+    out = _united(found)
     totals = out.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"), F.sum("audit_found").alias("audit_found"), F.sum("audit_true").alias("audit_true"))
     joined = components(out.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component_id").alias("top"))
-    named = classes.select("cid", "label", "p", "q", "least_id", "copies").join(totals, "cid").join(joined, "cid", "left").withColumn("top", F.coalesce("top", "cid"))
+    named = classes.select("cid", "label", "p", "q", "least_id", "copies").join(totals, "cid", "left").join(joined, "cid", "left")
+    named = named.withColumns({"links": F.coalesce("links", F.lit(0)), "top": F.coalesce("top", "cid")})
     smallest = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
     state = named.join(smallest, "top").select("cid", "label", "p", "q", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", "audit_found", "audit_true")
     alone = every.where(~takes_part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("audit_found"), F.lit(None).cast("long").alias("audit_true"))

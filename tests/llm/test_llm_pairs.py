@@ -251,3 +251,28 @@ def test_what_was_shuffled_for_a_cut_goes(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before and out.count() == 7000 and spark.conf.get(common._CLEANUP, None) in (None, "false")
+
+
+def test_rounds_hold_few_copies_of_a_vector(spark, monkeypatch):
+    """However many blocks a label has, what is written or moved at once doesn't grow with their number; every pair of blocks meets once."""
+    monkeypatch.setattr(graph_dedup, "SHARD_ROWS", 80)
+    x, _ = near_copies(np.random.default_rng(6))
+    df = spark.createDataFrame([(i, list(map(float, v)), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    held, cut = [], graph_dedup.cut
+
+    def seen(rows):
+        out = cut(rows)
+        held.extend([out.count()] if "vector" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(graph_dedup, "cut", seen)
+    got = {r.vec_id: r for r in graph_dedup.deduplicate(df).collect()}
+    y = x.astype(np.float64)
+    norm = np.linalg.norm(y, axis=1)
+    link = ((y @ y.T) / np.outer(norm, norm) >= 0.98) & ~np.eye(400, dtype=bool)
+    assert held and max(held) <= 400 and [got[i].n_links for i in range(400)] == link.sum(axis=1).tolist()
+    placed = spark.range(1200).select("id", F.lit(12).alias("blocks"), (F.col("id") % 12).cast("int").alias("block"))
+    rounds = [graph_dedup._round(placed, d, t) for d in range(1, 12) for t in range(min(2, 12 - d))]
+    assert max(r.count() for r in rounds) <= 1200
+    met = [tuple(r) for x in rounds for r in x.select("low", "high").distinct().collect()]
+    assert sorted(met) == [(i, j) for i in range(12) for j in range(i + 1, 12)]
